@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, pii, simhash
+from . import chat, decontaminate, langid, media, packing, pii, quality, simhash, urlfilter
 from .common import fold, materialize
 
 
@@ -15,10 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+#: (host, path, verdict)
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+#: Two turns that consist of control strings.
+PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +47,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -44,12 +61,53 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
+    parts = chat.format_conversations(rows.unionByName(probe), tokenizer_path("byte_bpe_50k.json"))
+    return chat.digests(parts)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, with the items; clean documents have no row."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.images(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 3) == 1
+    scored = quality.rank(table(spark, sf_dir, "documents"), quality.learned_from(table(spark, sf_dir, "labels")))
+    return scored.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_packing, op4_pii, op5_simhash, op8_decontamination)
+    f.__name__: f for f in (op1_language_id, op2_packing, op3_url_filter, op4_pii, op5_simhash, op7_chat, op8_decontamination, op9_media, op10_quality)
+}
+
+#: DuckDB SQL. Pages state their canonical links in html; reach follows them in both directions.
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": r"""
+WITH RECURSIVE page AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+split AS (
+  SELECT page_id, url, html,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM page),
+rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+fit AS (
+  SELECT s.page_id, s.host, s.path, s.url, s.html,
+    (SELECT h || p FROM rules WHERE (s.host = h OR ends_with(s.host, '.' || h)) AND starts_with(s.path, p) ORDER BY length(h || p) DESC, v, h || p LIMIT 1) AS rule
+  FROM split s),
+decided AS (SELECT f.*, (SELECT v FROM rules WHERE h || p = f.rule) AS own, split_part(url, '#', 1) AS node FROM fit f),
+links AS (SELECT DISTINCT node AS a, split_part(regexp_extract(html, '(?is)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1), '#', 1) AS b
+  FROM decided WHERE regexp_matches(html, '(?is)<link[^>]*rel="canonical"[^>]*href="')),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+alias AS (SELECT r.a, max(own = 'allow') AS allowed, max(own = 'block') AS blocked FROM reach r JOIN decided d ON d.node = r.b GROUP BY r.a)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM decided LEFT JOIN alias ON alias.a = decided.node
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
