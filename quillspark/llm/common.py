@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as Python objects at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Rows of a record batch between Spark and a Python worker; texts may be long, and both sides hold a batch whole.
+BATCH_ROWS = 1000
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -28,6 +30,27 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
             yield batch.slice(start)
 
 
+class Numbering(dict):
+    """Numbers keys in order of first sight; ``new`` lists those that came since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, its session set to hand Python workers batches of at most BATCH_ROWS rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or /tmp/checkpoints where that is unset."""
     return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
@@ -54,3 +77,11 @@ def discard(df: DataFrame) -> None:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+def labelled_sample(labels: DataFrame, id_col: str, label: str, most: int) -> DataFrame:
+    """(k, y): at most ``most`` rows with label 0 and as many with label 1, of the least hash of the id. An id that is
+    labelled both ways, or more than once, counts as its greatest label."""
+    rows = labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    least = lambda y: rows.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most)
+    return least(0).unionByName(least(1))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import small_batches, text_chunks
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -96,29 +96,36 @@ class Index:
         return out
 
 
+class Terms(dict):
+    """Words as they stand to term ids: unknown words have the last id, marks without a letter or digit -1."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        bare = word.strip(EDGES)
+        self[word] = k = self.vocabulary.get(bare, len(self.vocabulary)) if bare else -1
+        return k
+
+
 class Searcher:
     """Queries texts against one index; keeps a bounded table of words seen."""
 
     def __init__(self, index: Index, threshold: float, overlap: float) -> None:
         self.index, self.threshold, self.overlap = index, threshold, overlap
-        self.seen: dict[str, int] = {}
+        self.seen = Terms(index.vocabulary)
         self.window = max(128, 2 * index.longest)
         self.stride = self.window - index.longest
 
     def _ids(self, text: str) -> list[int]:
-        """Term ids; unknown words have the last id, marks without a letter or digit none."""
-        seen, unknown = self.seen, len(self.index.vocabulary)
-        words = text.lower().split()
-        for w in set(words):
-            if w not in seen:
-                bare = w.strip(EDGES)
-                seen[w] = self.index.vocabulary.get(bare, unknown) if bare else -1
-        return [k for w in words if (k := seen[w]) >= 0]
+        """Term ids of a text's words."""
+        return [k for k in map(self.seen.__getitem__, text.lower().split()) if k >= 0]
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float, float]]:
         """(text's place, item's place, score, overlap, question's, answer's) of every pair found, best passage first."""
         if len(self.seen) > CACHE_WORDS:
-            self.seen = {}
+            self.seen.clear()
         unknown = len(self.index.vocabulary)
         for place, t in enumerate(texts):
             if not t:
@@ -187,7 +194,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
                     ["id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"],
                 )
 
-        hits = narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, item_id {kind}, score double, overlap double, question_overlap double, answer_overlap double")
+        hits = small_batches(narrow).mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, item_id {kind}, score double, overlap double, question_overlap double, answer_overlap double")
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -204,5 +211,5 @@ def remove(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
                 bad = {f[0] for f in search(b.column(at).to_pylist())}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
-        wide = wide.mapInArrow(run, wide.schema)
+        wide = small_batches(wide).mapInArrow(run, wide.schema)
     return wide.toDF(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import small_batches, text_chunks
 
 WIDTH = 576
 FILL = b"\xff"
@@ -147,7 +147,7 @@ def images(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: i
             pngs = [encode(np.frombuffer(p, np.uint8).reshape(-1, width), level) for p, _ in made]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in made], pa.int64()), pa.array(pngs, pa.binary())], ["id", "n_bytes", "media"])
 
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, n_bytes bigint, media binary")
+    return small_batches(narrow).mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
 def features(media: DataFrame, keep: tuple[str, ...] = ("id", "n_bytes"), column: str = "media") -> DataFrame:
@@ -173,4 +173,4 @@ def features(media: DataFrame, keep: tuple[str, ...] = ("id", "n_bytes"), column
             )
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema[:kept])
-    return narrow.mapInArrow(run, f"{fields}payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return small_batches(narrow).mapInArrow(run, f"{fields}payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

@@ -8,6 +8,8 @@ fills its own sequences from its own rows in their order, so nothing is shuffled
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,45 +19,67 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import Numbering, small_batches, text_chunks
 
 CAPACITY = 2048
 END_ID = 1
 SMALLEST = 64
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 
 
 class Encoder:
-    """Token ids of texts, word by word: the tokenizer drops white space, so no token spans it."""
+    """Token ids of texts, word by word: the tokenizer drops white space and letters' case, so no token spans a blank.
+
+    Words are kept with A-Z in lower case, and a comma or full stop between a letter and white space stands alone, as
+    it does for the tokenizer. New words are encoded many at a time around a mark that is a token of its own.
+    """
+
+    MARK = "\x01"
+    STOPS = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread to a task
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._reset()
 
     def _reset(self) -> None:
-        self.seen: dict[str, int] = {}
+        self.seen = Numbering()
         self.pool, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        plain = self.mark is not None and not any("<|" in t or self.MARK in t for t in texts)
+        parts = [f" {self.MARK} ".join(texts[i : i + 256]) for i in range(0, len(texts), 256)] if plain else texts
+        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        if plain:
+            flat = np.concatenate([x for g in got for x in (g, [np.uint32(self.mark)])])
+            ends = np.flatnonzero(flat == self.mark)
+            size = np.diff(np.concatenate(([-1], ends))) - 1
+            if len(size) != len(words):  # a word gives the mark itself
+                self.mark = None
+                return self._learn(words)
+            flat = flat[flat != self.mark]
+        else:
+            flat, size = np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
+        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(size) - size))
+        self.size, self.pool = np.concatenate((self.size, size)), np.concatenate((self.pool, flat))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.seen) > CACHE_WORDS:
             self._reset()
-        seen, new, ids, counts = self.seen, [], [], []
+        ids, counts, number = [], [], self.seen.__getitem__
         for t in texts:
-            words = t.replace("\n", " ").replace("\t", " ").split(" ")
-            for w in set(words):
-                if w not in seen:
-                    seen[w] = len(seen)
-                    new.append(w)
-            ids.extend([seen[w] for w in words])
+            raw = t.encode()
+            words = raw.split() if b"<|" in raw else self.STOPS.sub(rb" \1", raw.lower()).split()
+            ids.extend(map(number, words))
             counts.append(len(words))
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            start = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate((self.pool, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))))
-            self.start, self.size = np.concatenate((self.start, start)), np.concatenate((self.size, size))
+        for i in range(0, len(self.seen.new), 8192):
+            self._learn(self.seen.new[i : i + 8192])
+        self.seen.new.clear()
         at = np.array(ids, np.int64)
         size, start = self.size[at], self.start[at]
         ends = np.cumsum(size)
@@ -147,4 +171,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
             yield rows(last)
 
     key = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {key}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids)
+    return small_batches(narrow).mapInArrow(run, f"id {key}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, text_chunks
+from .common import materialize, small_batches, text_chunks
 from .graph import components
 
 SHINGLE_WORDS = 3
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, fp bigint")
+    return small_batches(narrow).mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, fp bigint")
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -93,7 +93,7 @@ def _with_print(docs: DataFrame, text: str, shingle_words: int) -> DataFrame:
             fps = np.array([fingerprint(t, shingle_words) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*b.schema.names, "fp"])
 
-    return wide.mapInArrow(run, StructType([*wide.schema.fields, StructField("fp", LongType())]))
+    return small_batches(wide).mapInArrow(run, StructType([*wide.schema.fields, StructField("fp", LongType())]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
