@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, media, packing, pii, quality, simhash, urlfilter
+from . import chat, decontaminate, langid, media, packing, pii, quality, simhash, toxicity, urlfilter
 from .common import fold, materialize
 
 
@@ -61,6 +61,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 4) == 2
+    scored = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(~held_out))
+    return scored.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
@@ -84,7 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_packing, op3_url_filter, op4_pii, op5_simhash, op7_chat, op8_decontamination, op9_media, op10_quality)
+    f.__name__: f for f in (op1_language_id, op2_packing, op3_url_filter, op4_pii, op5_simhash, op6_toxicity, op7_chat, op8_decontamination, op9_media, op10_quality)
 }
 
 #: DuckDB SQL. Pages state their canonical links in html; reach follows them in both directions.
