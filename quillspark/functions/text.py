@@ -196,7 +196,7 @@ def calendar_lines(text: Column) -> Column:
             line.alias("source_text"), F.when(two, RANGE_CONFIDENCE).otherwise(SINGLE_CONFIDENCE).alias("confidence"),
         )
 
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.filter(F.transform(lines, of), lambda r: r["start"].isNotNull())
 
 

@@ -11,13 +11,13 @@ KEY = ["source_id", "content_hash"]
 def append(history: DataFrame, fetched: DataFrame) -> DataFrame:
     """The fetched rows that are new evidence: content that the source had neither before nor earlier in this batch."""
     order = F.struct("fetched_at", "doc_id")
-    first = fetched.groupBy(*KEY).agg(F.min_by(F.struct(*fetched.columns), order).alias("x")).select("x.*")
+    first = fetched.groupBy(*KEY).agg(F.min_by(F.struct(*fetched.columns), order).alias("__row")).select("__row.*")
     return first.join(history.select(*KEY).distinct(), KEY, "left_anti")
 
 
 def latest(evidence: DataFrame) -> DataFrame:
     """The last version of each source; partial aggregates combine before the shuffle."""
-    return evidence.groupBy("source_id").agg(F.max_by(F.struct("fetched_at", "content_hash", "doc_id"), F.struct("fetched_at", "doc_id")).alias("x")).select("source_id", "x.*")
+    return evidence.groupBy("source_id").agg(F.max_by(F.struct("fetched_at", "content_hash", "doc_id"), F.struct("fetched_at", "doc_id")).alias("__row")).select("source_id", "__row.*")
 
 
 def history(evidence: DataFrame, source_id: str) -> DataFrame:

@@ -40,7 +40,7 @@ def claims_from_documents(docs: DataFrame, observed_at: datetime) -> DataFrame:
 def deduplicate(claims: DataFrame, by: str = "fingerprint", position: str = "pos") -> DataFrame:
     """The first claim of each fingerprint in the order of ``position``: an aggregate, so a fingerprint that many
     claims share combines before the shuffle."""
-    return claims.groupBy(by).agg(F.min_by(F.struct(*claims.columns), F.col(position)).alias("x")).select("x.*")
+    return claims.groupBy(by).agg(F.min_by(F.struct(*claims.columns), F.col(position)).alias("__row")).select("__row.*")
 
 
 def verify(claims: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ CHUNK_BYTES = 32 * 1024
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Rows of ``new`` whose key ``old`` lacks, the first by ``position`` of each key."""
-    first = new.groupBy(*keys).agg(F.min_by(F.struct(*new.columns), F.col(position)).alias("x")).select("x.*")
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*new.columns), F.col(position)).alias("__row")).select("__row.*")
     return first.join(old.select(*keys).distinct(), keys, "left_anti")
 
 
@@ -21,8 +21,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str, keep_f
     replaced row keeps, say, when it was first seen."""
     rows = old.unionByName(new)
     rest = [c for c in rows.columns if c not in keep_first]
-    aggs = [F.max_by(F.struct(*rest), F.col(version)).alias("x"), *[F.min_by(c, version).alias(c) for c in keep_first]]
-    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*aggs).select("x.*", *keep_first).select(*rows.columns)
+    aggs = [F.max_by(F.struct(*rest), F.col(version)).alias("__row"), *[F.min_by(c, version).alias(c) for c in keep_first]]
+    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*aggs).select("__row.*", *keep_first).select(*rows.columns)
 
 
 def update(old: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -83,7 +83,7 @@ def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """(rule, violations) for each named check that a row must pass; a null result passes. One pass over ``df``."""
     counted = df.agg(*[F.count_if(F.coalesce(~c, F.lit(False))).alias(name) for name, c in checks.items()])
     pairs = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("violations")) for name in checks])
-    return counted.select(F.explode(pairs).alias("x")).select("x.*")
+    return counted.select(F.explode(pairs).alias("__row")).select("__row.*")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

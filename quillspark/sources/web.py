@@ -42,7 +42,7 @@ def allowed_by_robots(pages: DataFrame, agent: str, url: str = "url", robots: st
 
 def sitemap_urls(xml: Column) -> Column:
     """All ``loc`` of a sitemap in any name space, http and https only, each once. Broken XML is an error."""
-    found = F.transform(F.xpath(xml, F.lit("//*[name()='loc' or substring-after(name(), ':') = 'loc']/text()")), F.trim)
+    found = F.transform(F.xpath(xml, F.lit("//*[name()='loc' or substring-after(name(), ':') = 'loc']/text()")), lambda u: F.trim(u))
     return F.array_distinct(F.filter(found, lambda u: u.rlike("(?i)^https?://")))
 
 

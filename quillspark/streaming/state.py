@@ -58,9 +58,10 @@ def ledger_sink(path: str) -> Callable[[DataFrame, int], None]:
     return run
 
 
-def claim_states(stream: DataFrame, timeout_ms: int = 30 * 24 * 3600 * 1000) -> DataFrame:
+def claim_states(stream: DataFrame, delay: str = "7 days", keep_days: int = 365) -> DataFrame:
     """(claim_id, ts, state, accepted) for each event (claim_id, ts, next_state): the state after it. Events of a batch
-    are taken in order of time; an illegal move leaves the state and is not accepted. A claim starts UNVERIFIED."""
+    are taken in order of time; an illegal move leaves the state and is not accepted. A claim starts UNVERIFIED, and is forgotten
+    when the watermark has passed its last event by ``keep_days``."""
     legal = {k: frozenset((*v, k)) for k, v in TRANSITIONS.items()}
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -68,18 +69,18 @@ def claim_states(stream: DataFrame, timeout_ms: int = 30 * 24 * 3600 * 1000) ->
             state.remove()
             return
         now = state.get[0] if state.exists else "UNVERIFIED"
-        for f in [pd.concat(list(frames))]:
-            f = f.sort_values(["ts", "next_state"])
-            states, good = [], []
-            for wanted in f["next_state"]:
-                good.append(wanted in legal[now])
-                now = wanted if good[-1] else now
-                states.append(now)
-            yield pd.DataFrame({"claim_id": key[0], "ts": f["ts"], "state": states, "accepted": good})
+        f = pd.concat(list(frames)).sort_values(["ts", "next_state"])
+        states, good = [], []
+        for wanted in f["next_state"]:
+            good.append(wanted in legal[now])
+            now = wanted if good[-1] else now
+            states.append(now)
         state.update((now,))
-        state.setTimeoutDuration(timeout_ms)
+        last = int(f["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep_days * 24 * 3600 * 1000)
+        yield pd.DataFrame({"claim_id": key[0], "ts": f["ts"], "state": states, "accepted": good})
 
-    return stream.groupBy("claim_id").applyInPandasWithState(run, "claim_id string, ts timestamp, state string, accepted boolean", "state string", "append", "ProcessingTimeTimeout")
+    return stream.withWatermark("ts", delay).groupBy("claim_id").applyInPandasWithState(run, "claim_id string, ts timestamp, state string, accepted boolean", "state string", "append", "EventTimeTimeout")
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
