@@ -16,6 +16,8 @@ from .graph import components
 
 SHINGLE_WORDS = 3
 RADIUS = 2
+#: Bits of 128 by which word sets of near copies may differ; fewer in texts below LONG_WORDS, where one word is many bits.
+WORD_BITS, SHORT_BITS, LONG_WORDS = 16, 8, 100
 
 
 def fingerprint(text: str | None, k: int = SHINGLE_WORDS, block: int = 16384) -> int:
@@ -68,52 +70,102 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp, component) for every row of ``docs``; component is the least id reachable over links.
+def word_print(text: str | None) -> tuple[int, int, int]:
+    """Two signed halves of a 128-bit SimHash of the set of words, and the number of words."""
+    words = (text or "").encode().lower().split()
+    kinds = set(words)
+    if not kinds:
+        return 0, 0, 0
+    counts, joined = np.zeros(128, np.int64), [xxhash.xxh3_128_digest(w) for w in kinds]
+    for at in range(0, len(joined), 16384):
+        h = np.frombuffer(b"".join(joined[at : at + 16384]), np.uint8).reshape(-1, 16)
+        counts += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    hi, lo = np.packbits(counts * 2 > len(kinds), bitorder="little").view("<i8").tolist()
+    return hi, lo, len(words)
 
-    Repeated ids keep their rows. Empty and null texts have fingerprint 0 and link like any other; a component
-    without any id has a null component. An empty table gives an empty result.
+
+def _with_word_prints(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with ``hi``, ``lo`` and ``words``, and their hash ``fp``; no shuffle."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_chunks(batches, text):
+            found = np.array([word_print(t) for t in b.column(at).to_pylist()], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(found[:, k]) for k in range(3))], [*b.schema.names, "hi", "lo", "words"])
+
+    fields = [StructField(n, LongType()) for n in ("hi", "lo", "words")]
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *fields])).withColumn("fp", F.xxhash64("hi", "lo"))
+
+
+def word_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, hi, lo, words, fp) for every row."""
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _with_word_prints(narrow, "text").drop("text")
+
+
+def word_links(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) between fingerprints of word sets that few words tell apart.
+
+    The 128 bits are four parts; each part emits its variants within one bit, so that two within two bits in any part
+    meet. All that meet are linked to the least of them, by an aggregate and a join, as a variant may have any number
+    of near copies; the whole 128 bits then verify each link (WORD_BITS, for short texts SHORT_BITS).
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "prints")
-    roots = components(links(prints, radius))
+    known = prints.groupBy("fp").agg(F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.max("words").alias("words"))
+    parts = [F.shiftrightunsigned(c, n).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("hi", "lo") for n in (0, 32)]
+    keyed = F.explode(F.array(*[p.bitwiseOR(F.lit(t << 32)) for t, p in enumerate(parts)]))
+    masks = F.array(*[F.lit(m) for m in [0, *(1 << i for i in range(32))]])
+    variants = known.select("fp", keyed.alias("part")).select("fp", "part", F.explode(masks).alias("mask")).select("fp", F.col("part").bitwiseXOR(F.col("mask")).alias("variant"))
+    least = variants.groupBy("variant").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most").select("variant", "least")
+    met = variants.join(least, "variant").filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
+    side = lambda s: known.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("hi", "lo", "words")])
+    both = met.join(side("a"), "a").join(side("b"), "b")
+    apart = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
+    return both.filter(apart <= F.when(F.least("words_a", "words_b") >= LONG_WORDS, WORD_BITS).otherwise(SHORT_BITS)).select("a", "b")
+
+
+def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component) of materialised prints (id, fp); component is the least id reachable over edges."""
+    roots = components(edges)
     first = prints.groupBy("fp").agg(F.min("id").alias("first"))
     joined = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     joined = materialize(joined, "roots")
     best = joined.groupBy("root").agg(F.min("first").alias("component"))
-    classes = joined.join(best, "root").select("fp", "component")
-    return prints.join(classes, "fp").select("id", "fp", "component")
+    return joined.join(best, "root").select("fp", "component")
 
 
-def _with_print(docs: DataFrame, text: str, shingle_words: int) -> DataFrame:
-    """``docs`` with its columns renamed c0, c1, ... and the fingerprint ``fp``; no shuffle."""
-    at, wide = docs.columns.index(text), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """(id, fp, component) for every row of ``docs``; component is the least id reachable over links.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_chunks(batches, f"c{at}"):
-            fps = np.array([fingerprint(t, shingle_words) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*b.schema.names, "fp"])
+    Repeated ids keep their rows. Empty and null texts have fingerprint 0 and link like any other; a component
+    without any id has a null component. An empty table gives an empty result.
+    """
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "prints")
+    return prints.join(_classes(prints, links(prints, radius)), "fp").select("id", "fp", "component")
 
-    return small_batches(wide).mapInArrow(run, StructType([*wide.schema.fields, StructField("fp", LongType())]))
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies stays, all columns: the one with the least id (of several, the one of the
+    least fingerprint and then text). Of a group without any id one row stays.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """One row of each group stays, all columns: the one with the least id (of several, the one of the least
-    fingerprint and then text). Of a group without any id one row stays.
+    Near copies are found on fingerprints of word sets: a similarity of 0.8 of five-word shingles lets about one word in
+    fifty differ, which moves 9 of 64 bits of a shingle fingerprint, but 11 of 128 of this one.
 
     Rows whose ids differ, as they should, go by an anti-join of ids; only rows that share an id or have none are
     ranked, in a window over fingerprints' groups that holds just such rows.
     """
-    marked = materialize(near_duplicates(docs, id_col, text_col, radius, shingle_words), "marked")
+    prints = materialize(word_prints(docs, id_col, text_col), "prints")
+    classes = materialize(_classes(prints, word_links(prints)), "classes")
+    marked = materialize(prints.join(classes, "fp").select("id", "fp", "component"), "marked")
     gone = marked.filter("id <> component").select(F.col("id").alias("__gone")).distinct()
     odd = materialize(marked.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").select(F.col("id").alias("__odd")), "odd")
     if odd.isEmpty():
         return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
     plain = docs.join(odd, docs[id_col].eqNullSafe(odd["__odd"]), "left_anti")
     plain = plain.join(gone, plain[id_col] == gone["__gone"], "left_anti")
-    key = f"c{docs.columns.index(id_col)}"
-    rest = _with_print(docs.join(odd, docs[id_col].eqNullSafe(odd["__odd"]), "left_semi"), text_col, shingle_words)
-    classes = marked.select("fp", F.col("component").alias("__c")).distinct()
-    rest = rest.join(classes, "fp").filter((F.col(key) == F.col("__c")) | F.col("__c").isNull())
-    order = Window.partitionBy(key, F.when(F.col("__c").isNull(), F.col("fp"))).orderBy("fp", f"c{docs.columns.index(text_col)}")
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = columns[docs.columns.index(id_col)], columns[docs.columns.index(text_col)]
+    rest = _with_word_prints(docs.join(odd, docs[id_col].eqNullSafe(odd["__odd"]), "left_semi").toDF(*columns), text)
+    rest = rest.join(classes.withColumnRenamed("component", "__c"), "fp").filter((F.col(key) == F.col("__c")) | F.col("__c").isNull())
+    order = Window.partitionBy(key, F.when(F.col("__c").isNull(), F.col("fp"))).orderBy("fp", text)
     rest = rest.withColumn("__n", F.row_number().over(order)).filter("__n = 1")
-    return plain.unionByName(rest.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns))
+    return plain.unionByName(rest.select(*columns).toDF(*docs.columns))
