@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -476,6 +477,27 @@ def vector_topk(t):
     return named.vector_top(v, q).select("id", "score")
 
 
+@query
+def semantic_topk(t):
+    """The nearest six of the twenty best candidates; items borrow the vectors of the embeddings table."""
+    near = named.retrieval_candidates(views(t, scope=False), ITEM_NOW, 20)
+    q = tables.one_row(t.vectors().filter("id = 0"), "vector 0")["embedding"]
+    rows = near.select("id", (F.col("k") % 500).alias("v")).join(t.vectors().select(F.col("id").alias("v"), "embedding"), "v")
+    return named.vector_top(rows, q).select("id", "score")
+
+
+@query
+def embedding_cache(t):
+    cache = t.vectors().selectExpr("concat('info:', id % 50) AS item_id", "concat('m', label % 2) AS model", "sha2(CAST(id % 7 AS STRING), 256) AS content_hash", "id")
+    return named.cached_embedding(cache, "info:7", "m1", hashlib.sha256(b"3").hexdigest()).select("id", "item_id", "model")
+
+
+@query
+def calendar_token_user(t):
+    tokens = t.read("customer").selectExpr("c_custkey AS user_id", "sha2(CAST(c_custkey % 20 AS STRING), 256) AS token_hash", "TIMESTAMP_NTZ '1998-05-01 00:00:00' + make_dt_interval(CAST(c_custkey % 90 AS INT)) AS expires_at")
+    return named.token_owner(tokens, hashlib.sha256(b"3").hexdigest(), ITEM_NOW)
+
+
 @query
 def citation_check(t):
     rows = t.claims().select("k", "statement", F.array(F.concat(F.lit("e"), F.col("k") % 3), F.concat(F.lit("e"), F.col("k") % 5)).alias("cites"))
@@ -591,6 +613,14 @@ def stream_once_only(t):
     return state.drain(state.once_only(rows, "ts", "60 days", ["user_id", "event_type", "day"]).select("user_id", "event_type", "day"), f"{path}/out", f"{path}/checkpoint")
 
 
+@query
+def stream_queue(t):
+    path = _scratch(t)
+    queued = state.table_stream(t.spark, f"{t.folder}/conversations.parquet").filter("role = 'user'").selectExpr("concat(conv_id, ':', turn) AS id", "text")
+    queued.writeStream.foreachBatch(state.queue_sink(f"{path}/verdicts", t.archive(), 0.2)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{path}/verdicts").select("submission_id", "verdict")
+
+
 @query
 def stream_claim_state(t):
     path = _scratch(t)

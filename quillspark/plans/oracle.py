@@ -220,6 +220,11 @@ SQL = {
       s AS (SELECT id, n, 0.55 * n / (na + nb - n) + 0.30 * n / na AS score FROM n WHERE n > 0), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rk FROM s WHERE score >= 0.15)
       SELECT id AS item_id, round(score, 6)::DOUBLE AS score, rk AS rank, n || ' shared tokens' AS reason FROM r WHERE rk <= 5""",
     "vector_topk": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[64] AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE id = 0) SELECT id, round(array_cosine_similarity(e, qe), 6) AS score FROM v, q ORDER BY array_cosine_similarity(e, qe) DESC, id LIMIT 6",
+    "semantic_topk": f"""{BASE}, c AS (SELECT id, k % 500 AS v FROM live {RELEVANT} LIMIT 20), q AS (SELECT embedding::DOUBLE[64] AS qe FROM embeddings WHERE vec_id = 0)
+      SELECT c.id, round(array_cosine_similarity(e.embedding::DOUBLE[64], qe), 6) AS score FROM c JOIN embeddings e ON e.vec_id = c.v, q ORDER BY array_cosine_similarity(e.embedding::DOUBLE[64], qe) DESC, c.id LIMIT 6""",
+    "embedding_cache": "SELECT vec_id AS id, 'info:7' AS item_id, 'm1' AS model FROM embeddings WHERE vec_id % 50 = 7 AND label % 2 = 1 AND vec_id % 7 = 3",
+    "calendar_token_user": f"SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 20 = 3 AND TIMESTAMP '1998-05-01' + (c_custkey % 90)::INT * INTERVAL 1 DAY > {NOW}",
+    "stream_queue": f"WITH {SCORED} SELECT sid AS submission_id, verdict FROM verdicts",
     "citation_check": "SELECT o_orderkey AS k, (o_orderkey % 5 <= 2)::INT AS ok FROM orders",
     "json_from_fence": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events",
     "personal_feed_all_users": f"{BASE}, {USERS} SELECT u.user_id, row_number() OVER (PARTITION BY u.user_id ORDER BY coalesce(i.due_at, i.starts_at) NULLS LAST, i.id) AS rank, i.id AS item_id FROM users u JOIN live i ON {MEETS} WHERE u.active QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY coalesce(i.due_at, i.starts_at) NULLS LAST, i.id) <= 3",

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import submissions
 from ..operators.claims import TRANSITIONS
 
 KEYS = ["user_id", "item_id", "kind", "key"]
@@ -58,6 +59,18 @@ def ledger_sink(path: str) -> Callable[[DataFrame, int], None]:
     return run
 
 
+def queue_sink(path: str, archive: DataFrame, strong: float = submissions.STRONG) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that holds queued submissions (id, text) against a static archive (id, title, summary,
+    in_conflict) and writes their verdicts, one folder for each batch; a batch run again overwrites its own."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        scored = submissions.scores(batch, archive)
+        bad = archive.filter("in_conflict").select(F.col("id").alias("item_id"))
+        submissions.classify(batch, scored, bad, strong).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return run
+
+
 def claim_states(stream: DataFrame, delay: str = "7 days", keep_days: int = 365) -> DataFrame:
     """(claim_id, ts, state, accepted) for each event (claim_id, ts, next_state): the state after it. Events of a batch
     are taken in order of time; an illegal move leaves the state and is not accepted. A claim starts UNVERIFIED, and is forgotten
