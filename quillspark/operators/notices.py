@@ -28,7 +28,8 @@ def feed(users: DataFrame, items: DataFrame, order: list[Column], per_user: int)
     """The first ``per_user`` items of each user by ``order``, within the user's scope and categories.
 
     Users with equal preferences have equal feeds: items meet the distinct preferences, not the users, and only the
-    few that remain meet the users. The meeting is by category, and by program where both sides have one.
+    few that remain meet the users. Items of one category and scope are seen by the same users, so no more than the
+    first ``per_user`` of each go on; that limit is taken before the shuffle too.
     """
     prefs = users.select(*SCOPE, categories().alias("cats")).withColumn("pref", F.xxhash64(*SCOPE, F.array_sort("cats")))
     who = users.select("user_id", F.xxhash64(*SCOPE, F.array_sort(categories())).alias("pref"))
@@ -37,7 +38,8 @@ def feed(users: DataFrame, items: DataFrame, order: list[Column], per_user: int)
     test = F.lit(True)
     for c in SCOPE:
         test = test & F.coalesce(F.col(f"p_{c}").isNull() | F.col(c).isNull() | (F.col(f"p_{c}") == F.col(c)), F.lit(True))
-    met = asked.join(items, "category").filter(test)
+    first = items.withColumn("__n", F.row_number().over(Window.partitionBy("category", *SCOPE).orderBy(*order))).filter(F.col("__n") <= per_user).drop("__n")
+    met = asked.join(first, "category").filter(test)
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("pref").orderBy(*order))).filter(F.col("rank") <= per_user)
     return who.join(ranked.select("pref", "rank", F.col("id").alias("item_id"), "due_at", "starts_at"), "pref").drop("pref")
 
