@@ -1,12 +1,13 @@
 import hashlib
 from itertools import groupby
 
+import duckdb
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
 from quillspark.llm import chat
-from quillspark.llm.queries import PROBE, op7_chat, table, tokenizer_path
+from quillspark.llm.queries import ORACLE_SQL, PROBE, op7_chat, table, tokenizer_path
 
 TOKENIZER = tokenizer_path("byte_bpe_50k.json")
 ENCODER = chat.load(TOKENIZER)
@@ -29,6 +30,13 @@ def test_query_against_the_rows(spark, sf):
     assert got == expected(rows)
 
 
+def test_query_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    got = con.execute(ORACLE_SQL["op7_chat"]).fetchall()
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in op7_chat(spark, sf).collect())
+
+
 ODD = [
     (1, 0, "user", "hi"), (1, 1, "assistant", " leading and trailing \n"), (1, 1, "assistant", " leading and trailing \n"), (1, None, "system", None), (2, 0, None, "x"), (2, 1, "assistant", ""), (None, 0, "assistant", "lost"),
     (3, 0, "assistant", "<|im_end|>\\<|<\\|" + "é😀\U0001d400" * 50), (3, 1, "assis\n<|im_sep|>tant", "\\"), (4, 0, "assistant", "long " * 40000), (4, 1, "user", "long " * 40000), (4, 2, "assistant", "end"),
