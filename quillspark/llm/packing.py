@@ -24,18 +24,18 @@ from .common import Numbering, small_batches, text_chunks
 CAPACITY = 2048
 END_ID = 1
 SMALLEST = 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 
 class Encoder:
     """Token ids of texts, word by word: the tokenizer drops white space and letters' case, so no token spans a blank.
 
-    Words are kept with A-Z in lower case, and a comma or full stop between a letter and white space stands alone, as
-    it does for the tokenizer. New words are encoded many at a time around a mark that is a token of its own.
+    Words are kept with A-Z in lower case, and cut where an ASCII mark other than the apostrophe follows a letter, as
+    the tokenizer cuts there in any case. New words are encoded many at a time around a mark that is a token of its own.
     """
 
     MARK = "\x01"
-    STOPS = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
+    STOPS = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~])")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
