@@ -59,6 +59,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` over all shuffle partitions, before each row becomes many: by size alone few would be left."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or /tmp/checkpoints where that is unset."""
     return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, small_batches, text_chunks
+from .common import materialize, small_batches, spread, text_chunks
 from .graph import components
 
 SHINGLE_WORDS = 3
@@ -63,7 +63,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius != 2:
         raise ValueError("the ball of half the radius is built for radius 2")
     masks = F.array(*[F.lit(m) for m in [0, *((1 << i) - (1 << 64 if i == 63 else 0) for i in range(64))]])
-    variants = prints.select("fp").distinct().select("fp", F.explode(masks).alias("mask"))
+    variants = spread(prints.select("fp").distinct(), "fp").select("fp", F.explode(masks).alias("mask"))
     variants = variants.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     met = variants.withColumn("least", F.min("fp").over(Window.partitionBy("variant")))
     met = met.filter("least <> fp").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
@@ -114,7 +114,7 @@ def word_links(prints: DataFrame) -> DataFrame:
     parts = [F.shiftrightunsigned(c, n).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("hi", "lo") for n in (0, 32)]
     keyed = F.explode(F.array(*[p.bitwiseOR(F.lit(t << 32)) for t, p in enumerate(parts)]))
     masks = F.array(*[F.lit(m) for m in [0, *(1 << i for i in range(32))]])
-    variants = known.select("fp", keyed.alias("part")).select("fp", "part", F.explode(masks).alias("mask")).select("fp", F.col("part").bitwiseXOR(F.col("mask")).alias("variant"))
+    variants = spread(known.select("fp", "hi", "lo"), "fp").select("fp", keyed.alias("part")).select("fp", "part", F.explode(masks).alias("mask")).select("fp", F.col("part").bitwiseXOR(F.col("mask")).alias("variant"))
     least = variants.groupBy("variant").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most").select("variant", "least")
     met = variants.join(least, "variant").filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
     side = lambda s: known.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("hi", "lo", "words")])
