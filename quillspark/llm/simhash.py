@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ SHINGLE_WORDS = 3
 RADIUS = 2
 #: Bits of 128 by which word sets of near copies may differ; fewer in texts below LONG_WORDS, where one word is many bits.
 WORD_BITS, SHORT_BITS, LONG_WORDS = 16, 8, 100
+#: Rounds of linking within blocks, the last of which takes all pairs left over; blocks up to SMALL_BLOCK go there at once.
+STARS, SMALL_BLOCK = 4, 32
 
 
 def fingerprint(text: str | None, k: int = SHINGLE_WORDS, block: int = 16384) -> int:
@@ -103,24 +105,64 @@ def word_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _with_word_prints(narrow, "text").drop("text")
 
 
+def _members(variants: DataFrame) -> DataFrame:
+    """(block, fp): the variants that several share, one block of those with the same members."""
+    known = variants.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most"), F.bit_xor(F.xxhash64("fp")).alias("all"))
+    chosen = known.filter("least <> most").groupBy("n", "least", "most", "all").agg(F.min("variant").alias("variant"))
+    return materialize(variants.join(chosen.select("variant"), "variant").select(F.col("variant").alias("block"), "fp"), "members")
+
+
+def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = STARS) -> DataFrame:
+    """Edges (a, b) that connect all of a block whom verified pairs connect; ``verify`` keeps the pairs (a, b) it likes.
+
+    First a star in each block, from its least member. A pair of others may be near where both are far from that one,
+    so, while some block is large and holds several components, further stars from other members follow; then all pairs
+    of a block that lie in different components. As one of each such pair is outside the block's largest component, a
+    block of one large component and a few others has about as many of them as members.
+    """
+    least = members.groupBy("block").agg(F.min("fp").alias("a"))
+    edges = materialize(verify(members.join(least, "block").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()), "links")
+    for k in range(1, stars + 1):
+        roots = components(edges)
+        tagged = members.join(roots, F.col("fp") == F.col("node"), "left").select("block", "fp", F.coalesce("root", "fp").alias("c"))
+        counts = tagged.groupBy("block", "c").agg(F.count("*").alias("n")).groupBy("block").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max_by("c", F.struct("n", "c")).alias("major"))
+        tagged = materialize(tagged.join(counts.filter("kinds > 1"), "block"), "open")
+        size = tagged.agg(F.max("n")).first()[0]
+        if size is None:
+            break
+        if k < stars and size > SMALL_BLOCK:
+            heads = tagged.groupBy("block").agg(F.min_by(F.struct("fp", "c"), F.xxhash64("fp", F.lit(k))).alias("h"))
+            pairs = tagged.join(heads, "block").filter("c <> h.c").select(F.col("h.fp").alias("x"), F.col("fp").alias("y"))
+        else:
+            minor = tagged.filter("c <> major").select("block", F.col("fp").alias("x"), F.col("c").alias("cx"))
+            pairs = tagged.select("block", F.col("fp").alias("y"), "c").join(minor, "block").filter("c <> cx").select("x", "y")
+        found = verify(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = materialize(edges.unionByName(found), "links")
+        if not (k < stars and size > SMALL_BLOCK):
+            break
+    return edges
+
+
 def word_links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) between fingerprints of word sets that few words tell apart.
+    """Edges (a, b) that connect fingerprints of word sets that few words tell apart.
 
     The 128 bits are four parts; each part emits its variants within one bit, so that two within two bits in any part
-    meet. All that meet are linked to the least of them, by an aggregate and a join, as a variant may have any number
-    of near copies; the whole 128 bits then verify each link (WORD_BITS, for short texts SHORT_BITS).
+    meet. Who meets need not be near as a whole, so connect() finds the links; the whole 128 bits verify each
+    (WORD_BITS, for short texts SHORT_BITS).
     """
-    known = prints.groupBy("fp").agg(F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.max("words").alias("words"))
+    known = materialize(prints.groupBy("fp").agg(F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.max("words").alias("words")), "known")
     parts = [F.shiftrightunsigned(c, n).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("hi", "lo") for n in (0, 32)]
     keyed = F.explode(F.array(*[p.bitwiseOR(F.lit(t << 32)) for t, p in enumerate(parts)]))
     masks = F.array(*[F.lit(m) for m in [0, *(1 << i for i in range(32))]])
     variants = spread(known.select("fp", "hi", "lo"), "fp").select("fp", keyed.alias("part")).select("fp", "part", F.explode(masks).alias("mask")).select("fp", F.col("part").bitwiseXOR(F.col("mask")).alias("variant"))
-    least = variants.groupBy("variant").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most").select("variant", "least")
-    met = variants.join(least, "variant").filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
-    side = lambda s: known.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("hi", "lo", "words")])
-    both = met.join(side("a"), "a").join(side("b"), "b")
-    apart = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
-    return both.filter(apart <= F.when(F.least("words_a", "words_b") >= LONG_WORDS, WORD_BITS).otherwise(SHORT_BITS)).select("a", "b")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        side = lambda s: known.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("hi", "lo", "words")])
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        apart = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
+        return both.filter(apart <= F.when(F.least("words_a", "words_b") >= LONG_WORDS, WORD_BITS).otherwise(SHORT_BITS)).select("a", "b")
+
+    return connect(_members(variants), verify)
 
 
 def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:

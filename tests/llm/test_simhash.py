@@ -129,6 +129,21 @@ def test_keep_one_of_altered_copies(spark):
     assert set(clean) <= kept and len(kept) <= len(clean) + 8
 
 
+def test_near_pair_behind_a_stranger(spark):
+    """1 and 2 are near but meet in one part only, where the least, 0, is far from both. A large block in rounds gives the same."""
+    low = 0xABCDEF01
+    wide = lambda k: int.from_bytes(xxhash.xxh64_digest(str(k).encode()), "big", signed=True)
+    near = [(0, low, wide(0), 200), (1, (0x1234567 << 32) | low, wide(1), 200), (2, (0x1234560 << 32) | low, wide(1) ^ (0b111 << 40 | 0b111), 200)]
+    df = spark.createDataFrame([(fp, fp, hi, lo, n) for fp, hi, lo, n in near], "id bigint, fp bigint, hi bigint, lo bigint, words bigint")
+    assert {(r.a, r.b) for r in simhash.word_links(df).collect()} == {(1, 2)}
+    rows = [(1, i) for i in range(60)] + [(2, i) for i in range(58, 70)]
+    alike = lambda pairs: pairs.filter("a % 7 = b % 7 and abs(a - b) < 15")
+    edges = simhash.connect(spark.createDataFrame(rows, "block bigint, fp bigint"), alike)
+    roots = {r.node: r.root for r in graph.components(edges).collect()}
+    # block 2 alone ties 65 to 58, 66 to 59, and 60, 61, 62 to 67, 68, 69
+    assert roots == {i: i % 7 for i in range(60)} | {65: 2, 66: 3} | {i: 60 + (i - 60) % 7 for i in (60, 61, 62, 67, 68, 69)}
+
+
 def test_empty_table(no_documents):
     assert simhash.near_duplicates(no_documents).count() == 0
     assert simhash.keep_one(no_documents).count() == 0
