@@ -20,6 +20,9 @@ RADIUS = 2
 WORD_BITS, SHORT_BITS, LONG_WORDS = 16, 8, 100
 #: Rounds of linking within blocks, the last of which takes all pairs left over; blocks up to SMALL_BLOCK go there at once.
 STARS, SMALL_BLOCK = 4, 32
+#: Words of the shingles that verify links of word sets, and the least similarity of two texts' sets of them: the same
+#: words in another order are no copy. Near copies of the given tables lie at 0.39 or more.
+GRAM_WORDS, MIN_SHARED = 5, 0.3
 
 
 def fingerprint(text: str | None, k: int = SHINGLE_WORDS, block: int = 16384) -> int:
@@ -87,7 +90,7 @@ def word_print(text: str | None) -> tuple[int, int, int]:
 
 
 def _with_word_prints(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``hi``, ``lo`` and ``words``, and their hash ``fp``; no shuffle."""
+    """``docs`` with ``hi``, ``lo`` and ``words``, and the text's hash ``fp``; no shuffle."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +99,7 @@ def _with_word_prints(docs: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(found[:, k]) for k in range(3))], [*b.schema.names, "hi", "lo", "words"])
 
     fields = [StructField(n, LongType()) for n in ("hi", "lo", "words")]
-    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *fields])).withColumn("fp", F.xxhash64("hi", "lo"))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *fields])).withColumn("fp", F.xxhash64(text))
 
 
 def word_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,6 +108,23 @@ def word_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _with_word_prints(narrow, "text").drop("text")
 
 
+def shingle_set(words: list[bytes], k: int = GRAM_WORDS) -> np.ndarray:
+    """Hashes of the different runs of ``k`` words, in order; of the whole sequence if shorter."""
+    runs = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else ()
+    return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, runs), np.uint64, len(runs)).view(np.int64))
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(fp, grams) of texts (fp, text), one row for each fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_chunks(batches, "text"):
+            sets = [shingle_set((t or "").encode().lower().split()) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "grams"])
+
+    return small_batches(texts).mapInArrow(run, "fp bigint, grams array<bigint>").dropDuplicates(["fp"])
+
+
 def _members(variants: DataFrame) -> DataFrame:
     """(block, fp): the variants that several share, one block of those with the same members."""
     known = variants.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most"), F.bit_xor(F.xxhash64("fp")).alias("all"))
@@ -143,12 +163,12 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars:
     return edges
 
 
-def word_links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect fingerprints of word sets that few words tell apart.
+def word_links(prints: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) that connect texts whose word sets few words tell apart.
 
     The 128 bits are four parts; each part emits its variants within one bit, so that two within two bits in any part
     meet. Who meets need not be near as a whole, so connect() finds the links; the whole 128 bits verify each
-    (WORD_BITS, for short texts SHORT_BITS).
+    (WORD_BITS, for short texts SHORT_BITS), and, given ``texts`` (fp, text), their shingles (MIN_SHARED).
     """
     known = materialize(prints.groupBy("fp").agg(F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.max("words").alias("words")), "known")
     parts = [F.shiftrightunsigned(c, n).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("hi", "lo") for n in (0, 32)]
@@ -160,19 +180,29 @@ def word_links(prints: DataFrame) -> DataFrame:
         side = lambda s: known.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("hi", "lo", "words")])
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         apart = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
-        return both.filter(apart <= F.when(F.least("words_a", "words_b") >= LONG_WORDS, WORD_BITS).otherwise(SHORT_BITS)).select("a", "b")
+        both = both.filter(apart <= F.when(F.least("words_a", "words_b") >= LONG_WORDS, WORD_BITS).otherwise(SHORT_BITS)).select("a", "b")
+        if grams is None:
+            return both
+        for s in "ab":
+            both = both.join(grams.toDF(s, f"grams_{s}"), s)
+        both = both.withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
+        either = F.size("grams_a") + F.size("grams_b") - F.col("common")
+        return both.filter(F.col("common") >= MIN_SHARED * either).select("a", "b")
 
-    return connect(_members(variants), verify)
+    members = _members(variants)
+    grams = None if texts is None else materialize(shingle_sets(texts.join(members.select("fp").distinct(), "fp", "left_semi")), "grams")
+    return connect(members, verify)
 
 
 def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, component) of materialised prints (id, fp); component is the least id reachable over edges."""
+    """(fp, component, root) of materialised prints (id, fp); component is the least id reachable over edges, root the same
+    for all that are connected."""
     roots = components(edges)
     first = prints.groupBy("fp").agg(F.min("id").alias("first"))
     joined = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     joined = materialize(joined, "roots")
     best = joined.groupBy("root").agg(F.min("first").alias("component"))
-    return joined.join(best, "root").select("fp", "component")
+    return joined.join(best, "root").select("fp", "component", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -187,16 +217,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies stays, all columns: the one with the least id (of several, the one of the
-    least fingerprint and then text). Of a group without any id one row stays.
+    least hash and then text). Of a group without any id one row stays.
 
     Near copies are found on fingerprints of word sets: a similarity of 0.8 of five-word shingles lets about one word in
-    fifty differ, which moves 9 of 64 bits of a shingle fingerprint, but 11 of 128 of this one.
+    fifty differ, which moves 9 of 64 bits of a shingle fingerprint, but 11 of 128 of this one. The texts' shingles verify
+    them, as the same words in another order have the same fingerprint.
 
     Rows whose ids differ, as they should, go by an anti-join of ids; only rows that share an id or have none are
     ranked, in a window over fingerprints' groups that holds just such rows.
     """
     prints = materialize(word_prints(docs, id_col, text_col), "prints")
-    classes = materialize(_classes(prints, word_links(prints)), "classes")
+    texts = docs.select(F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
+    classes = materialize(_classes(prints, word_links(prints, texts)), "classes")
     marked = materialize(prints.join(classes, "fp").select("id", "fp", "component"), "marked")
     gone = marked.filter("id <> component").select(F.col("id").alias("__gone")).distinct()
     odd = materialize(marked.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").select(F.col("id").alias("__odd")), "odd")
@@ -207,7 +239,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     columns = [f"c{i}" for i in range(len(docs.columns))]
     key, text = columns[docs.columns.index(id_col)], columns[docs.columns.index(text_col)]
     rest = _with_word_prints(docs.join(odd, docs[id_col].eqNullSafe(odd["__odd"]), "left_semi").toDF(*columns), text)
-    rest = rest.join(classes.withColumnRenamed("component", "__c"), "fp").filter((F.col(key) == F.col("__c")) | F.col("__c").isNull())
-    order = Window.partitionBy(key, F.when(F.col("__c").isNull(), F.col("fp"))).orderBy("fp", text)
+    rest = rest.join(classes.toDF("fp", "__c", "__root"), "fp").filter((F.col(key) == F.col("__c")) | F.col("__c").isNull())
+    order = Window.partitionBy(key, F.when(F.col("__c").isNull(), F.col("__root"))).orderBy("fp", text)
     rest = rest.withColumn("__n", F.row_number().over(order)).filter("__n = 1")
     return plain.unionByName(rest.select(*columns).toDF(*docs.columns))

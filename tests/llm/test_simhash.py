@@ -144,6 +144,17 @@ def test_near_pair_behind_a_stranger(spark):
     assert roots == {i: i % 7 for i in range(60)} | {65: 2, 66: 3} | {i: 60 + (i - 60) % 7 for i in (60, 61, 62, 67, 68, 69)}
 
 
+def test_same_words_in_another_order_stay(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(200)]
+    near = list(words)
+    near[70] = "other"
+    rows = [(1, words), (2, near)] + [(k, rng.sample(words, 200)) for k in range(3, 9)]
+    rows = [(k, " ".join(w)) for k, w in rows] + [(None, "No id"), (None, "no  id")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "4", "5", "6", "7", "8", "None"]
+
+
 def test_empty_table(no_documents):
     assert simhash.near_duplicates(no_documents).count() == 0
     assert simhash.keep_one(no_documents).count() == 0
