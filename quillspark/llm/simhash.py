@@ -23,6 +23,9 @@ STARS, SMALL_BLOCK = 4, 32
 #: Words of the shingles that verify links of word sets, and the least similarity of two texts' sets of them: the same
 #: words in another order are no copy. Near copies of the given tables lie at 0.39 or more.
 GRAM_WORDS, MIN_SHARED = 5, 0.3
+#: Texts of up to so many different shingles also meet by shingles: each pair of them with NEAR fifths in common is found.
+#: As a text below 100 words has up to 95, those that it can be near to have up to 118.
+EXACT_GRAMS, NEAR = 128, 4
 
 
 def fingerprint(text: str | None, k: int = SHINGLE_WORDS, block: int = 16384) -> int:
@@ -102,12 +105,6 @@ def _with_word_prints(docs: DataFrame, text: str) -> DataFrame:
     return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *fields])).withColumn("fp", F.xxhash64(text))
 
 
-def word_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hi, lo, words, fp) for every row."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return _with_word_prints(narrow, "text").drop("text")
-
-
 def shingle_set(words: list[bytes], k: int = GRAM_WORDS) -> np.ndarray:
     """Hashes of the different runs of ``k`` words, in order; of the whole sequence if shorter."""
     runs = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else ()
@@ -163,31 +160,66 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars:
     return edges
 
 
+def word_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, hi, lo, words, grams, fp) for every row; grams is the set of shingles, null for more than EXACT_GRAMS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_chunks(batches, "text"):
+            texts = b.column(2).to_pylist()
+            found, sets = np.array([word_print(t) for t in texts], np.int64).reshape(-1, 3), []
+            for t in texts:
+                words = (t or "").encode().lower().split()
+                # each new word but the first few ends a new shingle
+                grams = shingle_set(words) if len(set(words)) < EXACT_GRAMS + GRAM_WORDS else ()
+                sets.append(grams if len(grams) <= EXACT_GRAMS and (len(grams) or not words) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, k]) for k in range(3)), pa.array(sets, pa.list_(pa.int64())), b.column(1)], ["id", "hi", "lo", "words", "grams", "fp"])
+
+    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
+    return small_batches(narrow).mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, hi bigint, lo bigint, words bigint, grams array<bigint>, fp bigint")
+
+
+def shingle_blocks(short: DataFrame) -> DataFrame:
+    """(fp, variant): the rarest shingles of texts (fp, grams), so many that two texts with NEAR fifths of all their
+    shingles in common have one of those in common."""
+    each = short.select("fp", F.size("grams").alias("n"), F.explode("grams").alias("variant"))
+    often = each.groupBy("variant").agg(F.count("*").alias("df")).filter("df > 1")
+    mine = Window.partitionBy("fp")
+    ranked = each.join(often, "variant").withColumn("rank", F.row_number().over(mine.orderBy("df", "variant")) + F.col("n") - F.count("*").over(mine))
+    return ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * NEAR / 5) + 1).select("fp", "variant")
+
+
 def word_links(prints: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Edges (a, b) that connect texts whose word sets few words tell apart.
+    """Edges (a, b) that connect texts whose word sets few words tell apart, and short texts that share shingles.
 
     The 128 bits are four parts; each part emits its variants within one bit, so that two within two bits in any part
     meet. Who meets need not be near as a whole, so connect() finds the links; the whole 128 bits verify each
-    (WORD_BITS, for short texts SHORT_BITS), and, given ``texts`` (fp, text), their shingles (MIN_SHARED).
+    (WORD_BITS, for short texts SHORT_BITS), and, given ``texts`` (fp, text), their shingles (MIN_SHARED). Then short
+    texts also meet by the shingles that ``prints`` hold (EXACT_GRAMS): one word of theirs is many bits.
     """
-    known = materialize(prints.groupBy("fp").agg(F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.max("words").alias("words")), "known")
+    size = F.lit(None).cast("int") if texts is None else F.max(F.when(F.col("grams").isNotNull(), F.size("grams")))
+    known = materialize(prints.groupBy("fp").agg(F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.max("words").alias("words"), size.alias("n")), "known")
     parts = [F.shiftrightunsigned(c, n).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("hi", "lo") for n in (0, 32)]
     keyed = F.explode(F.array(*[p.bitwiseOR(F.lit(t << 32)) for t, p in enumerate(parts)]))
     masks = F.array(*[F.lit(m) for m in [0, *(1 << i for i in range(32))]])
     variants = spread(known.select("fp", "hi", "lo"), "fp").select("fp", keyed.alias("part")).select("fp", "part", F.explode(masks).alias("mask")).select("fp", F.col("part").bitwiseXOR(F.col("mask")).alias("variant"))
+    if texts is not None:
+        short = prints.filter("grams is not null").select("fp", "grams").dropDuplicates(["fp"])
+        variants = variants.unionByName(materialize(shingle_blocks(short), "shingles"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda s: known.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("hi", "lo", "words")])
+        side = lambda s: known.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("hi", "lo", "words", "n")])
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         apart = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
-        both = both.filter(apart <= F.when(F.least("words_a", "words_b") >= LONG_WORDS, WORD_BITS).otherwise(SHORT_BITS)).select("a", "b")
+        both = both.select("a", "b", "n_a", "n_b", (apart <= F.when(F.least("words_a", "words_b") >= LONG_WORDS, WORD_BITS).otherwise(SHORT_BITS)).alias("close"))
         if grams is None:
-            return both
+            return both.filter("close").select("a", "b")
+        may = F.coalesce(5 * F.least("n_a", "n_b") >= NEAR * F.greatest("n_a", "n_b"), F.lit(False)) & F.col("n_a").isNotNull() & F.col("n_b").isNotNull()
+        both = both.filter(F.col("close") | may).select("a", "b", "close")
         for s in "ab":
             both = both.join(grams.toDF(s, f"grams_{s}"), s)
         both = both.withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
         either = F.size("grams_a") + F.size("grams_b") - F.col("common")
-        return both.filter(F.col("common") >= MIN_SHARED * either).select("a", "b")
+        return both.filter((F.col("close") & (F.col("common") >= MIN_SHARED * either)) | (5 * F.col("common") >= NEAR * either)).select("a", "b")
 
     members = _members(variants)
     grams = None if texts is None else materialize(shingle_sets(texts.join(members.select("fp").distinct(), "fp", "left_semi")), "grams")

@@ -155,6 +155,29 @@ def test_same_words_in_another_order_stay(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "4", "5", "6", "7", "8", "None"]
 
 
+def test_short_near_copies_go(spark):
+    """Every pair of short texts at a five-word similarity of 0.8 is in one component, a common line or not."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3))
+    line, texts = [word() for _ in range(12)], []
+    for k in range(80):
+        base = [word() for _ in range(rng.randrange(15, 100))] + line * (k % 2)
+        texts.append(base)
+        for _ in range(3):
+            copy = list(base)
+            copy[rng.choice([0, 1, len(copy) // 2, -1])] = word()
+            texts.append(copy)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    edges = simhash.word_links(simhash.word_prints(docs), docs.selectExpr("xxhash64(text) as fp", "text"))
+    roots = {r.node: r.root for r in graph.components(edges).collect()}
+    fp = {r.id: r.fp for r in simhash.word_prints(docs).collect()}
+    assert len(pairs) > 150
+    assert [p for p in pairs if roots.get(fp[p[0]], p[0]) != roots.get(fp[p[1]], p[1])] == []
+
+
 def test_empty_table(no_documents):
     assert simhash.near_duplicates(no_documents).count() == 0
     assert simhash.keep_one(no_documents).count() == 0
