@@ -22,11 +22,6 @@ from .common import Numbering, materialize, small_batches, text_chunks
 
 ORDER = 4
 PAD, END = 1, 2
-#: Most n-grams of the highest order that a language keeps (the rarest go first): 8 + 4 bytes each, so the model that
-#: workers get has a size bound. Counting covers every training text.
-MAX_GRAMS = 150_000
-#: Languages that are learned at most: those with the most different n-grams.
-MAX_LANGS = 200
 #: Scored words and n-grams that a worker keeps.
 CACHE_WORDS = 200_000
 CACHE_GRAMS = 400_000
@@ -113,8 +108,10 @@ class Model:
     base: np.ndarray
 
     @classmethod
-    def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-        """counts: packed highest-order n-grams and their counts, by language. Lower orders use continuation counts."""
+    def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], max_grams: int | None = None) -> Model:
+        """counts: packed highest-order n-grams and their counts, by language. Lower orders use continuation counts.
+        ``max_grams`` drops probabilities of the rarest highest-order n-grams, in whole count buckets, when all counts
+        have been used; what they had goes to the back-off weights."""
         langs, per = sorted(counts), []
         for name in langs:
             keys, n = counts[name]
@@ -125,7 +122,15 @@ class Model:
                 d = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
                 ctx, inverse = np.unique(keys >> np.uint64(16), return_inverse=True)
                 total, kinds = np.bincount(inverse, n), np.bincount(inverse)
-                levels.append((keys, np.maximum(n - d, 0) / total[inverse], ctx, d * kinds / total))
+                held, probs, weights = keys, np.maximum(n - d, 0) / total[inverse], d * kinds / total
+                if k == ORDER and max_grams is not None and len(keys) > max_grams:
+                    bucket = np.floor(np.log2(n) * 8).astype(int)
+                    sizes = np.bincount(bucket)[::-1]
+                    fit = max(int((np.cumsum(sizes) <= max_grams).sum()), int(np.flatnonzero(sizes)[0]) + 1)
+                    stay = bucket >= len(sizes) - fit
+                    weights = weights + np.bincount(inverse[~stay], probs[~stay], len(ctx))
+                    held, probs = keys[stay], probs[stay]
+                levels.append((held, probs, ctx, weights))
                 if k > 1:  # distinct left neighbours of each shorter n-gram
                     keys, n = np.unique(keys & np.uint64((1 << 16 * (k - 1)) - 1), return_counts=True)
                     n = n.astype(float)
@@ -212,28 +217,15 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text", max_grams: int = MAX_GRAMS) -> Model:
-    """Count over all ``docs`` on the executors; only what the size bound admits comes to the driver."""
-    counts = materialize(count_grams(docs, lang, text), "grams")
-    bucket = F.floor(F.log2("n") * 8).cast("int")
-    cut: dict[str, int] = {}
-    kept: dict[str, int] = {}
-    for r in sorted(counts.groupBy("lang", bucket.alias("b")).agg(F.count("*").alias("k")).collect(), key=lambda r: (r.lang, -r.b)):
-        kept[r.lang] = kept.get(r.lang, 0) + r.k
-        if kept[r.lang] <= max_grams or r.lang not in cut:
-            cut[r.lang] = r.b
-    if not cut:
-        return Model.fit({})
-    cut = {k: cut[k] for k in sorted(cut, key=lambda k: (-kept[k], k))[:MAX_LANGS]}
-    floor = F.create_map(*[x for name, b in cut.items() for x in (F.lit(name), F.lit(b))])
-    got: dict[str, tuple] = {}
-    table = counts.filter(bucket >= floor[F.col("lang")]).toArrow()
-    names = table.column("lang").to_numpy(zero_copy_only=False)
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", max_grams: int | None = None) -> Model:
+    """Count over all ``docs`` on the executors; every language and, without ``max_grams``, every n-gram is learned."""
+    table = materialize(count_grams(docs, lang, text), "grams").toArrow()
     keys, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    for name in cut:
-        mine = names == name
-        got[name] = (keys[mine], n[mine])
-    return Model.fit(got)
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    at, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    order = np.argsort(at, kind="stable")
+    ends = np.cumsum(np.bincount(at, minlength=len(names)))
+    return Model.fit({name: (keys[mine], n[mine]) for name, mine in zip(names, np.split(order, ends[:-1]))}, max_grams)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -82,3 +82,21 @@ def test_numerals_are_no_letters(spark, documents):
 def test_size_bound(documents):
     model = langid.train(documents, max_grams=500)
     assert all(len(g) for g in model.grams) and model.probs[-1].astype(bool).sum(axis=0).max() <= 600
+
+
+def test_all_languages_and_grams_are_learned(spark):
+    rare = " ".join(chr(0x4E00 + i // 400) + chr(0x4E00 + i % 400) for i in range(160_000))
+    rows = [(f"l{k:03}", chr(0x3400 + 4 * k) * 3) for k in range(210)] + [("zh", "\u9000\u9001 " * 50 + rare)]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(model.langs) == 211
+    assert (model.probs[-1][:, model.langs.index("zh")] > 0).sum() > 160_000
+
+
+def test_size_bound_keeps_discounts():
+    words = ["banana", "band", "bandana", "cab", "an", "a", "cabana"]
+    keys, n = np.unique(langid.grams(words * 2 + ["banana"] * 3)[0][-1], return_counts=True)
+    whole, cut = langid.Model.fit({"x": (keys, n)}), langid.Model.fit({"x": (keys, n)}, 8)
+    assert 0 < len(cut.grams[-1]) <= 8 < len(whole.grams[-1])
+    assert all((a == b).all() for a, b in zip(whole.probs[:-1], cut.probs[:-1]))
+    sums = np.bincount(np.searchsorted(cut.contexts[-1][:], cut.grams[-1] >> np.uint64(16)), cut.probs[-1][:, 0], len(cut.contexts[-1]))
+    assert np.allclose(sums + cut.weights[-1][:, 0], 1)
