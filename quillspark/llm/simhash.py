@@ -124,9 +124,11 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
 def _members(variants: DataFrame) -> DataFrame:
     """(block, fp): the variants that several share, one block of those with the same members."""
-    known = variants.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most"), F.bit_xor(F.xxhash64("fp")).alias("all"))
-    chosen = known.filter("least <> most").groupBy("n", "least", "most", "all").agg(F.min("variant").alias("variant"))
-    return materialize(variants.join(chosen.select("variant"), "variant").select(F.col("variant").alias("block"), "fp"), "members")
+    several = variants.groupBy("variant").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most").select("variant")
+    shared = materialize(variants.join(several, "variant").select("variant", "fp"), "shared")
+    alike = shared.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.bit_xor(F.xxhash64("fp")).alias("all"))
+    chosen = alike.groupBy("n", "least", "all").agg(F.min("variant").alias("variant")).select("variant")
+    return materialize(shared.join(chosen, "variant").select(F.col("variant").alias("block"), "fp"), "members")
 
 
 def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = STARS) -> DataFrame:
