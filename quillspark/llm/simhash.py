@@ -11,21 +11,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, small_batches, spread, text_chunks
+from .common import Numbering, materialize, small_batches, spread, text_chunks
 from .graph import components
 
 SHINGLE_WORDS = 3
 RADIUS = 2
 #: Bits of 128 by which word sets of near copies may differ; fewer in texts below LONG_WORDS, where one word is many bits.
 WORD_BITS, SHORT_BITS, LONG_WORDS = 16, 8, 100
-#: Rounds of linking within blocks, the last of which takes all pairs left over; blocks up to SMALL_BLOCK go there at once.
-STARS, SMALL_BLOCK = 4, 32
+#: Rounds of linking within blocks, the last of which takes all pairs left over; a block that has at most PAIRS_EACH such
+#: pairs for each member goes there at once.
+STARS, PAIRS_EACH = 4, 32
 #: Words of the shingles that verify links of word sets, and the least similarity of two texts' sets of them: the same
 #: words in another order are no copy. Near copies of the given tables lie at 0.39 or more.
 GRAM_WORDS, MIN_SHARED = 5, 0.3
 #: Texts of up to so many different shingles also meet by shingles: each pair of them with NEAR fifths in common is found.
 #: As a text below 100 words has up to 95, those that it can be near to have up to 118.
 EXACT_GRAMS, NEAR = 128, 4
+#: Words that a worker keeps the hashes of.
+CACHE_WORDS = 100_000
+#: Parts into which a component is dealt while its members learn its least id: copies may be a third of all rows.
+SALTS = 32
 
 
 def fingerprint(text: str | None, k: int = SHINGLE_WORDS, block: int = 16384) -> int:
@@ -78,18 +83,53 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+class Vocabulary:
+    """Numbers words and keeps the 128 bits of each one's hash; bounded by CACHE_WORDS and one text's words."""
+
+    def __init__(self) -> None:
+        self.number, self.raw = Numbering(), np.empty((1024, 16), np.uint8)
+
+    def words(self, text: str | None) -> np.ndarray:
+        """The numbers of a text's words, in order; ASCII letters count in lower case."""
+        known = self.number
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        found = (text or "").encode().lower().split()
+        out = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        if known.new:
+            while len(known) > len(self.raw):
+                self.raw = np.concatenate((self.raw, self.raw))
+            self.raw[len(known) - len(known.new) : len(known)] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known.new)), np.uint8).reshape(-1, 16)
+            known.new.clear()
+        return out
+
+    def word_print(self, words: np.ndarray) -> tuple[int, int, int]:
+        """Two signed halves of a 128-bit SimHash of the set of words, and the number of words."""
+        if not len(words):
+            return 0, 0, 0
+        kinds, counts = np.unique(words), np.zeros(128, np.int64)
+        for at in range(0, len(kinds), 16384):
+            counts += np.unpackbits(self.raw[kinds[at : at + 16384]], axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        hi, lo = np.packbits(counts * 2 > len(kinds), bitorder="little").view("<i8").tolist()
+        return hi, lo, len(words)
+
+    def shingles(self, words: np.ndarray, k: int = GRAM_WORDS) -> np.ndarray:
+        """Hashes of the different runs of ``k`` words, in order; of the whole sequence if shorter."""
+        if not len(words):
+            return np.empty(0, np.int64)
+        k = min(k, len(words))
+        each, n = self.raw.view(np.uint64)[:, 0][words], len(words) - k + 1
+        out = np.full(n, k, np.uint64)
+        for i in range(k):  # the words' order counts, and every bit of each reaches every bit of the sum
+            out = (out ^ each[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return np.unique(out.view(np.int64))
+
+
 def word_print(text: str | None) -> tuple[int, int, int]:
-    """Two signed halves of a 128-bit SimHash of the set of words, and the number of words."""
-    words = (text or "").encode().lower().split()
-    kinds = set(words)
-    if not kinds:
-        return 0, 0, 0
-    counts, joined = np.zeros(128, np.int64), [xxhash.xxh3_128_digest(w) for w in kinds]
-    for at in range(0, len(joined), 16384):
-        h = np.frombuffer(b"".join(joined[at : at + 16384]), np.uint8).reshape(-1, 16)
-        counts += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    hi, lo = np.packbits(counts * 2 > len(kinds), bitorder="little").view("<i8").tolist()
-    return hi, lo, len(words)
+    """Two signed halves of a 128-bit SimHash of a text's set of words, and the number of words."""
+    known = Vocabulary()
+    return known.word_print(known.words(text))
 
 
 def _with_word_prints(docs: DataFrame, text: str) -> DataFrame:
@@ -97,26 +137,22 @@ def _with_word_prints(docs: DataFrame, text: str) -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary()
         for b in text_chunks(batches, text):
-            found = np.array([word_print(t) for t in b.column(at).to_pylist()], np.int64).reshape(-1, 3)
+            found = np.array([known.word_print(known.words(t)) for t in b.column(at).to_pylist()], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(found[:, k]) for k in range(3))], [*b.schema.names, "hi", "lo", "words"])
 
     fields = [StructField(n, LongType()) for n in ("hi", "lo", "words")]
     return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *fields])).withColumn("fp", F.xxhash64(text))
 
 
-def shingle_set(words: list[bytes], k: int = GRAM_WORDS) -> np.ndarray:
-    """Hashes of the different runs of ``k`` words, in order; of the whole sequence if shorter."""
-    runs = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else ()
-    return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, runs), np.uint64, len(runs)).view(np.int64))
-
-
 def shingle_sets(texts: DataFrame) -> DataFrame:
     """(fp, grams) of texts (fp, text), one row for each fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary()
         for b in text_chunks(batches, "text"):
-            sets = [shingle_set((t or "").encode().lower().split()) for t in b.column(1).to_pylist()]
+            sets = [known.shingles(known.words(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "grams"])
 
     return small_batches(texts).mapInArrow(run, "fp bigint, grams array<bigint>").dropDuplicates(["fp"])
@@ -134,31 +170,38 @@ def _members(variants: DataFrame) -> DataFrame:
 def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = STARS) -> DataFrame:
     """Edges (a, b) that connect all of a block whom verified pairs connect; ``verify`` keeps the pairs (a, b) it likes.
 
-    First a star in each block, from its least member. A pair of others may be near where both are far from that one,
-    so, while some block is large and holds several components, further stars from other members follow; then all pairs
-    of a block that lie in different components. As one of each such pair is outside the block's largest component, a
-    block of one large component and a few others has about as many of them as members.
+    First a star in each block, from its least member. A pair of others may be near where both are far from that one, so
+    all pairs of a block that lie in different components follow. As one of each such pair is outside the block's largest
+    component, a block of one large component and a few others has about as many of them as members. Blocks that have
+    many more take further stars, from other members, before.
     """
     least = members.groupBy("block").agg(F.min("fp").alias("a"))
     edges = materialize(verify(members.join(least, "block").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()), "links")
+    fresh = not edges.isEmpty()
     for k in range(1, stars + 1):
-        roots = components(edges)
-        tagged = members.join(roots, F.col("fp") == F.col("node"), "left").select("block", "fp", F.coalesce("root", "fp").alias("c"))
-        counts = tagged.groupBy("block", "c").agg(F.count("*").alias("n")).groupBy("block").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max_by("c", F.struct("n", "c")).alias("major"))
-        tagged = materialize(tagged.join(counts.filter("kinds > 1"), "block"), "open")
-        size = tagged.agg(F.max("n")).first()[0]
-        if size is None:
-            break
-        if k < stars and size > SMALL_BLOCK:
-            heads = tagged.groupBy("block").agg(F.min_by(F.struct("fp", "c"), F.xxhash64("fp", F.lit(k))).alias("h"))
-            pairs = tagged.join(heads, "block").filter("c <> h.c").select(F.col("h.fp").alias("x"), F.col("fp").alias("y"))
-        else:
-            minor = tagged.filter("c <> major").select("block", F.col("fp").alias("x"), F.col("c").alias("cx"))
-            pairs = tagged.select("block", F.col("fp").alias("y"), "c").join(minor, "block").filter("c <> cx").select("x", "y")
-        found = verify(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        edges = materialize(edges.unionByName(found), "links")
-        if not (k < stars and size > SMALL_BLOCK):
+        if fresh:
+            roots = materialize(components(edges), "roots")
+            edges = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        tagged = members.withColumn("c", F.col("fp"))
+        if not edges.isEmpty():
+            tagged = members.join(roots, F.col("fp") == F.col("node"), "left").select("block", "fp", F.coalesce("root", "fp").alias("c"))
+        counts = tagged.groupBy("block", "c").agg(F.count("*").alias("n")).groupBy("block")
+        counts = counts.agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max_by("c", F.struct("n", "c")).alias("major"))
+        few = F.lit(k == stars) | (F.col("n") * F.col("n") - F.col("squares") <= 2 * PAIRS_EACH * F.col("n"))
+        members = materialize(tagged.join(counts.filter("kinds > 1").withColumn("few", few).select("block", "major", "few"), "block"), "open")  # the others are done
+        minor = members.filter("few and c <> major").select("block", F.col("fp").alias("x"), F.col("c").alias("cx"))
+        pairs = members.filter("few").select("block", F.col("fp").alias("y"), "c").join(minor, "block").filter("c <> cx").select("x", "y")
+        members = members.filter("not few").select("block", "fp", "c")
+        more = not members.isEmpty()
+        if more:
+            heads = members.groupBy("block").agg(F.min_by(F.struct("fp", "c"), F.xxhash64("fp", F.lit(k))).alias("h"))
+            pairs = pairs.unionByName(members.join(heads, "block").filter("c <> h.c").select(F.col("h.fp").alias("x"), F.col("fp").alias("y")))
+        found = materialize(verify(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), "links")
+        fresh = not found.isEmpty()
+        edges = edges.unionByName(found) if fresh else edges
+        if not more:
             break
+        members = members.select("block", "fp")
     return edges
 
 
@@ -166,14 +209,15 @@ def word_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, hi, lo, words, grams, fp) for every row; grams is the set of shingles, null for more than EXACT_GRAMS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary()
         for b in text_chunks(batches, "text"):
-            texts = b.column(2).to_pylist()
-            found, sets = np.array([word_print(t) for t in texts], np.int64).reshape(-1, 3), []
-            for t in texts:
-                words = (t or "").encode().lower().split()
+            found, sets = np.empty((b.num_rows, 3), np.int64), []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                words = known.words(t)
+                found[i] = known.word_print(words)
                 # each new word but the first few ends a new shingle
-                grams = shingle_set(words) if len(set(words)) < EXACT_GRAMS + GRAM_WORDS else ()
-                sets.append(grams if len(grams) <= EXACT_GRAMS and (len(grams) or not words) else None)
+                grams = known.shingles(words) if len(words) < EXACT_GRAMS + GRAM_WORDS or len(np.unique(words)) < EXACT_GRAMS + GRAM_WORDS else None
+                sets.append(grams if grams is not None and len(grams) <= EXACT_GRAMS else None)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, k]) for k in range(3)), pa.array(sets, pa.list_(pa.int64())), b.column(1)], ["id", "hi", "lo", "words", "grams", "fp"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
@@ -216,9 +260,10 @@ def word_links(prints: DataFrame, texts: DataFrame | None = None) -> DataFrame:
         if grams is None:
             return both.filter("close").select("a", "b")
         may = F.coalesce(5 * F.least("n_a", "n_b") >= NEAR * F.greatest("n_a", "n_b"), F.lit(False)) & F.col("n_a").isNotNull() & F.col("n_b").isNotNull()
-        both = both.filter(F.col("close") | may).select("a", "b", "close")
+        both = materialize(both.filter(F.col("close") | may).select("a", "b", "close"), "pairs")
+        used = grams.join(both.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
         for s in "ab":
-            both = both.join(grams.toDF(s, f"grams_{s}"), s)
+            both = both.join(used.toDF(s, f"grams_{s}"), s)
         both = both.withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
         either = F.size("grams_a") + F.size("grams_b") - F.col("common")
         return both.filter((F.col("close") & (F.col("common") >= MIN_SHARED * either)) | (5 * F.col("common") >= NEAR * either)).select("a", "b")
@@ -230,13 +275,16 @@ def word_links(prints: DataFrame, texts: DataFrame | None = None) -> DataFrame:
 
 def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:
     """(fp, component, root) of materialised prints (id, fp); component is the least id reachable over edges, root the same
-    for all that are connected."""
-    roots = components(edges)
+    for all that are connected. Only the nodes of edges have to learn their component, and a component is dealt to SALTS
+    parts, each of which has a copy of its least id."""
+    roots = materialize(components(edges), "roots")
     first = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    joined = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    joined = materialize(joined, "roots")
-    best = joined.groupBy("root").agg(F.min("first").alias("component"))
-    return joined.join(best, "root").select("fp", "component", "root")
+    joined = materialize(first.join(roots, first.fp == roots.node, "left").select("fp", "first", "root"), "joined")
+    linked = joined.filter("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    best = linked.groupBy("root", "salt").agg(F.min("first").alias("first")).groupBy("root").agg(F.min("first").alias("component"))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    alone = joined.filter("root is null").select("fp", F.col("first").alias("component"), F.col("fp").alias("root"))
+    return linked.join(best, ["root", "salt"]).select("fp", "component", "root").unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
