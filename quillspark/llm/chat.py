@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +69,9 @@ def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) ->
     return out
 
 
-def format_conversations(rows: DataFrame, tokenizer: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_roles: tuple[str, ...] = ("assistant",), part_chars: int = PART_CHARS) -> DataFrame:
-    """(conv, part, formatted, ids, starts, ends, loss): the parts of each conversation, in order, in one task.
+def format_conversations(rows: DataFrame, tokenizer: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_roles: tuple[str, ...] = ("assistant",), part_chars: int = PART_CHARS, with_ids: bool = True) -> DataFrame:
+    """(conv, part, formatted, ids, starts, ends, loss): the parts of each conversation, in order, in one task. Without
+    ``with_ids`` the ids are null.
 
     Turns go by ``turn``, then role and text; null turns come first. A null text or role is empty, and rows with a null
     conversation form one of their own. Extra columns are ignored; an empty table has no parts. Rows are sorted into
@@ -84,9 +86,9 @@ def format_conversations(rows: DataFrame, tokenizer: str, conv: str = "conv_id",
         def part(key, number: int, turns: list[tuple[str, str]]) -> list:
             whole, spans, roles = render(turns)
             e = encoder.encode(whole, add_special_tokens=False)
-            starts, ends = (np.array([o[k] for o in e.offsets], np.int32) for k in (0, 1))
+            starts, ends = np.fromiter(chain.from_iterable(e.offsets), np.int32).reshape(-1, 2).T.copy()
             loss = mask(starts, ends, [s for s, r in zip(spans, roles) if r in loss_roles])
-            return [key, number, whole, np.array(e.ids, np.int32), starts, ends, loss]
+            return [key, number, whole, np.array(e.ids, np.int32) if with_ids else None, starts, ends, loss]
 
         def batch(found: list) -> pa.RecordBatch:
             kinds = [kind, pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_())]
@@ -114,9 +116,12 @@ def format_conversations(rows: DataFrame, tokenizer: str, conv: str = "conv_id",
     return narrow.mapInArrow(run, f"conv {narrow.schema['conv'].dataType.simpleString()}, part bigint, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>")
 
 
-def digests(parts: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the parts, which must
-    stand in the order in which format_conversations() gives them."""
+def digests(parts: DataFrame, conv: str = "conv_id", ordered: bool = False) -> DataFrame:
+    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the parts. ``ordered``: they
+    come straight from format_conversations(), in its order; stored or shuffled ones are sorted first."""
+    parts = parts.select("conv", "part", "formatted", "starts", "ends", "loss")
+    if not ordered:
+        parts = parts.repartition("conv").sortWithinPartitions("conv", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list = []

@@ -65,8 +65,12 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or /tmp/checkpoints where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine if
+    all work is done here (a local master), else an error: executors elsewhere would write to their own disks."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or "file:///tmp/checkpoints").rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -11,13 +11,16 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches, text_chunks
 
@@ -25,8 +28,10 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE_WORDS = 5
-#: Bytes of item texts in one index, which every worker holds; more items make further indexes, searched in turn.
+#: Bytes of item texts in one index; more items make further indexes, with the same statistics.
 INDEX_BYTES = 16 << 20
+#: Indexes that a worker holds and searches in one reading of the texts; more take a further reading.
+HELD = 4
 MOST_BLOCKS = 32
 CACHE_WORDS = 200_000
 EDGES = "\"'`´.,;:!?()[]{}<>|*#$%&/\\=+-_~^@«»„“”‘’…"
@@ -56,11 +61,32 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return [w for s in sentences[:-1] for w in s] or (sentences[-1] if sentences else []), sentences[-1] if len(sentences) > 1 else []
 
 
+@dataclass
+class Statistics:
+    """What BM25 takes from all items, however they are cut into indexes: their number, mean and greatest length, and in
+    how many of them each word stands."""
+
+    n: int
+    mean: float
+    longest: int
+    df: Counter
+
+    @classmethod
+    def of(cls, texts) -> Statistics:
+        n, total, longest, df = 0, 0, 1, Counter()
+        for t in texts:
+            if t and (w := words_of(t)):
+                n, total, longest = n + 1, total + len(w), max(longest, len(w))
+                df.update(set(w))
+        return cls(n, total / n if n else 1.0, longest, df)
+
+
 class Index:
     """Postings of BM25 impacts, each divided by its item's own score, with their maxima by term and by block."""
 
-    def __init__(self, items: list[tuple]) -> None:
-        """items: (item_id, text). Items without a word are left out."""
+    def __init__(self, items: list[tuple], every: Statistics | None = None) -> None:
+        """items: (item_id, text). Items without a word are left out. ``every``: statistics of all items, if there are more."""
+        every = every or Statistics.of(t for _, t in items)
         kept = [(i, t, w) for i, t in items if t and (w := words_of(t))]
         self.ids = [i for i, _, _ in kept]
         self.words = [w for _, _, w in kept]
@@ -68,11 +94,10 @@ class Index:
         self.parts = [tuple(shingles(p) for p in parts(t)) for _, t, _ in kept]
         n = len(kept)
         counts = [Counter(w) for w in self.words]
-        df = Counter(t for c in counts for t in c)
+        df = sorted({t for c in counts for t in c})  # sums go by word, whatever the cut
         self.vocabulary = {t: k for k, t in enumerate(df)}
-        mean = sum(map(len, self.words)) / n if n else 1
-        idf = {t: math.log(1 + (n - k + 0.5) / (k + 0.5)) for t, k in df.items()}
-        self.longest = max(map(len, self.words), default=1)
+        mean, self.longest = every.mean, every.longest
+        idf = {t: math.log(1 + (every.n - every.df[t] + 0.5) / (every.df[t] + 0.5)) for t in df}
         block = max(1, -(-n // MOST_BLOCKS))
         self.block = block
         self.postings: list[list[tuple[int, float]]] = [[] for _ in df]
@@ -88,11 +113,18 @@ class Index:
 
     def score(self, terms: set[int], block: int) -> dict[int, float]:
         """Normalised BM25 of one block's items for a query of distinct terms."""
-        low, high, out = block * self.block, (block + 1) * self.block, {}
-        for t in terms:
-            for i, x in self.postings[t]:
-                if low <= i < high:
-                    out[i] = out.get(i, 0.0) + x
+        low, high, out = (block * self.block,), ((block + 1) * self.block,), {}
+        for t in sorted(terms):
+            held = self.postings[t]  # by item
+            for i, x in held[bisect_left(held, low) : bisect_left(held, high)]:
+                out[i] = out.get(i, 0.0) + x
+        return out
+
+    @classmethod
+    def again(cls, state: dict) -> Index:
+        """An index from the vars() of another: workers get plain values, as they may lack this package."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
         return out
 
 
@@ -161,36 +193,49 @@ class Searcher:
 
 
 def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", most_bytes: int = INDEX_BYTES) -> Iterator[Index]:
-    """Indexes over all items, each of at most ``most_bytes`` of text (or one item)."""
-    held, size = [], 0
-    for r in items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).filter("t is not null").orderBy("i").toLocalIterator():
+    """Indexes over all items, each of at most ``most_bytes`` of text (or one item), with the statistics of all."""
+    rows = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).filter("t is not null").orderBy("i", "t")
+    every, held, size = Statistics.of(r.t for r in rows.toLocalIterator()), [], 0
+    for r in rows.toLocalIterator():
         n = len(r.t.encode())
         if held and size + n > most_bytes:
-            yield Index(held)
+            yield Index(held, every)
             held, size = [], 0
         held.append((r.i, r.t))
         size += n
-    yield Index(held)
+    yield Index(held, every)
+
+
+def _held(docs: DataFrame, items: DataFrame, item_id: str, text: str) -> Iterator:
+    """Broadcasts of up to HELD indexes' plain values each."""
+    held: list[dict] = []
+    for index in indexes(items, item_id, text):
+        held.append(vars(index))
+        if len(held) == HELD:
+            yield docs.sparkSession.sparkContext.broadcast(held)
+            held = []
+    if held:
+        yield docs.sparkSession.sparkContext.broadcast(held)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """(id, item_id, score, overlap, question_overlap, answer_overlap): each row of ``docs`` with each item it holds.
 
     Null and empty texts hold none; repeated rows and repeated items each give their own rows. Whole texts are
-    searched. No shuffle: items are few and go to the workers, in indexes of a bounded size.
+    searched. No shuffle: items go to the workers, in indexes of a bounded size; where they are cut changes nothing.
     """
     out, kind = None, items.schema[item_id].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    for index in indexes(items, item_id, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    arrow = to_arrow_type(items.schema[item_id].dataType)
+    for sent in _held(docs, items, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            search = Searcher(sent.value, threshold, overlap)
+            searchers = [Searcher(Index.again(state), threshold, overlap) for state in sent.value]
             for b in text_chunks(batches, "text"):
-                found = list(search(b.column(1).to_pylist()))
+                texts = b.column(1).to_pylist()
+                found = [(f[0], s.index.ids[f[1]], *f[2:]) for s in searchers for f in s(texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([sent.value.ids[f[1]] for f in found], arrow), *(pa.array([f[k] for f in found], pa.float64()) for k in range(2, 6))],
+                    [b.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], arrow), *(pa.array([f[k] for f in found], pa.float64()) for k in range(2, 6))],
                     ["id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"],
                 )
 
@@ -202,13 +247,13 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
 def remove(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
     at, wide = docs.columns.index(text), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    for index in indexes(items, item_id, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for sent in _held(docs, items, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            search = Searcher(sent.value, threshold, overlap)
+            searchers = [Searcher(Index.again(state), threshold, overlap) for state in sent.value]
             for b in text_chunks(batches, f"c{at}"):
-                bad = {f[0] for f in search(b.column(at).to_pylist())}
+                texts = b.column(at).to_pylist()
+                bad = {f[0] for s in searchers for f in s(texts)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
         wide = small_batches(wide).mapInArrow(run, wide.schema)

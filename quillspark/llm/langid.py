@@ -233,13 +233,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     language. Null text or text without a letter: lang_pred ``und``, score 0, bits null, letters 0. ``score`` is the
     chosen language's share after a softmax over cross-entropies, at most 32 characters counting as independent."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    # plain values, as workers may lack this package
+    sent = spark.sparkContext.broadcast((model.langs, model.grams, model.probs, model.contexts, model.weights, model.base))
     narrow = docs.select(F.col(id_col).alias("id"), *keep, F.col(text).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, scorer = sent.value, Scorer(sent.value)
-        n_langs = len(m.langs)
+        m = Model(*sent.value)
+        scorer, n_langs = Scorer(m), len(m.langs)
         for b in text_chunks(batches, "__text"):
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             sums = scorer(texts)

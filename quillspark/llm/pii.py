@@ -1,9 +1,11 @@
 """Personal data: four base patterns, and terms that corpus co-occurrence shows to give a protected entity away.
 
-A protected entity is the value of a base match. A term of its surroundings reveals it to the degree
-PMI(entity, term) / IC(entity), in documents of the whole corpus: 1 if the term occurs with that entity only, 0 if the
-two are independent. Terms beyond ``threshold`` that at least ``support`` different texts show beside the entity are
-masked in the texts that hold the entity.
+A protected entity is the value of a base match, and the classes that it belongs to: its mail domain, network, card or
+number prefix, and its kind. A term of its surroundings reveals it to the degree PMI(entity, term) / IC(entity), in
+documents of the whole corpus: 1 if the term occurs with that entity only, 0 if the two are independent. One further
+document with the term and without the entity is assumed, as few documents prove little. Terms beyond ``threshold`` that
+are likelier than CERTAIN to stand beside the entity, in at least ``support`` different texts, are masked in the texts
+that hold the entity.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 #: Words on either side of an entity that count as its surroundings.
 REACH = 10
-SUPPORT = 3
+SUPPORT = 2
 THRESHOLD = 0.8
+#: Least share of a term's documents, one more assumed, that hold the entity.
+CERTAIN, ASSUMED = 0.6, 1
 #: Terms or texts that are broadcast at most; beyond it the same step is a join.
 BROADCAST_ROWS = 200_000
 
@@ -80,6 +84,13 @@ def _entity(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[span[1]]}:{value if span[1] < 2 else ''.join(c for c in value if c.isdigit())}"
 
 
+def _levels(entity: str) -> tuple[str, ...]:
+    """An entity and the classes that it belongs to; a class ends in an asterisk."""
+    kind, value = entity.split(":", 1)
+    part = {"email": lambda: "@" + value.rsplit("@", 1)[1], "ip": lambda: value.rsplit(".", 1)[0], "card": lambda: value[:6], "phone": lambda: value[:4]}[kind]()
+    return entity, f"{kind}:{part}*", f"{kind}:*"
+
+
 def _near(text: str, span: tuple[int, int, int], reach: int) -> set[str]:
     """Terms among the ``reach`` words on either side. Words of over 200 characters end the view."""
     left, right = text[max(0, span[0] - 200 * reach) : span[0]].split()[-reach:], text[span[2] : span[2] + 200 * reach].split()[:reach]
@@ -87,7 +98,8 @@ def _near(text: str, span: tuple[int, int, int], reach: int) -> set[str]:
 
 
 def mentions(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
-    """(key, entity, terms) for each entity that a text holds; key is the text's xxhash64, so copies share it."""
+    """(key, entity, terms) for each entity, and each class of entities, that a text holds; key is the text's xxhash64, so
+    copies share it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, "text"):
@@ -95,7 +107,9 @@ def mentions(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFra
             for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 near: dict[str, set[str]] = {}
                 for span in base_spans(t):
-                    near.setdefault(_entity(t, span), set()).update(_near(t, span, reach))
+                    terms = _near(t, span, reach)
+                    for level in _levels(_entity(t, span)):
+                        near.setdefault(level, set()).update(terms)
                 rows.extend((key, e, sorted(terms)) for e, terms in near.items())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.list_(pa.string())))], ["key", "entity", "terms"])
 
@@ -138,8 +152,9 @@ def revealing(docs: DataFrame, text: str = "text", reach: int = REACH, support:
     often = found.groupBy("entity").agg(F.count("*").alias("held"))
     counts = _frequencies(docs, text, materialize(shown.select("term").distinct(), "terms"))
     info = F.log(F.lit(float(max(total, 1))) / F.col("held"))
-    degree = F.when(info > 0, 1 + F.log(F.col("both") / F.col("n")) / info).otherwise(0.0)
-    hits = shown.join(often, "entity").join(counts, "term").filter(degree >= threshold).select("entity", "term")
+    share = F.col("both") / (F.col("n") + ASSUMED)
+    degree = F.when(info > 0, 1 + F.log(share) / info).otherwise(0.0)
+    hits = shown.join(often, "entity").join(counts, "term").filter((degree >= threshold) & (share >= CERTAIN)).select("entity", "term")
     return pairs.join(hits, ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("terms"))
 
 

@@ -70,8 +70,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
-    parts = chat.format_conversations(rows.unionByName(probe), tokenizer_path("byte_bpe_50k.json"))
-    return chat.digests(parts)
+    parts = chat.format_conversations(rows.unionByName(probe), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+    return chat.digests(parts, ordered=True)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

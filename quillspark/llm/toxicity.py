@@ -184,7 +184,8 @@ def train(docs: DataFrame, sample: DataFrame, id_col: str, text: str) -> Diction
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("k")).filter("text is not null").select("text", "y")
     rows = materialize(rows.distinct(), "sample")  # copies count once
     size = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    windows = [r.w.encode() for r in training_windows(rows.filter("y = 0")).limit(MAX_ROWS * TRAINING_WINDOWS).collect()]
+    # of at most MAX_ROWS texts, each with about TRAINING_WINDOWS; in an order that no partitioning changes
+    windows = sorted(r.w.encode() for r in training_windows(rows.filter("y = 0")).collect())
     if not size.get(1):
         return Dictionaries.of(windows, [])
     frequent = segment_counts(rows).filter(F.col("toxic") >= max(5, size[1] * MIN_SHARE)).filter((F.col("toxic") / size[1]) >= MIN_RATIO * (F.col("ordinary") + 0.5) / max(1, size.get(0, 0)))
@@ -194,11 +195,11 @@ def train(docs: DataFrame, sample: DataFrame, id_col: str, text: str) -> Diction
 
 def feature_table(docs: DataFrame, dictionaries: Dictionaries, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, f): the features of every row's whole text; null text counts as empty."""
-    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    sent = docs.sparkSession.sparkContext.broadcast((dictionaries.base, dictionaries.toxic))  # plain, as workers may lack this package
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        saver = Saver(sent.value)
+        saver = Saver(Dictionaries(*sent.value))
         for b in text_chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([saver.features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["id", "f"])
 

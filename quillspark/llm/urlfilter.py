@@ -15,6 +15,8 @@ from .graph import components
 
 #: Rules up to which the test is one expression; more are joined by host suffix and path prefix.
 INLINE_RULES = 200
+#: Parts into which a component is dealt while its urls learn its verdict.
+SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,8 +61,8 @@ def joined_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
     spread = spread.withColumn("p", F.substring("path", F.lit(1), F.col("n")))
     named = rules.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict")
     hit = spread.join(named, ["h", "p"])
-    rank = F.struct(F.length(F.concat("h", "p")).alias("n"), (F.col("verdict") == "allow").alias("a"), F.concat("h", "p").alias("rule"), F.col("verdict"))
-    best = hit.groupBy("host", "path").agg(F.max(rank).alias("best"))
+    rank = F.struct(-F.length(F.concat("h", "p")).alias("n"), (F.col("verdict") != "allow").alias("a"), F.concat("h", "p").alias("rule"), F.col("verdict"))
+    best = hit.groupBy("host", "path").agg(F.min(rank).alias("best"))
     best = best.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.struct("best.rule", "best.verdict").alias("decision"))
     return urls.join(best, (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left").drop("__h", "__p")
 
@@ -112,7 +114,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, edges
         by_rule = decided(nodes, "node")
         roots = by_rule.groupBy("root").agg(F.max(own == "allow").alias("allowed"), F.max(own == "block").alias("blocked"))
         verdict = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block")
-        known = nodes.join(roots, "root").select(F.col("node").alias("__node"), verdict.alias("__verdict")).filter("__verdict is not null")
+        # a component may hold a third of all urls, so it is dealt to SALTS parts, each with a copy of its verdict
+        roots = roots.select("root", verdict.alias("__verdict")).filter("__verdict is not null").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        known = nodes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(roots, ["root", "salt"]).select(F.col("node").alias("__node"), "__verdict")
         out = out.join(known, node_of(F.col(url)) == F.col("__node"), "left")
         alias = F.col("__verdict")
     return out.select(*rest, "host", "path", F.col("decision.rule").alias("rule"), F.coalesce(own, alias, F.lit("allow")).alias("verdict"))

@@ -61,3 +61,11 @@ def test_odd_rows(spark, odd_documents, no_documents):
 
 def test_parts():
     assert d.parts("Who? Me.") == (["who"], ["me"]) and d.parts("one only") == (["one", "only"], []) and d.parts("") == ([], [])
+
+
+def test_cuts_of_the_index_change_nothing(spark, sf, documents, monkeypatch):
+    items = table(spark, sf, "benchmark")
+    whole = sorted(map(str, d.matches(documents, items).collect()))
+    monkeypatch.setattr(d.indexes, "__defaults__", ("item_id", "text", 900))
+    assert sum(1 for _ in d.indexes(items)) > 2 * d.HELD
+    assert sorted(map(str, d.matches(documents, items).collect())) == whole

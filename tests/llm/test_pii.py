@@ -81,6 +81,17 @@ def test_terms_against_brute_force(spark, monkeypatch):
         assert got == want and "zanzibar" in got
 
 
+def test_classes_that_reveal(spark):
+    """Every address stands in one text, its domain in several; the term beside them gives the domain away."""
+    rows = [(i, f"word{i} from k{i}@hidden.example.org at fernhill with thanks") for i in range(5)] + [(100 + i, f"plain {i} from all with thanks at home") for i in range(80)]
+    rows += [(200 + i, f"other{i} from p{i}@open.example.com at sea with thanks") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.find(docs, keep=("doc_id",), mask=True).collect()}
+    assert got[0].masked == "word0 from [EMAIL] at [TERM] with thanks" and got[201].masked == "other1 from [EMAIL] at [TERM] with thanks"
+    assert all(not got[100 + i].spans for i in range(80))
+    assert pii._levels("ip:10.2.3.4") == ("ip:10.2.3.4", "ip:10.2.3*", "ip:*") and pii._levels("phone:17885552942")[1] == "phone:1788*"
+
+
 def test_odd_rows(odd_documents, no_documents):
     assert pii.find(odd_documents, keep=("doc_id", "fp", "terms")).count() == odd_documents.count()
     done = pii.sanitise(odd_documents)

@@ -112,3 +112,11 @@ def test_many_rules(spark):
     pages = spark.createDataFrame([(i, f"http://w.h{i % 9}.io/p{i}/x") for i in range(400)], "page_id bigint, url string").withColumn("html", F.lit(""))
     want = brute([f"http://w.h{i % 9}.io/p{i}/x" for i in range(400)], rules, [])
     assert all((r.rule, r.verdict) == want[r.url] for r in u.judge(pages, rules).collect())
+
+
+def test_ties_are_the_same_inline_and_joined(spark):
+    rules = [("b.com", "/x", "block"), ("com", "/x/yz", "block"), ("c.com", "/x", "block"), ("com", "/x/yy", "allow")]
+    pages = spark.createDataFrame([(1, "http://a.b.com/x/yz"), (2, "http://a.c.com/x/yy"), (3, "http://b.com/x/yy")], "page_id bigint, url string").withColumn("html", F.lit(""))
+    frame = spark.createDataFrame(rules, "host string, path string, verdict string")
+    inline, joined = ({r.page_id: (r.rule, r.verdict) for r in u.judge(pages, x).collect()} for x in (rules, frame))
+    assert inline == joined
