@@ -73,15 +73,25 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or "file:///tmp/checkpoints").rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: later steps don't compute it again, and a
-    lost executor loses nothing. Void columns aren't allowed."""
+    lost executor loses nothing. Void columns aren't allowed. ``held`` takes the path, for remove()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, held: list[str]) -> None:
+    """Delete shared tables that nothing reads any more, and forget their paths."""
+    for path in held:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    held.clear()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that materialize() returned."""
     jvm = df.sparkSession._jvm

@@ -28,6 +28,7 @@ SUPPORT = 2
 THRESHOLD = 0.8
 #: Least share of a term's documents, one more assumed, that hold the entity.
 CERTAIN, ASSUMED = 0.6, 1
+SALTS = 16
 #: Terms or texts that are broadcast at most; beyond it the same step is a join.
 BROADCAST_ROWS = 200_000
 
@@ -154,7 +155,10 @@ def revealing(docs: DataFrame, text: str = "text", reach: int = REACH, support:
     info = F.log(F.lit(float(max(total, 1))) / F.col("held"))
     share = F.col("both") / (F.col("n") + ASSUMED)
     degree = F.when(info > 0, 1 + F.log(share) / info).otherwise(0.0)
-    hits = shown.join(often, "entity").join(counts, "term").filter((degree >= threshold) & (share >= CERTAIN)).select("entity", "term")
+    # a kind may hold a third of all pairs: its terms are dealt to SALTS parts, each with a copy of its count
+    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    shown = shown.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)))
+    hits = shown.join(often, ["entity", "salt"]).join(counts, "term").filter((degree >= threshold) & (share >= CERTAIN)).select("entity", "term")
     return pairs.join(hits, ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("terms"))
 
 

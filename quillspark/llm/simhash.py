@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Numbering, materialize, small_batches, spread, text_chunks
+from .common import Numbering, materialize, remove, small_batches, spread, text_chunks
 from .graph import components
 
 SHINGLE_WORDS = 3
@@ -24,9 +24,10 @@ STARS, PAIRS_EACH = 4, 32
 #: Words of the shingles that verify links of word sets, and the least similarity of two texts' sets of them: the same
 #: words in another order are no copy. Near copies of the given tables lie at 0.39 or more.
 GRAM_WORDS, MIN_SHARED = 5, 0.3
-#: Texts of up to so many different shingles also meet by shingles: each pair of them with NEAR fifths in common is found.
-#: As a text below 100 words has up to 95, those that it can be near to have up to 118.
-EXACT_GRAMS, NEAR = 128, 4
+#: A text's SKETCH least shingle hashes stand for its shingles: all of them in a text of up to so many different ones, a
+#: bottom-k sample of them in a longer one. Texts with all also meet by shingles: each pair of them with NEAR fifths in
+#: common is found. As a text below 100 words has up to 95, those that it can be near to have up to 118.
+SKETCH, NEAR = 128, 4
 #: Words that a worker keeps the hashes of.
 CACHE_WORDS = 100_000
 #: Parts into which a component is dealt while its members learn its least id: copies may be a third of all rows.
@@ -146,28 +147,19 @@ def _with_word_prints(docs: DataFrame, text: str) -> DataFrame:
     return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *fields])).withColumn("fp", F.xxhash64(text))
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(fp, grams) of texts (fp, text), one row for each fp."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary()
-        for b in text_chunks(batches, "text"):
-            sets = [known.shingles(known.words(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "grams"])
-
-    return small_batches(texts).mapInArrow(run, "fp bigint, grams array<bigint>").dropDuplicates(["fp"])
-
-
-def _members(variants: DataFrame) -> DataFrame:
+def _members(variants: DataFrame, held: list[str]) -> DataFrame:
     """(block, fp): the variants that several share, one block of those with the same members."""
     several = variants.groupBy("variant").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most").select("variant")
-    shared = materialize(variants.join(several, "variant").select("variant", "fp"), "shared")
+    mine: list[str] = []
+    shared = materialize(variants.join(several, "variant").select("variant", "fp"), "shared", mine)
     alike = shared.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.bit_xor(F.xxhash64("fp")).alias("all"))
     chosen = alike.groupBy("n", "least", "all").agg(F.min("variant").alias("variant")).select("variant")
-    return materialize(shared.join(chosen, "variant").select(F.col("variant").alias("block"), "fp"), "members")
+    members = materialize(shared.join(chosen, "variant").select(F.col("variant").alias("block"), "fp"), "members", held)
+    remove(variants.sparkSession, mine)
+    return members
 
 
-def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = STARS) -> DataFrame:
+def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = STARS, held: list[str] | None = None) -> DataFrame:
     """Edges (a, b) that connect all of a block whom verified pairs connect; ``verify`` keeps the pairs (a, b) it likes.
 
     First a star in each block, from its least member. A pair of others may be near where both are far from that one, so
@@ -176,11 +168,11 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars:
     many more take further stars, from other members, before.
     """
     least = members.groupBy("block").agg(F.min("fp").alias("a"))
-    edges = materialize(verify(members.join(least, "block").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()), "links")
+    edges = materialize(verify(members.join(least, "block").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()), "links", held)
     fresh = not edges.isEmpty()
     for k in range(1, stars + 1):
         if fresh:
-            roots = materialize(components(edges), "roots")
+            roots = materialize(components(edges), "roots", held)
             edges = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
         tagged = members.withColumn("c", F.col("fp"))
         if not edges.isEmpty():
@@ -188,7 +180,7 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars:
         counts = tagged.groupBy("block", "c").agg(F.count("*").alias("n")).groupBy("block")
         counts = counts.agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max_by("c", F.struct("n", "c")).alias("major"))
         few = F.lit(k == stars) | (F.col("n") * F.col("n") - F.col("squares") <= 2 * PAIRS_EACH * F.col("n"))
-        members = materialize(tagged.join(counts.filter("kinds > 1").withColumn("few", few).select("block", "major", "few"), "block"), "open")  # the others are done
+        members = materialize(tagged.join(counts.filter("kinds > 1").withColumn("few", few).select("block", "major", "few"), "block"), "open", held)  # the others are done
         minor = members.filter("few and c <> major").select("block", F.col("fp").alias("x"), F.col("c").alias("cx"))
         pairs = members.filter("few").select("block", F.col("fp").alias("y"), "c").join(minor, "block").filter("c <> cx").select("x", "y")
         members = members.filter("not few").select("block", "fp", "c")
@@ -196,7 +188,7 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars:
         if more:
             heads = members.groupBy("block").agg(F.min_by(F.struct("fp", "c"), F.xxhash64("fp", F.lit(k))).alias("h"))
             pairs = pairs.unionByName(members.join(heads, "block").filter("c <> h.c").select(F.col("h.fp").alias("x"), F.col("fp").alias("y")))
-        found = materialize(verify(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), "links")
+        found = materialize(verify(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), "links", held)
         fresh = not found.isEmpty()
         edges = edges.unionByName(found) if fresh else edges
         if not more:
@@ -206,22 +198,35 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars:
 
 
 def word_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hi, lo, words, grams, fp) for every row; grams is the set of shingles, null for more than EXACT_GRAMS."""
+    """(id, hi, lo, words, n, grams, fp) for every row; grams has the SKETCH least shingle hashes, n their number if these
+    are all, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabulary()
         for b in text_chunks(batches, "text"):
-            found, sets = np.empty((b.num_rows, 3), np.int64), []
+            found, sizes, sets = np.empty((b.num_rows, 3), np.int64), [], []
             for i, t in enumerate(b.column(2).to_pylist()):
                 words = known.words(t)
                 found[i] = known.word_print(words)
-                # each new word but the first few ends a new shingle
-                grams = known.shingles(words) if len(words) < EXACT_GRAMS + GRAM_WORDS or len(np.unique(words)) < EXACT_GRAMS + GRAM_WORDS else None
-                sets.append(grams if grams is not None and len(grams) <= EXACT_GRAMS else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, k]) for k in range(3)), pa.array(sets, pa.list_(pa.int64())), b.column(1)], ["id", "hi", "lo", "words", "grams", "fp"])
+                grams = known.shingles(words)
+                sizes.append(len(grams) if len(grams) <= SKETCH else None)
+                sets.append(grams[:SKETCH])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(found[:, k]) for k in range(3)), pa.array(sizes, pa.int32()), pa.array(sets, pa.list_(pa.int64())), b.column(1)], ["id", "hi", "lo", "words", "n", "grams", "fp"]
+            )
 
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
-    return small_batches(narrow).mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, hi bigint, lo bigint, words bigint, grams array<bigint>, fp bigint")
+    return small_batches(narrow).mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, hi bigint, lo bigint, words bigint, n int, grams array<bigint>, fp bigint")
+
+
+def similarity(a: str, b: str) -> Column:
+    """Jaccard similarity of the shingles of two texts (n_x, grams_x): exact where both have all, else estimated from the
+    SKETCH least hashes of both together."""
+    grams = F.col(f"grams_{a}"), F.col(f"grams_{b}")
+    common, least = F.array_intersect(*grams), F.slice(F.sort_array(F.array_union(*grams)), 1, SKETCH)
+    exact = F.try_divide(F.size(common), F.col(f"n_{a}") + F.col(f"n_{b}") - F.size(common))  # null for two empty texts
+    sampled = F.try_divide(F.size(F.array_intersect(common, least)), F.size(least))
+    return F.coalesce(F.when(F.col(f"n_{a}").isNotNull() & F.col(f"n_{b}").isNotNull(), exact).otherwise(sampled), F.lit(1.0))
 
 
 def shingle_blocks(short: DataFrame) -> DataFrame:
@@ -234,52 +239,54 @@ def shingle_blocks(short: DataFrame) -> DataFrame:
     return ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * NEAR / 5) + 1).select("fp", "variant")
 
 
-def word_links(prints: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+def word_links(prints: DataFrame, shingled: bool = True, held: list[str] | None = None) -> DataFrame:
     """Edges (a, b) that connect texts whose word sets few words tell apart, and short texts that share shingles.
 
     The 128 bits are four parts; each part emits its variants within one bit, so that two within two bits in any part
     meet. Who meets need not be near as a whole, so connect() finds the links; the whole 128 bits verify each
-    (WORD_BITS, for short texts SHORT_BITS), and, given ``texts`` (fp, text), their shingles (MIN_SHARED). Then short
-    texts also meet by the shingles that ``prints`` hold (EXACT_GRAMS): one word of theirs is many bits.
+    (WORD_BITS, for short texts SHORT_BITS), and, if ``shingled``, their shingles (MIN_SHARED). Then texts that have all
+    their shingles in ``prints`` also meet by these: one word of theirs is many bits.
     """
-    size = F.lit(None).cast("int") if texts is None else F.max(F.when(F.col("grams").isNotNull(), F.size("grams")))
-    known = materialize(prints.groupBy("fp").agg(F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.max("words").alias("words"), size.alias("n")), "known")
+    held = [] if held is None else held
+    rows = prints.groupBy("fp").agg(F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.max("words").alias("words"), *([F.max("n").alias("n")] if shingled else []))
+    known = materialize(rows if shingled else rows.withColumn("n", F.lit(None).cast("int")), "known", held)
     parts = [F.shiftrightunsigned(c, n).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("hi", "lo") for n in (0, 32)]
     keyed = F.explode(F.array(*[p.bitwiseOR(F.lit(t << 32)) for t, p in enumerate(parts)]))
     masks = F.array(*[F.lit(m) for m in [0, *(1 << i for i in range(32))]])
     variants = spread(known.select("fp", "hi", "lo"), "fp").select("fp", keyed.alias("part")).select("fp", "part", F.explode(masks).alias("mask")).select("fp", F.col("part").bitwiseXOR(F.col("mask")).alias("variant"))
-    if texts is not None:
-        short = prints.filter("grams is not null").select("fp", "grams").dropDuplicates(["fp"])
-        variants = variants.unionByName(materialize(shingle_blocks(short), "shingles"))
+    if shingled:
+        short = prints.filter("n is not null").select("fp", "grams").dropDuplicates(["fp"])
+        variants = variants.unionByName(materialize(shingle_blocks(short), "shingles", held))
+    members = _members(variants, held)
+    if shingled:
+        met = prints.select("fp", "grams").join(members.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
+        sketches = materialize(met, "sketches", held)
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda s: known.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("hi", "lo", "words", "n")])
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         apart = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
         both = both.select("a", "b", "n_a", "n_b", (apart <= F.when(F.least("words_a", "words_b") >= LONG_WORDS, WORD_BITS).otherwise(SHORT_BITS)).alias("close"))
-        if grams is None:
+        if not shingled:
             return both.filter("close").select("a", "b")
         may = F.coalesce(5 * F.least("n_a", "n_b") >= NEAR * F.greatest("n_a", "n_b"), F.lit(False)) & F.col("n_a").isNotNull() & F.col("n_b").isNotNull()
-        both = materialize(both.filter(F.col("close") | may).select("a", "b", "close"), "pairs")
-        used = grams.join(both.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
+        both = materialize(both.filter(F.col("close") | may), "pairs", held)
+        used = sketches.join(both.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
         for s in "ab":
             both = both.join(used.toDF(s, f"grams_{s}"), s)
-        both = both.withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
-        either = F.size("grams_a") + F.size("grams_b") - F.col("common")
-        return both.filter((F.col("close") & (F.col("common") >= MIN_SHARED * either)) | (5 * F.col("common") >= NEAR * either)).select("a", "b")
+        both = both.withColumn("like", similarity("a", "b"))
+        return both.filter((F.col("close") & (F.col("like") >= MIN_SHARED)) | (may & (F.col("like") >= NEAR / 5))).select("a", "b")
 
-    members = _members(variants)
-    grams = None if texts is None else materialize(shingle_sets(texts.join(members.select("fp").distinct(), "fp", "left_semi")), "grams")
-    return connect(members, verify)
+    return connect(members, verify, held=held)
 
 
-def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:
+def _classes(prints: DataFrame, edges: DataFrame, held: list[str]) -> DataFrame:
     """(fp, component, root) of materialised prints (id, fp); component is the least id reachable over edges, root the same
     for all that are connected. Only the nodes of edges have to learn their component, and a component is dealt to SALTS
     parts, each of which has a copy of its least id."""
-    roots = materialize(components(edges), "roots")
+    roots = materialize(components(edges), "roots", held)
     first = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    joined = materialize(first.join(roots, first.fp == roots.node, "left").select("fp", "first", "root"), "joined")
+    joined = materialize(first.join(roots, first.fp == roots.node, "left").select("fp", "first", "root"), "joined", held)
     linked = joined.filter("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
     best = linked.groupBy("root", "salt").agg(F.min("first").alias("first")).groupBy("root").agg(F.min("first").alias("component"))
     best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
@@ -294,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without any id has a null component. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "prints")
-    return prints.join(_classes(prints, links(prints, radius)), "fp").select("id", "fp", "component")
+    return prints.join(_classes(prints, links(prints, radius), []), "fp").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,10 +315,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows whose ids differ, as they should, go by an anti-join of ids; only rows that share an id or have none are
     ranked, in a window over fingerprints' groups that holds just such rows.
     """
-    prints = materialize(word_prints(docs, id_col, text_col), "prints")
-    texts = docs.select(F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
-    classes = materialize(_classes(prints, word_links(prints, texts)), "classes")
-    marked = materialize(prints.join(classes, "fp").select("id", "fp", "component"), "marked")
+    held: list[str] = []
+    prints = materialize(word_prints(docs, id_col, text_col), "prints", held)
+    classes = materialize(_classes(prints.select("id", "fp"), word_links(prints, held=held), held), "classes")
+    marked = materialize(prints.select("id", "fp").join(classes, "fp").select("id", "fp", "component"), "marked")
+    remove(docs.sparkSession, held)
     gone = marked.filter("id <> component").select(F.col("id").alias("__gone")).distinct()
     odd = materialize(marked.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").select(F.col("id").alias("__odd")), "odd")
     if odd.isEmpty():

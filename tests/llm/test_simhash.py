@@ -135,7 +135,7 @@ def test_near_pair_behind_a_stranger(spark):
     wide = lambda k: int.from_bytes(xxhash.xxh64_digest(str(k).encode()), "big", signed=True)
     near = [(0, low, wide(0), 200), (1, (0x1234567 << 32) | low, wide(1), 200), (2, (0x1234560 << 32) | low, wide(1) ^ (0b111 << 40 | 0b111), 200)]
     df = spark.createDataFrame([(fp, fp, hi, lo, n) for fp, hi, lo, n in near], "id bigint, fp bigint, hi bigint, lo bigint, words bigint")
-    assert {(r.a, r.b) for r in simhash.word_links(df).collect()} == {(1, 2)}
+    assert {(r.a, r.b) for r in simhash.word_links(df, shingled=False).collect()} == {(1, 2)}
     rows = [(1, i) for i in range(60)] + [(2, i) for i in range(58, 70)]
     alike = lambda pairs: pairs.filter("a % 7 = b % 7 and abs(a - b) < 15")
     edges = simhash.connect(spark.createDataFrame(rows, "block bigint, fp bigint"), alike)
@@ -171,7 +171,7 @@ def test_short_near_copies_go(spark):
     sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
     pairs = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    edges = simhash.word_links(simhash.word_prints(docs), docs.selectExpr("xxhash64(text) as fp", "text"))
+    edges = simhash.word_links(simhash.word_prints(docs))
     roots = {r.node: r.root for r in graph.components(edges).collect()}
     fp = {r.id: r.fp for r in simhash.word_prints(docs).collect()}
     assert len(pairs) > 150
