@@ -90,7 +90,7 @@ def _is_boilerplate(node: Node) -> bool:
         named = " ".join(node.attrs.get(k, "") for k in ("id", "class", "role")).lower()
         if any(m in named for m in MARKERS):
             return True
-    if node.tag in ("div", "section", "ul", "ol", "p", "table"):
+    if node.tag in ("div", "section", "ul", "ol"):
         text = node.text()
         if len(text) >= DENSE_CHARS:
             links = [n.text() for n in node.walk() if n.tag == "a"]
@@ -116,7 +116,7 @@ def extract(html: str | None, url: str | None, default_title: str = "Untitled")
     page_title = root.find("title")
     _prune(root)
     body = root.find("main") or root.find("article") or root.find("body") or root
-    heading = next((t for n in body.walk() if n.tag in ("h1", "h2") and (t := n.text())), "")
+    heading = next((n.text() for n in body.walk() if n.tag in ("h1", "h2")), "")
     links = []
     for n in body.walk():
         if n.tag == "a" and n.attrs.get("href"):

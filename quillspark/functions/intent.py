@@ -10,7 +10,7 @@ from .temporal import day_window, week_window
 # Fixed values.
 ALIASES = {
     "deadline": "DEADLINE", "deadlines": "DEADLINE", "exam": "EXAM", "exams": "EXAM", "examination": "EXAM", "fee": "FEES", "fees": "FEES", "registration": "REGISTRATION", "registrations": "REGISTRATION",
-    "notice": "NOTICE", "notices": "NOTICE", "circular": "NOTICE", "event": "EVENT", "events": "EVENT", "holiday": "HOLIDAY", "holidays": "HOLIDAY", "calendar": "CALENDAR", "calendars": "CALENDAR",
+    "notice": "NOTICE", "notices": "NOTICE", "circular": "NOTICE", "circulars": "NOTICE", "event": "EVENT", "events": "EVENT", "holiday": "HOLIDAY", "holidays": "HOLIDAY", "calendar": "CALENDAR", "calendars": "CALENDAR",
 }
 STOP_WORDS = frozenset(
     "a an and are at be by for from in is me my of on or please show tell the to what when which with this week next today tomorrow upcoming soon important near due date".split()

@@ -24,7 +24,7 @@ CATEGORY_TERMS = (
     ("ACADEMIC", ("academic calendar", "semester", "session", "academic year", "classes")),
     ("GENERAL", ("notice", "circular", "notification", "information")),
 )
-CATEGORY_MAP = {"ACADEMIC": "CALENDAR", "EXAMINATION": "EXAM", "FEES": "FEES", "REGISTRATION": "REGISTRATION", "HOLIDAY": "HOLIDAY", "EVENT": "EVENT", "GENERAL": "NOTICE", "UNKNOWN": "NOTICE"}
+CATEGORY_MAP = {"ACADEMIC": "CALENDAR", "EXAMINATION": "EXAM", "FEES": "FEES", "REGISTRATION": "REGISTRATION", "EVENT": "EVENT", "HOLIDAY": "HOLIDAY", "GENERAL": "NOTICE", "UNKNOWN": "NOTICE"}
 #: Words without weight in submissions. Callers add their organisation's own name.
 STOP_WORDS = ("a", "an", "and", "are", "be", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "this", "to", "with", "notice", "please")
 DATE_CONFIDENCE, ISO_CONFIDENCE, DEADLINE_CONFIDENCE, EVENT_CONFIDENCE = 0.95, 0.99, 0.88, 0.84
@@ -43,7 +43,7 @@ def casefold(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """White space inside lines becomes one blank; lines without anything else go."""
-    lines = F.transform(F.split(text, r"\r\n|[\n\r]"), lambda x: F.trim(F.regexp_replace(x, SPACES, " ")))
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.trim(F.regexp_replace(x, SPACES, " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -222,3 +222,9 @@ def url_canonical(url: Column) -> Column:
 
 def url_identity(url: Column) -> Column:
     return F.regexp_replace(url_canonical(url), "/+$", "")
+
+
+def calendar_dates(start: Column, end: Column, label: Column, source_text: Column, confidence: Column) -> Column:
+    """The dates of a calendar row: its start, and its end, if it has one, under the label with ``end``."""
+    one = lambda value, name: F.struct(value.alias("value"), name.alias("label"), source_text.alias("source_text"), confidence.alias("confidence"))
+    return F.filter(F.array(one(start, label), one(end, F.concat(label, F.lit(" end")))), lambda d: d["value"].isNotNull())

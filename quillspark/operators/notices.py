@@ -13,6 +13,8 @@ from .trust import SCOPE
 
 CATEGORIES = "array<string>"
 PER_USER = 5
+#: Stands for every category.
+ANY = "*"
 
 
 def categories(json_column: str = "categories_json") -> Column:
@@ -20,6 +22,36 @@ def categories(json_column: str = "categories_json") -> Column:
     return F.coalesce(F.from_json(json_column, CATEGORIES), F.array().cast(CATEGORIES))
 
 
+def with_preferences(users: DataFrame, preferences: DataFrame) -> DataFrame:
+    """Users with their row of ``preferences`` (user_id, ...); users without one are left out."""
+    return users.join(preferences, "user_id")
+
+
+def preferences_of(users: DataFrame, preferences: DataFrame, user_id) -> DataFrame:
+    """The preferences of one user, or no row. The key reaches both scans."""
+    mine = F.col("user_id") == F.lit(user_id)
+    return with_preferences(users.filter(mine), preferences.filter(mine))
+
+
+#: Where a notification's delivery may go from each status.
+DELIVERY = {"PENDING": ("SENT", "FAILED", "SKIPPED"), "FAILED": ("PENDING",), "SKIPPED": ("PENDING",), "SENT": ()}
+
+
+def delivery_status(marks: DataFrame, keys: list[str], order: list[str], status: str = "status") -> DataFrame:
+    """(*keys, status, delivered_at): the status that a notification's marks lead to, from PENDING, in ``order``; a mark
+    that its status doesn't allow changes nothing. delivered_at is the time (the first of ``order``) of the last mark that
+    sent or failed. A notification has few marks, which one task gathers."""
+    allowed = F.create_map(*[x for a, bs in DELIVERY.items() for x in (F.lit(a), F.array(*[F.lit(b) for b in bs]).cast("array<string>"))])
+    walk = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(status).alias("s"))))
+    kind = marks.schema[order[0]].dataType.simpleString()
+    start = F.struct(F.lit("PENDING").alias("s"), F.lit(None).cast(kind).alias("t"))
+    step = lambda acc, x: F.when(
+        F.array_contains(allowed[acc["s"]], x["s"]), F.struct(x["s"].alias("s"), F.when(x["s"].isin("SENT", "FAILED"), x["o0"]).otherwise(acc["t"]).alias("t"))
+    ).otherwise(acc)
+    done = marks.filter(F.col(status).isNotNull()).groupBy(*keys).agg(F.aggregate(walk, start, step).alias("x"))
+    return done.select(*keys, F.col("x.s").alias("status"), F.col("x.t").alias("delivered_at"))
+
+
 def active_users(users: DataFrame) -> DataFrame:
     return users.filter("status = 'ACTIVE'")
 
@@ -33,11 +65,12 @@ def feed(users: DataFrame, items: DataFrame, order: list[Column], per_user: int)
     """
     prefs = users.select(*SCOPE, categories().alias("cats")).withColumn("pref", F.xxhash64(*SCOPE, F.array_sort("cats")))
     who = users.select("user_id", F.xxhash64(*SCOPE, F.array_sort(categories())).alias("pref"))
-    names = F.when(F.size("cats") > 0, F.array_distinct("cats")).otherwise(F.array(*[F.lit(c) for c in ("DEADLINE", "EXAM", "FEES", "REGISTRATION", "NOTICE", "EVENT", "HOLIDAY", "CALENDAR")]))
+    names = F.when(F.size("cats") > 0, F.array_distinct("cats")).otherwise(F.array(F.lit(ANY)))
     asked = prefs.dropDuplicates(["pref"]).select("pref", *[F.col(c).alias(f"p_{c}") for c in SCOPE], F.explode(names).alias("category"))
     test = F.lit(True)
     for c in SCOPE:
         test = test & F.coalesce(F.col(f"p_{c}").isNull() | F.col(c).isNull() | (F.col(f"p_{c}") == F.col(c)), F.lit(True))
+    items = items.unionByName(items.withColumn("category", F.lit(ANY)))  # an empty list filters nothing, a null category included
     first = items.withColumn("__n", F.row_number().over(Window.partitionBy("category", *SCOPE).orderBy(*order))).filter(F.col("__n") <= per_user).drop("__n")
     met = asked.join(first, "category").filter(test)
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("pref").orderBy(*order))).filter(F.col("rank") <= per_user)

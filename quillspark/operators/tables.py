@@ -4,33 +4,64 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 32 * 1024
 
 
+def _order(df: DataFrame, first: Column, *more: Column) -> Column:
+    """An order of rows that no partitioning changes: by ``first`` with nulls at one end, ``more``, then every column that
+    has an order."""
+    return F.struct(first.isNotNull(), first, *more, *[F.col(n) for n, kind in df.dtypes if not kind.startswith("map")])
+
+
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """Rows of ``new`` whose key ``old`` lacks, the first by ``position`` of each key."""
-    first = new.groupBy(*keys).agg(F.min_by(F.struct(*new.columns), F.col(position)).alias("__row")).select("__row.*")
-    return first.join(old.select(*keys).distinct(), keys, "left_anti")
+    """Rows of ``new`` whose key ``old`` lacks, the first by ``position`` of each key: nulls go first, ties by all columns.
+    Null keys are keys like any other."""
+    first = new.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min_by(F.struct(*new.columns), _order(new, F.col(position))).alias("__row")).select("__row.*")
+    held = old.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    test = F.lit(True)
+    for k in keys:
+        test = test & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return first.join(held, test, "left_anti")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str, keep_first: tuple[str, ...] = ()) -> DataFrame:
     """The row of the greatest ``version`` for each key; columns in ``keep_first`` keep the value of the least one, so a
-    replaced row keeps, say, when it was first seen."""
-    rows = old.unionByName(new)
-    rest = [c for c in rows.columns if c not in keep_first]
-    aggs = [F.max_by(F.struct(*rest), F.col(version)).alias("__row"), *[F.min_by(c, version).alias(c) for c in keep_first]]
-    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*aggs).select("__row.*", *keep_first).select(*rows.columns)
+    replaced row keeps, say, when it was first seen. A null version is less than any other; of equal versions a new row
+    goes before an old one, and ties are by all columns."""
+    rows = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    names = [c for c in rows.columns if c != "__new"]
+    rest = [c for c in names if c not in keep_first]
+    order = _order(rows.select(*names), F.col(version), F.col("__new"))
+    known = F.struct(F.col(version).isNull(), order)  # rows without a version say last when something was first
+    aggs = [F.max_by(F.struct(*rest), order).alias("__row"), *[F.min_by(c, known).alias(c) for c in keep_first]]
+    rows = rows.select(*names, "__new")
+    out = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*aggs)
+    return out.select("__row.*", *keep_first).select(*names)
+
+
+def replace(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``old`` with whole rows replaced by ``new``'s of the same key: columns that ``new`` lacks become null. Of several new
+    rows of a key the greatest by all columns stays."""
+    wide = new.select(*[(F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType)).alias(c) for c in old.columns])
+    blank = old.limit(0)
+    return insert_if_absent(wide, old, keys, keys[0]).unionByName(upsert(blank, wide, keys, keys[0]))
+
+
+def replaced_children(children: DataFrame, new: DataFrame, parent: str, key: str) -> DataFrame:
+    """``children`` without those whose ``parent`` is among the replaced rows' ``key``: replacing a row deletes it first."""
+    return children.join(new.select(F.col(key).alias("__parent")).distinct(), F.col(parent) == F.col("__parent"), "left_anti")
 
 
 def update(old: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``old`` with ``columns`` replaced where ``changes`` has the key; a null there is a value."""
+    """``old`` with ``columns`` replaced where ``changes`` has the key; a null there is a value. Of several changes of a key
+    the greatest by ``columns`` counts, so rows don't multiply."""
     from .trust import check_columns
 
     check_columns(old, columns)
-    side = changes.select(F.col(key).alias("__key"), F.struct(*columns).alias("__new"))
+    side = changes.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct(*columns)).alias("__new"))
     rows = old.join(side, F.col(key) == F.col("__key"), "left")
     return rows.select(*[F.when(F.col("__key").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
 
@@ -51,6 +82,25 @@ def retract(items: DataFrame, edges: DataFrame, doomed: DataFrame) -> tuple[Data
     return left, edges
 
 
+def retract_links(links: DataFrame, doomed: DataFrame, column: str) -> DataFrame:
+    """Links - evidence of claims, matches of submissions - whose ``column`` is not among the doomed ids."""
+    gone = doomed.select(F.col("id").alias("__gone")).distinct()
+    return links.join(gone, F.col(column) == F.col("__gone"), "left_anti")
+
+
+def health(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
+    """(dependency, ok) for named Parquet tables, and ``service``, which is ok if all are. Reads no rows but their schemas."""
+    from pyspark.errors import AnalysisException
+
+    found = []
+    for name, path in tables.items():
+        try:
+            found.append((name, bool(spark.read.parquet(path).columns)))
+        except AnalysisException:
+            found.append((name, False))
+    return spark.createDataFrame([*found, ("service", all(ok for _, ok in found))], "dependency string, ok boolean")
+
+
 def chunks(rows: DataFrame, key: str, body: str, size: int = CHUNK_BYTES) -> DataFrame:
     """(key, chunk_index, chunk) of a binary column; an empty body has one empty chunk."""
     count = F.greatest(F.ceil(F.octet_length(body) / size).cast("int"), F.lit(1))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -73,7 +72,7 @@ def upcoming(t):
 
 @query
 def search_all_tokens(t):
-    return _ids(named.search(views(t), ITEM_NOW, "Notice germany", scoped=False))
+    return _ids(named.search(views(t), ITEM_NOW, "Notice nation_19", scoped=False))
 
 
 @query
@@ -129,7 +128,7 @@ def archive_search_default(t):
 
 @query
 def archive_search_query(t):
-    return named.search_archive(t.items(), "exam notice GERMANY").select("id", "importance").limit(50)
+    return named.search_archive(t.items(), "exam notice NATION 19").select("id", "importance").limit(50)
 
 
 @query
@@ -228,9 +227,21 @@ def category_map(t):
 
 @query
 def academic_calendar(t):
-    rows = t.notices().select("k", "source_id", "url", F.explode(text.calendar_lines(F.col("text"))).alias("r")).select("k", "source_id", "url", "r.*")
+    x = _calendar_rows(t)
+    return x.select("k", "id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "label", "confidence", "source_text")
+
+
+def _calendar_rows(t: Tables) -> DataFrame:
+    """The last of equal rows of a text stays."""
+    rows = t.notices().select("k", "source_id", "url", F.posexplode(text.calendar_lines(F.col("text"))).alias("n", "r")).select("k", "source_id", "url", "n", "r.*")
     rows = rows.withColumn("id", ids.calendar_row_id(F.col("source_id"), F.col("url"), F.col("start"), F.col("end"), F.col("label")))
-    return rows.groupBy("k", "id").agg(F.max_by(F.struct("start", "end", "label", "confidence"), "source_text").alias("x")).select("k", "id", F.col("x.start").alias("start_at"), F.col("x.end").alias("end_at"), F.col("x.label").alias("label"), F.col("x.confidence").alias("confidence"))
+    return rows.groupBy("k", "id").agg(F.max_by(F.struct("start", "end", "label", "confidence", "source_text"), "n").alias("x")).select("k", "id", "x.*")
+
+
+@query
+def calendar_dates(t):
+    x = _calendar_rows(t).select("k", "id", F.explode(text.calendar_dates(*[F.col(c) for c in ("start", "end", "label", "source_text", "confidence")])).alias("d"))
+    return x.select("k", "id", "d.value", "d.label", "d.confidence")
 
 
 @query
@@ -299,7 +310,7 @@ def publishable(t):
 
 
 def _moves(t):
-    states = F.array(*[F.lit(s) for s in claims.TRANSITIONS])
+    states = F.array(*[F.lit(s) for s in ("UNVERIFIED", "VERIFIED", "CONFLICTING", "EXPIRED", "SUPERSEDED", "REMOVED")])
     return t.read("orders").select(F.col("o_orderkey").alias("k"), F.element_at(states, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("state"), F.element_at(states, (F.floor(F.col("o_orderkey") / 6) % 6 + 1).cast("int")).alias("next_state"))
 
 
@@ -418,6 +429,52 @@ def update_by_key(t):
     return tables.update(old, t.users().filter("user_id % 3 = 0").selectExpr("user_id", "'BLOCKED' AS status"), "user_id", ["status"])
 
 
+@query
+def upsert_odd_versions(t):
+    """Versions that are null or tied: any other beats a null one, a new row an old one."""
+    o = t.read("orders").selectExpr("o_orderkey % 3000 AS k", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 5 END AS version", "o_orderkey AS id", "o_orderstatus AS state")
+    return tables.upsert(o.filter("id % 2 = 0"), o.filter("id % 2 = 1"), ["k"], "version")
+
+
+@query
+def update_repeated_keys(t):
+    changes = t.users().filter("user_id % 3 = 0").selectExpr("user_id", "explode(array('BLOCKED', 'PAUSED', NULL)) AS status")
+    return tables.update(t.users().select("user_id", "status"), changes, "user_id", ["status"])
+
+
+@query
+def replace_rows(t):
+    """Replaced orders lose what the new row does not set."""
+    old = t.read("orders").selectExpr("o_orderkey AS k", "o_orderstatus AS state", "o_orderpriority AS priority")
+    new = t.read("orders").filter("o_orderkey % 4 = 0").selectExpr("o_orderkey AS k", "'X' AS state")
+    return tables.replace(old, new.unionByName(t.spark.createDataFrame([(-1, "X")], "k bigint, state string")), ["k"])
+
+
+@query
+def replace_cascade(t):
+    """The lines of replaced orders go with them."""
+    new = t.read("orders").filter("o_orderkey % 4 = 0").select("o_orderkey")
+    return tables.replaced_children(t.read("lineitem").select("l_orderkey", "l_linenumber"), new, "l_orderkey", "o_orderkey")
+
+
+@query
+def delete_by_key(t):
+    return tables.delete(t.users().select("user_id", "status"), t.users().filter("user_id % 4 = 0"), "user_id")
+
+
+@query
+def retract_links(t):
+    links = t.read("lineitem").selectExpr("concat('claim:', l_orderkey) AS claim_id", "concat('ev:', l_partkey) AS evidence_id", "l_linenumber")
+    doomed = t.claims().filter("source_id = 'source2'").select("id")
+    return tables.retract_links(links, doomed, "claim_id")
+
+
+@query
+def health_probe(t):
+    found = tables.health(t.spark, {"documents": f"{t.folder}/documents.parquet", "evidence_blobs": f"{t.folder}/no_such_table.parquet"})
+    return found.select("dependency", F.col("ok").cast("int").alias("ok"))
+
+
 @query
 def blob_chunks(t):
     rows = t.read("documents").selectExpr("doc_id", "CAST(text AS BINARY) AS body")
@@ -522,6 +579,35 @@ def notification_users(t):
     return notices.active_users(t.users()).select("user_id", "program", notices.categories().alias("categories"))
 
 
+@query
+def user_preferences(t):
+    """Users with their preferences; one user in eleven has none."""
+    users = t.users()
+    prefs = users.filter("user_id % 11 <> 0").select("user_id", "program", "branch", "year", notices.categories().alias("categories"), "reminders", "digest", "muted", "quiet_start", "quiet_end")
+    found = notices.with_preferences(users.select("user_id", "status"), prefs)
+    return found.select("user_id", "status", "program", "branch", "year", "categories", *[F.col(c).cast("int").alias(c) for c in ("reminders", "digest", "muted")], "quiet_start", "quiet_end")
+
+
+@query
+def preferences_of_user(t):
+    users = t.users()
+    return notices.preferences_of(users.select("user_id", "status"), users.select("user_id", "program", "year"), 7)
+
+
+@query
+def feed_other_categories(t):
+    """Items of a null or a further category reach users who filter nothing."""
+    live = trust.current(t.items(), t.claims(), t.relationships(), ITEM_NOW)
+    live = live.withColumn("category", F.expr("CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 'SPORT' ELSE category END"))
+    return notices.feed(notices.active_users(t.users()), live, [F.col("published_at").desc(), F.col("id")], 4).select("user_id", "rank", "item_id")
+
+
+@query
+def delivery_status(t):
+    marks = t.ledger().select("user_id", "ts", "event_id", "status")
+    return notices.delivery_status(marks, ["user_id"], ["ts", "event_id"])
+
+
 @query
 def quiet_hours(t):
     rows = t.read("events").selectExpr("event_id", "date_format(ts, 'HH:mm') AS clock", "element_at(array('22:00','08:00','00:00'), CAST(event_id % 3 AS INT) + 1) AS a", "element_at(array('07:00','12:00','00:00'), CAST(event_id % 3 AS INT) + 1) AS b")
@@ -587,8 +673,11 @@ def robots_allowed(t):
 
 
 def _scratch(t: Tables) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A folder that the driver and all executors share; one of this machine only where all work is done here."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base and t.spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or 'file:///tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(t: Tables) -> DataFrame:

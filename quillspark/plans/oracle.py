@@ -126,11 +126,16 @@ def changes(f: str) -> str:
   st AS (SELECT *, CASE WHEN failed THEN 'FAILED' WHEN (fetched_at, doc_id) = f0 THEN 'FETCHED' WHEN (fetched_at, doc_id) > f1 THEN 'UNCHANGED' ELSE 'CHANGED' END AS status, coalesce(NOT failed AND (fetched_at, doc_id) > f1 AND prev <> content_hash, false) AS reverted FROM g)"""
 
 
+def calendar_dates(rows: str) -> str:
+    """Start and end dates of calendar rows."""
+    return f"""WITH r AS ({rows}) SELECT k, id, start_at AS value, label, confidence FROM r UNION ALL SELECT k, id, end_at, label || ' end', confidence FROM r WHERE end_at IS NOT NULL"""
+
+
 SQL = {
     "latest": f"{BASE} SELECT {COLS}, {ts('published_at')} FROM live WHERE {SCOPED} AND category IN ('DEADLINE','EXAM','FEES','REGISTRATION') {NEWEST} LIMIT 8",
     "public_feed": f"{BASE} SELECT {COLS}, {ts('published_at')} FROM live WHERE category = 'EXAM' {NEWEST} LIMIT 20",
     "upcoming": f"{BASE} SELECT {COLS}, {ts('due_at')}, {ts('starts_at')} FROM live WHERE coalesce(due_at, starts_at) BETWEEN {NOW} AND {NOW} + INTERVAL 30 DAY ORDER BY coalesce(due_at, live.starts_at), id LIMIT 8".replace("coalesce(due_at, live.starts_at)", "coalesce(live.due_at, live.starts_at)"),
-    "search_all_tokens": f"{BASE} SELECT {COLS} FROM live WHERE contains(lower(title || chr(1) || summary || chr(1) || statement), 'notice') AND contains(lower(title || chr(1) || summary || chr(1) || statement), 'germany') {RELEVANT} LIMIT 8",
+    "search_all_tokens": f"{BASE} SELECT {COLS} FROM live WHERE contains(lower(title || chr(1) || summary || chr(1) || statement), 'notice') AND contains(lower(title || chr(1) || summary || chr(1) || statement), 'nation_19') {RELEVANT} LIMIT 8",
     "search_any_token": f"{BASE} SELECT {COLS} FROM live WHERE regexp_matches(lower(title || chr(1) || summary || chr(1) || statement), 'germany|france|exam') {NEWEST} LIMIT 30",
     "natural_week": f"{BASE} SELECT {COLS} FROM live WHERE category = 'EXAM' AND coalesce(due_at, starts_at, effective_from, published_at) >= {NOW} AND coalesce(due_at, starts_at, effective_from, published_at) < {NOW} + INTERVAL 7 DAY ORDER BY coalesce(due_at, starts_at, effective_from, published_at), id LIMIT 10",
     "retrieval_candidates": f"{BASE} SELECT {COLS} FROM live WHERE {SCOPED} {RELEVANT} LIMIT 30",
@@ -145,8 +150,8 @@ SQL = {
       SELECT row_number() OVER (ORDER BY g) - 1 AS group_no, members FROM m""",
     "archive_search_default": f"{BASE} SELECT id, importance FROM items WHERE {SCOPED} ORDER BY rnk DESC, published_at DESC, id LIMIT 50",
     "archive_search_query": f"""{BASE}, t AS (SELECT *, {TOKS.format('title')} AS tt, {TOKS.format('summary')} AS st FROM items)
-      SELECT id, importance FROM t WHERE len(list_filter(['exam','notice','germany'], lambda x: NOT list_contains(list_concat(tt, st), x))) = 0
-      ORDER BY len(list_intersect(['exam','notice','germany'], tt)) DESC, len(list_intersect(['exam','notice','germany'], st)) DESC, rnk DESC, published_at DESC, id LIMIT 50""",
+      SELECT id, importance FROM t WHERE len(list_filter(['exam','notice','nation','19'], lambda x: NOT list_contains(list_concat(tt, st), x))) = 0
+      ORDER BY len(list_intersect(['exam','notice','nation','19'], tt)) DESC, len(list_intersect(['exam','notice','nation','19'], st)) DESC, rnk DESC, published_at DESC, id LIMIT 50""",
     "archive_search_at": f"{BASE} SELECT id, {ts('items.due_at')} FROM items WHERE category = 'EXAM' AND effective_from <= {NOW} AND (effective_until IS NULL OR effective_until > {NOW}) ORDER BY items.due_at IS NULL, coalesce(items.due_at, starts_at, effective_from) NULLS LAST, rnk DESC, id LIMIT 50",
     "evidence_append": f"WITH {EVIDENCE} SELECT source_id, content_hash, min(doc_id) AS doc_id FROM e n WHERE doc_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM e o WHERE o.doc_id % 3 = 0 AND o.source_id = n.source_id AND o.content_hash = n.content_hash) GROUP BY ALL",
     "evidence_latest": f"WITH {EVIDENCE} SELECT source_id, {ts('fetched_at')}, content_hash, doc_id FROM e QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY e.fetched_at DESC, doc_id DESC) = 1",
@@ -168,8 +173,8 @@ SQL = {
       b AS (SELECT *, list_reduce(list_concat([s], srcs), lambda acc, x: replace(acc, x, ' ')) AS bare FROM l),
       r AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(bare, '(?i)\\b(?:to|through|until)\\b', ' ', 'g'), '\\s+', ' ', 'g'), '^[ :|\\t–—-]+|[ :|\\t–—-]+$', '', 'g') AS lab0 FROM b),
       q AS (SELECT *, CASE WHEN lab0 = '' THEN 'Academic calendar entry' ELSE lab0 END AS label FROM r),
-      z AS (SELECT k, source_id || ':' || {SHORT.format("source_id || chr(0) || url || chr(0) || sha256(strftime(vs[1], '%Y-%m-%dT%H:%M:%S') || ':' || coalesce(strftime(vs[2], '%Y-%m-%dT%H:%M:%S'), '') || ':' || lower(label))", 24)} AS id, s, vs, label FROM q)
-      SELECT k, id, {ts('vs[1]', 'start_at')}, {ts('vs[2]', 'end_at')}, label, CASE WHEN len(vs) > 1 THEN 0.94 ELSE 0.82 END::DOUBLE AS confidence FROM z QUALIFY row_number() OVER (PARTITION BY k, id ORDER BY s DESC) = 1""",
+      z AS (SELECT k, source_id || ':' || {SHORT.format("source_id || chr(0) || url || chr(0) || sha256(strftime(vs[1], '%Y-%m-%dT%H:%M:%S') || ':' || coalesce(strftime(vs[2], '%Y-%m-%dT%H:%M:%S'), '') || ':' || lower(label))", 24)} AS id, sn, s, vs, label FROM q)
+      SELECT k, id, {ts('vs[1]', 'start_at')}, {ts('vs[2]', 'end_at')}, label, CASE WHEN len(vs) > 1 THEN 0.94 ELSE 0.82 END::DOUBLE AS confidence, s AS source_text FROM z QUALIFY row_number() OVER (PARTITION BY k, id ORDER BY sn DESC) = 1""",
     "claims_from_documents": f"""WITH d AS ({statements(DEADLINE, False)}), v AS ({statements(EVENT, True)}), {NOTICES}, st AS (SELECT k, source_text AS s, "at" FROM d UNION ALL SELECT k, source_text, "at" FROM v),
       a AS (SELECT * FROM st UNION ALL SELECT k, substr(text, 1, 1000), NULL FROM notices WHERE k NOT IN (SELECT k FROM st) AND trim(text) <> ''),
       f AS (SELECT *, {NORM.format('s')} AS norm FROM a)
@@ -207,6 +212,24 @@ SQL = {
     "conflict_membership": f"WITH {ITEMS}, x AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 22 = 0 UNION SELECT o_orderkey + 1 FROM orders WHERE o_orderkey % 22 = 0) SELECT id FROM items WHERE k IN (SELECT k FROM x)",
     "upsert_latest": f"SELECT o_orderkey % 5000 AS k, max(o_orderkey) AS version, {ts('arg_min(o_orderdate, o_orderkey)', 'first_seen_at')}, arg_max(o_orderstatus, o_orderkey) AS state FROM orders GROUP BY o_orderkey % 5000",
     "insert_if_absent": "SELECT o_custkey AS k, min(o_orderkey) AS pos, arg_min(o_orderstatus, o_orderkey) AS state FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0) GROUP BY o_custkey",
+    "upsert_odd_versions": """SELECT o_orderkey % 3000 AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 5 END AS version, o_orderkey AS id, o_orderstatus AS state FROM orders
+      QUALIFY row_number() OVER (PARTITION BY k ORDER BY version IS NULL, version DESC, o_orderkey % 2 DESC, o_orderkey DESC) = 1""",
+    "update_repeated_keys": "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'PAUSED' WHEN c_custkey % 10 = 0 THEN 'PAUSED' ELSE 'ACTIVE' END AS status FROM customer",
+    "replace_rows": "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS state, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS priority FROM orders UNION ALL SELECT -1, 'X', NULL",
+    "replace_cascade": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0)",
+    "delete_by_key": "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 10 = 0 THEN 'PAUSED' ELSE 'ACTIVE' END AS status FROM customer WHERE c_custkey % 4 <> 0",
+    "retract_links": "SELECT 'claim:' || l_orderkey AS claim_id, 'ev:' || l_partkey AS evidence_id, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 2)",
+    "health_probe": "SELECT * FROM (VALUES ('documents', 1), ('evidence_blobs', 0), ('service', 0)) v(dependency, ok)",
+    "user_preferences": f"""WITH {USERS} SELECT user_id, CASE WHEN active THEN 'ACTIVE' ELSE 'PAUSED' END AS status, program, branch, yr AS "year", array_to_string(cats, '|') AS categories, reminders::INT AS reminders, digest::INT AS digest, muted::INT AS muted,
+      CASE WHEN quiet THEN '22:00' END AS quiet_start, CASE WHEN quiet THEN '07:00' END AS quiet_end FROM users WHERE user_id % 11 <> 0""",
+    "preferences_of_user": f"""WITH {USERS} SELECT user_id, CASE WHEN active THEN 'ACTIVE' ELSE 'PAUSED' END AS status, program, yr AS "year" FROM users WHERE user_id = 7""",
+    "feed_other_categories": f"""{BASE}, {USERS}, other AS (SELECT * REPLACE (CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 'SPORT' ELSE category END AS category) FROM live)
+      SELECT u.user_id, row_number() OVER (PARTITION BY u.user_id ORDER BY i.published_at DESC, i.id) AS rank, i.id AS item_id FROM users u JOIN other i ON {MEETS} WHERE u.active QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY i.published_at DESC, i.id) <= 4""",
+    "delivery_status": f"""WITH RECURSIVE e AS (SELECT user_id, ts, ['PENDING','SENT','FAILED','SKIPPED'][1 + (event_id % 4)::INT] AS mark, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      w AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 'PENDING' AS status, NULL::TIMESTAMP AS sent_at FROM e
+        UNION ALL SELECT e.user_id, e.n, CASE WHEN ok THEN mark ELSE status END, CASE WHEN ok AND mark IN ('SENT', 'FAILED') THEN e.ts ELSE sent_at END
+        FROM (SELECT w.*, (w.status = 'PENDING' AND m.mark <> 'PENDING') OR (w.status IN ('FAILED', 'SKIPPED') AND m.mark = 'PENDING') AS ok, m.mark, m.ts, m.n AS n2 FROM w JOIN e m ON m.user_id = w.user_id AND m.n = w.n + 1) w JOIN e ON e.user_id = w.user_id AND e.n = w.n2)
+      SELECT user_id, status, {ts('sent_at', 'delivered_at')} FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""",
     "update_by_key": "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'BLOCKED' WHEN c_custkey % 10 = 0 THEN 'PAUSED' ELSE 'ACTIVE' END AS status, CASE WHEN c_custkey % 6 = 0 THEN '22:00' END AS quiet_start FROM customer",
     "blob_chunks": "SELECT doc_id, i AS chunk_index, sha256(array_slice(encode(text), i * 1000 + 1, i * 1000 + 1000)) AS sha256 FROM (SELECT doc_id, text, unnest(range(greatest(1, (strlen(text) + 999) // 1000))) AS i FROM documents)",
     "blob_reassembly": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
@@ -243,3 +266,4 @@ SQL = {
     "stream_new_content": "SELECT DISTINCT source AS source_id, sha256(text) AS content_hash FROM documents",
     "stream_ledger": "SELECT user_id, 'info:' || event_id % 500 AS item_id, 'REMINDER' AS kind, strftime(ts, '%Y-%m-%dT%H') AS key, arg_max((['PENDING','SENT','FAILED','SKIPPED'])[1 + (event_id % 4)::INT], (ts, event_id)) AS status FROM events GROUP BY ALL",
 }
+SQL["calendar_dates"] = calendar_dates(SQL["academic_calendar"])
