@@ -149,6 +149,7 @@ def _with_word_prints(docs: DataFrame, text: str) -> DataFrame:
 
 def _members(variants: DataFrame, held: list[str]) -> DataFrame:
     """(block, fp): the variants that several share, one block of those with the same members."""
+    variants = variants.repartition("variant")  # one shuffle, which the aggregate and the join both read
     several = variants.groupBy("variant").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most").select("variant")
     mine: list[str] = []
     shared = materialize(variants.join(several, "variant").select("variant", "fp"), "shared", mine)
