@@ -200,9 +200,26 @@ def calendar_lines(text: Column) -> Column:
     return F.filter(F.transform(lines, of), lambda r: r["start"].isNotNull())
 
 
+# Fixed value: spellings of dates that count as they stand.
+RAW_DATE = r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}|[A-Za-z]{3,9}\s+\d{1,2},\s+\d{4})\b"
+
+
 def date_tokens(text: Column) -> Column:
-    """ISO dates that a text names, for shared-date tests."""
-    return F.array_distinct(F.transform(extract_dates(text), lambda d: F.date_format(d["value"], "yyyy-MM-dd")))
+    """What a text names as dates, for shared-date tests: ISO dates, then spellings in lower case, which may have
+    two-digit years, the month first or no valid date; each once."""
+    known = F.transform(extract_dates(text), lambda d: F.date_format(d["value"], "yyyy-MM-dd"))
+    return F.array_distinct(F.concat(known, F.transform(F.regexp_extract_all(text, F.lit(RAW_DATE), F.lit(0)), F.lower)))
+
+
+def slash_dates(text: Column) -> Column:
+    """Dates spelt day/month/year, with dashes too, as ``yyyy-mm-dd``; two-digit years are of this century."""
+    pattern = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b"
+
+    def of(m: Column) -> Column:
+        day, month, year = (F.regexp_extract(m, pattern, k) for k in (1, 2, 3))
+        return F.concat_ws("-", F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of))
 
 
 def quality_level(length: Column, medium: float = 0.80) -> Column:

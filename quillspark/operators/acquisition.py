@@ -20,6 +20,13 @@ def latest(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("source_id").agg(F.max_by(F.struct("fetched_at", "content_hash", "doc_id"), F.struct("fetched_at", "doc_id")).alias("__row")).select("source_id", "__row.*")
 
 
+def late(history: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The fetched rows that are older than the last evidence their source has: they go into its history by append(), but
+    latest() stays as it was. A source without evidence has no late rows."""
+    last = history.groupBy("source_id").agg(F.max("fetched_at").alias("__last"))
+    return fetched.join(last, "source_id").filter(F.col("fetched_at") < F.col("__last")).select(*fetched.columns)
+
+
 def history(evidence: DataFrame, source_id: str) -> DataFrame:
     return evidence.filter(F.col("source_id") == source_id).orderBy("fetched_at", "doc_id")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -11,19 +13,23 @@ from ..functions import text
 KEEP, STRONG, BEST = 0.15, 0.35, 5
 
 
-def scores(submissions: DataFrame, archive: DataFrame, keep: float = KEEP, stop_words: tuple[str, ...] = ()) -> DataFrame:
+def scores(submissions: DataFrame, archive: DataFrame, keep: float = KEEP, stop_words: tuple[str, ...] = (), dates: Callable[[Column], Column] = text.date_tokens) -> DataFrame:
     """(submission_id, item_id, score, shared, date_hit) of pairs that score ``keep`` or more.
 
     Only pairs that share a token can score, apart from the date bonus, which alone reaches ``keep``: so pairs meet on
-    tokens and on dates. The overlap is the number of tokens on which a pair meets, so token sets travel once.
+    tokens and on dates. The overlap is the number of tokens on which a pair meets, so token sets travel once. Of the
+    archive, ``title``, ``summary`` and, if there, ``statement`` give tokens; the latter two and, if there, the times
+    ``due_at`` and ``starts_at`` give dates, which ``dates`` finds.
     """
-    a = submissions.select(F.col("id").alias("submission_id"), text.content_tokens(F.col("text"), stop_words).alias("ta"), text.date_tokens(F.col("text")).alias("da"))
-    body = F.concat_ws(" ", "title", "summary")
-    b = archive.select(F.col("id").alias("item_id"), text.content_tokens(body, stop_words).alias("tb"), text.date_tokens(body).alias("db"))
+    a = submissions.select(F.col("id").alias("submission_id"), text.content_tokens(F.col("text"), stop_words).alias("ta"), dates(F.col("text")).alias("da"))
+    told = [c for c in ("summary", "statement") if c in archive.columns]
+    times = [F.date_format(c, "yyyy-MM-dd") for c in ("due_at", "starts_at") if c in archive.columns]
+    dated = F.concat_ws(" ", *told, *times)
+    b = archive.select(F.col("id").alias("item_id"), text.content_tokens(F.concat_ws(" ", "title", *told), stop_words).alias("tb"), dates(dated).alias("db"))
     words = a.select("submission_id", F.array_size("ta").alias("na"), F.explode("ta").alias("t")).join(b.select("item_id", F.array_size("tb").alias("nb"), F.explode("tb").alias("t")), "t")
     shared = words.groupBy("submission_id", "item_id", "na", "nb").agg(F.count("*").alias("shared"))
-    dates = a.select("submission_id", F.array_size("ta").alias("na"), F.explode("da").alias("d")).join(b.select("item_id", F.array_size("tb").alias("nb"), F.explode("db").alias("d")), "d")
-    hits = dates.filter("na > 0 AND nb > 0").select("submission_id", "item_id", "na", "nb").distinct().withColumn("hit", F.lit(True))
+    met = a.select("submission_id", F.array_size("ta").alias("na"), F.explode("da").alias("d")).join(b.select("item_id", F.array_size("tb").alias("nb"), F.explode("db").alias("d")), "d")
+    hits = met.filter("na > 0 AND nb > 0").select("submission_id", "item_id", "na", "nb").distinct().withColumn("hit", F.lit(True))
     pairs = shared.join(hits, ["submission_id", "item_id", "na", "nb"], "full")
     n = F.coalesce("shared", F.lit(0))
     score = F.least(F.lit(1.0), 0.55 * n / (F.col("na") + F.col("nb") - n) + 0.30 * n / F.col("na") + F.when(F.col("hit"), 0.15).otherwise(0.0))
@@ -50,3 +56,14 @@ def review_queue(verdicts: DataFrame, scored: DataFrame) -> DataFrame:
     top = scored.groupBy("submission_id").agg(F.max("score").alias("top_score"))
     rows = verdicts.join(top, "submission_id", "left")
     return rows.filter("verdict = 'CONFLICTING' OR (verdict = 'UNVERIFIED' AND top_score IS NOT NULL)").select("submission_id", "verdict", F.coalesce("top_score", F.lit(0.0)).alias("top_score"))
+
+
+def batch(submissions: DataFrame, archive: DataFrame, conflicts: DataFrame, folder: str) -> DataFrame:
+    """One relation of all that a verification run reads: its rows by ``part`` (submission, item, conflict), columns that
+    a part lacks null. A submission with an ``object_key`` gets ``object_file``, its file below ``folder``."""
+    files = F.when(F.coalesce(F.col("object_key"), F.lit("")) != "", F.concat(F.lit(folder.rstrip("/") + "/"), F.col("id")))
+    parts = (("submission", submissions.withColumn("object_file", files)), ("item", archive), ("conflict", conflicts))
+    first, *rest = [rows.withColumn("part", F.lit(name)) for name, rows in parts]
+    for rows in rest:
+        first = first.unionByName(rows, allowMissingColumns=True)
+    return first

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import html, ids, render, temporal, text
 from ..functions.temporal import at
 from ..operators import acquisition, claims, items, notices, relate, submissions, tables, trust
-from ..sources import registry, web
+from ..sources import files, registry, web
 from ..streaming import state
 from . import named
 from .bridge import EVENT_NOW, ITEM_NOW, Tables
@@ -65,6 +65,11 @@ def public_feed(t):
     return _ids(named.public_feed(views(t), ITEM_NOW, "EXAM", 50), "published_at")
 
 
+@query
+def public_feed_json(t):
+    return named.public_feed_json(views(t), ITEM_NOW, "EXAM", 50)
+
+
 @query
 def upcoming(t):
     return _ids(named.upcoming(views(t, scope=False), ITEM_NOW), "due_at", "starts_at")
@@ -148,6 +153,16 @@ def evidence_latest(t):
     return acquisition.latest(t.evidence())
 
 
+@query
+def evidence_late(t):
+    """Fetches that arrive after newer ones of their source: what is late, and that the latest row stays."""
+    e = t.evidence()
+    held, fetched = e.filter("doc_id % 3 <> 0"), e.filter("doc_id % 3 = 0")
+    fetched = fetched.withColumn("fetched_at", F.col("fetched_at") - F.make_dt_interval(F.lit(1)))
+    last = acquisition.latest(held.unionByName(acquisition.append(held, fetched)))
+    return acquisition.late(held, fetched).select("source_id", "doc_id").join(last.select("source_id", F.col("doc_id").alias("latest_doc")), "source_id")
+
+
 @query
 def evidence_history(t):
     return acquisition.history(t.evidence(), "src1").select("doc_id", "fetched_at")
@@ -171,6 +186,31 @@ def run_rollup(t):
     return tables.run_summary(rows)
 
 
+@query
+def run_manifest(t):
+    return tables.manifest_hash(t.read("orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("o_custkey")))
+
+
+@query
+def duplicate_ids(t):
+    return tables.duplicate_keys(t.read("lineitem").selectExpr("l_orderkey", "l_suppkey % 3 AS shelf"), ["l_orderkey", "shelf"])
+
+
+@query
+def content_gate(t):
+    """Landed bodies by content type: what is accepted and which extractor takes it."""
+    kinds = ("text/html; charset=utf-8", "APPLICATION/PDF", " text/plain ;x", "application/json", "application/xhtml+xml", "image/png", None)
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("page_id") % len(kinds) + 1).cast("int"))
+    rows = t.read("pages").select("page_id", kind.alias("content_type"))
+    return rows.select("page_id", files.media_type(F.col("content_type")).alias("media_type"), files.accepted(F.col("content_type"), ["text/html", "application/pdf"]).cast("int").alias("accepted"), files.dispatch(F.col("content_type")).alias("extractor"))
+
+
+@query
+def text_documents(t):
+    rows = t.read("documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    return files.text_documents(rows, most_chars=None).select("doc_id", F.sha2("body_text", 256).alias("sha256"), F.col("quality.level").alias("level"), F.col("quality.score").alias("score"), "extraction_kind")
+
+
 @query
 def source_registry(t):
     return registry.enabled(registry.registry(t.spark))
@@ -200,6 +240,11 @@ def extract_dates(t):
     return found.select("k", "n", F.col("d.value").alias("value"), F.col("d.source_text").alias("source_text"), F.col("d.confidence").alias("confidence"))
 
 
+@query
+def date_tokens(t):
+    return t.notices().select("k", F.array_sort(text.date_tokens(F.concat(F.col("text"), F.lit(" 3/4/26, May 5, 2026 and 40-13-99")))).alias("tokens"))
+
+
 def _statements(t, f):
     found = t.notices().select("k", F.posexplode(f(F.col("text"))).alias("n", "d"))
     return found.select("k", "n", F.col("d.title").alias("title"), F.col("d.at").alias("at"), F.col("d.source_text").alias("source_text"))
@@ -499,6 +544,22 @@ def submission_scores(t):
     return submissions.scores(t.submissions(), t.archive()).select("submission_id", "item_id", "score", "shared")
 
 
+@query
+def submission_dates(t):
+    """Submitted notices against items that share no word with them but a date, by when they are due."""
+    sent = t.notices().filter("k % 8 = 0").selectExpr("concat('s:', k) AS id", "text")
+    kept = t.read("orders").filter("o_orderkey % 8 = 1").selectExpr("concat('info:', o_orderkey) AS id", "concat('item a', o_orderkey) AS title", "'' AS summary", "CAST(add_months(CAST(o_orderdate AS DATE), 240) AS TIMESTAMP_NTZ) AS due_at")
+    return submissions.scores(sent, kept).select("submission_id", "item_id", "score", "shared", F.col("date_hit").cast("int").alias("date_hit"))
+
+
+@query
+def submission_batch(t):
+    sent = t.submissions().select("id", "user_id", F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("up/"), F.col("id"))).alias("object_key"))
+    edges = t.archive().filter("in_conflict").selectExpr("id AS left_claim_id", "'CONFLICTS' AS kind")
+    rows = submissions.batch(sent, t.archive().select("id", "title"), edges, "file:///objects/")
+    return rows.select("part", "id", "user_id", "object_key", "object_file", "title", "left_claim_id", "kind")
+
+
 @query
 def submission_best(t):
     return submissions.best(submissions.scores(t.submissions(), t.archive())).select("submission_id", "item_id", "rank", "reason")
@@ -561,6 +622,19 @@ def citation_check(t):
     return rows.select("k", render.cites_only(F.col("statement"), F.col("cites"), F.array(F.lit("e0"), F.lit("e1"), F.lit("e2"))).cast("int").alias("ok"))
 
 
+@query
+def grounded_prompts(t):
+    """A question for each order with its lines as evidence, and the prompt escaped for a message."""
+    lines = t.read("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("e"), F.col("l_linenumber")).alias("id"), F.concat(F.lit("part <"), F.col("l_partkey"), F.lit("> & more")).alias("title"), F.col("l_returnflag").alias("summary")))).alias("evidence"))
+    prompt = render.grounded_prompt(F.concat(F.lit("What of order "), F.col("l_orderkey"), F.lit("?")), F.col("evidence"))
+    return lines.select(F.col("l_orderkey").alias("k"), prompt.alias("prompt"), render.html_escape(prompt).alias("escaped"))
+
+
+@query
+def file_names(t):
+    return t.read("pages").select("page_id", render.file_name(F.col("url")).alias("name"))
+
+
 @query
 def json_from_fence(t):
     wrapped = F.concat(F.lit("Sure:\n```json\n"), F.col("props"), F.lit("\n```"))
@@ -645,7 +719,7 @@ def message_parts(t):
     return parts.groupBy("doc_id").agg(F.max(F.length("part") <= render.MESSAGE_CHARS).cast("int").alias("fits"), F.sum(F.length(F.regexp_replace("part", "\n\n", ""))).alias("chars"))
 
 
-# Without an SQL form: parsers, calendar text, streams.
+# Parsers, calendar text, streams.
 @query
 def html_extract(t):
     docs = html.html_documents(t.read("pages"))

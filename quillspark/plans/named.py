@@ -5,17 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intent import parse_intent
 from ..functions.temporal import at, in_effect
-from ..functions.text import content_tokens, token_set
+from ..functions.text import content_tokens, slash_dates, token_set
 from ..functions.vectors import cosine
 from ..operators import relate, submissions, trust
 
 CALENDAR_VIEW = ("EVENT", "HOLIDAY", "CALENDAR")
 CALENDAR_FEED = ("DEADLINE", "EXAM", "REGISTRATION", "EVENT", "HOLIDAY", "CALENDAR")
+FEED_TIMES = ("published_at", "effective_from", "effective_until", "due_at", "starts_at", "ends_at")
 DOCUMENTS = ("NOTICE", "CALENDAR")
 PREFILTER_ROWS, PREFILTER_TOKENS = 30, 12
 
@@ -55,6 +56,17 @@ def public_feed(v: Views, now: datetime, category: str | None = None, limit: int
     return rows.orderBy(*_newest()).limit(max(1, min(20, limit)))
 
 
+def public_feed_json(v: Views, now: datetime, category: str | None = None, limit: int = 20) -> DataFrame:
+    """One row: public_feed() as a JSON document, times in UTC, absent values null."""
+    rows = public_feed(v, now, category, limit)
+    rows = rows.withColumn("__n", F.row_number().over(Window.orderBy(*_newest())))  # 20 rows at most
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+    item = F.struct("id", "title", "summary", "category", "importance", "program", "branch", "year", "semester", *[stamp(c) for c in FEED_TIMES], "primary_source_url")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__n", item.alias("item")))), lambda x: x["item"])
+    head = [F.lit(True).alias("ok"), F.lit("verified").alias("trust"), F.lit(now.strftime("%Y-%m-%dT%H:%M:%SZ")).alias("generated_at")]
+    return rows.agg(F.to_json(F.struct(*head, listed.alias("items")), {"ignoreNullFields": "false"}).alias("feed"))
+
+
 def upcoming(v: Views, now: datetime, days: int = 30, limit: int = 8) -> DataFrame:
     """Due, else starting, within a window closed at both ends."""
     when = F.coalesce("due_at", "starts_at")
@@ -83,14 +95,14 @@ def retrieval_candidates(v: Views, now: datetime, limit: int = 30, text_order: b
 
 
 def verification_matches(v: Views, now: datetime, query: str, limit: int = 5, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """The newest rows that hold one of the query's first words, scored against the query."""
+    """The newest rows that hold one of the query's first words, scored against the query by title and summary."""
     spark = v.items.sparkSession
     asked = spark.createDataFrame([(query,)], "text string")
     words = asked.select(content_tokens(F.col("text"), stop_words)).first()[0]
     if not words:
         return v.items.filter(F.lit(False)).select(F.lit("").alias("submission_id"), F.col("id").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).alias("shared"), F.lit(False).alias("date_hit"), F.lit(0).alias("rank"), F.lit("").alias("reason"))
     near = v.current(now, scoped=False).filter(trust.any_token(words, PREFILTER_TOKENS)).orderBy(*_newest()).limit(PREFILTER_ROWS)
-    scored = submissions.scores(asked.select(F.lit("query").alias("id"), "text"), near, stop_words=stop_words)
+    scored = submissions.scores(asked.select(F.lit("query").alias("id"), "text"), near.select("id", "title", "summary"), stop_words=stop_words, dates=slash_dates)
     return submissions.best(scored, limit)
 
 

@@ -267,3 +267,54 @@ SQL = {
     "stream_ledger": "SELECT user_id, 'info:' || event_id % 500 AS item_id, 'REMINDER' AS kind, strftime(ts, '%Y-%m-%dT%H') AS key, arg_max((['PENDING','SENT','FAILED','SKIPPED'])[1 + (event_id % 4)::INT], (ts, event_id)) AS status FROM events GROUP BY ALL",
 }
 SQL["calendar_dates"] = calendar_dates(SQL["academic_calendar"])
+
+
+def ics(x: str) -> str:
+    return rf"replace(replace(replace(replace({x}, '\', '\\'), ';', '\;'), ',', '\,'), chr(10), '\n')"
+
+
+RAW_DATE = r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}|[A-Za-z]{3,9}\s+\d{1,2},\s+\d{4})\b"
+CRLF, UTC, ISO = "chr(13) || chr(10)", "'%Y%m%dT%H%M%SZ'", "'%Y-%m-%dT%H:%M:%SZ'"
+START = "coalesce(starts_at, due_at)"
+URL = "'https://source' || k % 6 || '.example.org/items/' || k"
+VEVENT = f""" || {CRLF} || """.join((
+    "'BEGIN:VEVENT'", "'UID:' || id", f"'DTSTAMP:' || strftime({NOW}, {UTC})", f"'DTSTART:' || strftime({START}, {UTC})", f"'DTEND:' || strftime({START} + INTERVAL 1 HOUR, {UTC})",
+    f"'SUMMARY:' || {ics('title')}", f"'DESCRIPTION:' || {ics('summary')}", f"'URL:' || {URL}", "'END:VEVENT'",
+))
+JSON_ITEM = "{'id': id, 'title': title, 'summary': summary, 'category': category, 'importance': importance, 'program': program, 'branch': branch, 'year': yr, 'semester': semester, " + ", ".join(
+    f"'{c}': strftime({c}, {ISO})" for c in ("published_at", "effective_from", "effective_until", "due_at", "starts_at")) + f", 'ends_at': NULL, 'primary_source_url': {URL}}}"
+NEXT = "['VERIFIED','CONFLICTING','EXPIRED','SUPERSEDED','REMOVED'][1 + (event_id % 5)::INT]"
+ALL_DATES = dates("s", "k")
+
+SQL |= {
+    "public_feed_json": f"""{BASE}, x AS (SELECT * FROM live WHERE category = 'EXAM' {NEWEST} LIMIT 20)
+      SELECT to_json({{'ok': true, 'trust': 'verified', 'generated_at': strftime({NOW}, {ISO}), 'items': list({JSON_ITEM} {NEWEST})}})::VARCHAR AS feed FROM x""",
+    "evidence_late": f"""WITH {EVIDENCE}, h AS (SELECT * FROM e WHERE doc_id % 3 <> 0), f AS (SELECT * REPLACE (fetched_at - INTERVAL 1 DAY AS fetched_at) FROM e WHERE doc_id % 3 = 0),
+      fresh AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.source_id = f.source_id AND h.content_hash = f.content_hash) QUALIFY row_number() OVER (PARTITION BY source_id, content_hash ORDER BY fetched_at, doc_id) = 1),
+      l AS (SELECT source_id, doc_id AS latest_doc FROM (FROM h UNION ALL FROM fresh) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY fetched_at DESC, doc_id DESC) = 1)
+      SELECT source_id, doc_id, latest_doc FROM f JOIN l USING (source_id) WHERE f.fetched_at < (SELECT max(fetched_at) FROM h WHERE h.source_id = f.source_id)""",
+    "run_manifest": """WITH r AS (SELECT coalesce(CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END::VARCHAR, chr(0)) || chr(1) || o_orderkey || chr(1) || o_orderstatus AS r FROM orders)
+      SELECT sha256(count(*) || ':' || sum(('0x' || substr(sha256(r), 1, 15))::BIGINT)) AS manifest_sha256, count(*) AS objects FROM r""",
+    "duplicate_ids": "SELECT l_orderkey, l_suppkey % 3 AS shelf, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "content_gate": """SELECT page_id, ['text/html','application/pdf','text/plain','application/json','application/xhtml+xml','image/png',NULL][1 + (page_id % 7)::INT] AS media_type,
+      (page_id % 7 < 2)::INT AS accepted, ['html','pdf','text','text','html',NULL,NULL][1 + (page_id % 7)::INT] AS extractor FROM pages""",
+    "text_documents": "SELECT doc_id, sha256(text) AS sha256, CASE WHEN length(trim(text)) > 0 THEN 'MEDIUM' ELSE 'FAILED' END AS level, CASE WHEN length(trim(text)) > 0 THEN 0.8 ELSE 0 END::DOUBLE AS score, 'text' AS extraction_kind FROM documents",
+    "date_tokens": f"""WITH {NOTICES}, s AS (SELECT k, text || ' 3/4/26, May 5, 2026 and 40-13-99' AS s FROM notices), {ALL_DATES}, a AS (SELECT k, list(strftime(value, '%Y-%m-%d')) AS a FROM dated GROUP BY k)
+      SELECT k, array_to_string(list_sort(list_distinct(list_concat(coalesce(a, []), list_transform(regexp_extract_all(s, '{RAW_DATE}'), lambda x: lower(x))))), '|') AS tokens FROM s LEFT JOIN a USING (k)""",
+    "submission_dates": """WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE + INTERVAL 240 MONTH AS d FROM orders)
+      SELECT 's:' || a.k AS submission_id, 'info:' || b.k AS item_id, 0.15::DOUBLE AS score, 0 AS shared, 1 AS date_hit FROM o a JOIN o b ON a.d = b.d WHERE a.k % 8 = 0 AND b.k % 8 = 1""",
+    "submission_batch": """SELECT 'submission' AS part, conv_id || ':' || turn AS id, conv_id AS user_id, CASE WHEN conv_id % 2 = 0 THEN 'up/' || conv_id || ':' || turn END AS object_key,
+        CASE WHEN conv_id % 2 = 0 THEN 'file:///objects/' || conv_id || ':' || turn END AS object_file, NULL AS title, NULL AS left_claim_id, NULL AS kind FROM conversations WHERE role = 'user'
+      UNION ALL SELECT 'item', 'info:' || item_id, NULL, NULL, NULL, text, NULL, NULL FROM benchmark
+      UNION ALL SELECT 'conflict', NULL, NULL, NULL, NULL, NULL, 'info:' || item_id, 'CONFLICTS' FROM benchmark WHERE item_id % 2 = 0""",
+    "grounded_prompts": """WITH e AS (SELECT l_orderkey AS k, string_agg('[e' || l_linenumber || '] part <' || l_partkey || '> & more: ' || l_returnflag, chr(10) ORDER BY 'e' || l_linenumber, 'part <' || l_partkey || '>', l_returnflag) AS e FROM lineitem GROUP BY l_orderkey),
+      p AS (SELECT k, 'Answer only from the evidence and cite ids.' || chr(10) || e || chr(10) || 'Question: What of order ' || k || '?' AS prompt FROM e) SELECT k, prompt, replace(replace(replace(prompt, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM p""",
+    "file_names": "SELECT page_id, substr(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'), 1, 100) AS name FROM pages",
+    "ics_feed": f"""{BASE}, {USERS}, r AS (SELECT u.user_id, i.*, row_number() OVER (PARTITION BY u.user_id ORDER BY coalesce(i.starts_at, i.due_at), i.id) AS rank FROM users u JOIN live i ON {MEETS}
+        WHERE u.active AND coalesce(i.due_at, i.starts_at) >= {NOW} QUALIFY rank <= 5)
+      SELECT user_id, 'BEGIN:VCALENDAR' || {CRLF} || 'VERSION:2.0' || {CRLF} || 'PRODID:-//notices//EN' || {CRLF} || 'X-WR-CALNAME:Notices' || {CRLF} || string_agg({VEVENT}, {CRLF} ORDER BY rank) || {CRLF} || 'END:VCALENDAR' || {CRLF} AS ics FROM r GROUP BY user_id""",
+    "stream_claim_state": f"""WITH RECURSIVE e AS (SELECT 'claim:' || user_id AS claim_id, ts, {NEXT} AS mark, row_number() OVER (PARTITION BY user_id ORDER BY ts, {NEXT}) AS n FROM events),
+      w AS (SELECT DISTINCT claim_id, NULL::TIMESTAMP AS ts, 0::BIGINT AS n, 'UNVERIFIED' AS state, true AS accepted FROM e
+        UNION ALL SELECT x.claim_id, x.ts, x.n, CASE WHEN x.ok THEN x.mark ELSE x.state END, x.ok FROM (SELECT e.claim_id, e.ts, e.n, e.mark, w.state, {LEGAL.format('w.state', 'e.mark')} AS ok FROM w JOIN e ON e.claim_id = w.claim_id AND e.n = w.n + 1) x)
+      SELECT claim_id, {ts('w.ts')}, state, accepted FROM w WHERE n > 0""",
+}

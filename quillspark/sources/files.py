@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import quality_level
 
-MOST_BYTES = 10 << 20
-MOST_CHARS = 1_500_000
+# Files and texts beyond these are left out and cut.
+MOST_BYTES, MOST_CHARS = 10 << 20, 1_500_000
 Extractor = Callable[[bytes], list[str]]
 
 
@@ -36,10 +36,12 @@ def accepted(content_type: Column, allowed: list[str]) -> Column:
     return F.coalesce(media_type(content_type).isin(*allowed), F.lit(False))
 
 
-def text_documents(rows: DataFrame, body: str = "content") -> DataFrame:
-    """Rows with body_text, quality and kind of plain text or XML bodies; broken UTF-8 is replaced."""
-    text = F.substring(F.make_valid_utf8(F.col(body).cast("string")), 1, MOST_CHARS)
-    rows = rows.withColumn("body_text", text)
+def text_documents(rows: DataFrame, body: str = "content", most_chars: int | None = MOST_CHARS) -> DataFrame:
+    """Rows with body_text, quality and kind of plain text or XML bodies; broken UTF-8 is replaced. ``truncated`` marks
+    texts that were cut after ``most_chars``; None cuts none."""
+    whole = F.make_valid_utf8(F.col(body).cast("string"))
+    cut = F.lit(False) if most_chars is None else F.coalesce(F.length(whole) > most_chars, F.lit(False))
+    rows = rows.withColumn("body_text", whole if most_chars is None else F.substring(whole, 1, most_chars)).withColumn("truncated", cut)
     good = F.length(F.trim("body_text")) > 0
     q = F.struct(F.when(good, "MEDIUM").otherwise("FAILED").alias("level"), F.when(good, 0.8).otherwise(0.0).alias("score"))
     return rows.withColumn("quality", q).withColumn("extraction_kind", F.lit("text"))

@@ -138,3 +138,11 @@ def test_html():
 def test_html_documents(spark, sf):
     rows = html.html_documents(spark.createDataFrame([(1, "https://a.org/", PAGE), (2, None, None)], "page_id bigint, url string, html string")).orderBy("page_id").collect()
     assert rows[0].quality.level == "LOW" and rows[0].published_at.isoformat() == "2026-01-01T21:34:05" and rows[1].quality.level == "FAILED"
+
+
+def test_date_tokens_spellings(spark):
+    told = one(spark, F.array_join(text.date_tokens(F.lit("Due 14 Sept 2026, May 5, 2026, 3/4/26 and 31-02-2026; x12/3/24")), "|"))
+    assert told == "2026-09-14|14 sept 2026|may 5, 2026|3/4/26|31-02-2026"
+    assert one(spark, F.array_join(text.slash_dates(F.lit("3/4/26, 03-04-2026 and 5/6/2027")), "|")) == "2026-04-03|2027-06-05"
+    assert one(spark, F.size(text.date_tokens(F.lit("")))) == 0
+    assert one(spark, text.date_tokens(F.lit(None).cast("string"))) is None
