@@ -106,8 +106,15 @@ def evidence_links(claims: DataFrame, role: str = "primary evidence") -> DataFra
 
 
 def failed_streak(outcomes: DataFrame) -> DataFrame:
-    """(source_id, consecutive_failures, last_success_at): failures since the last success, by source."""
+    """(source_id, consecutive_failures, last_success_at): failures since the last success, by source.
+
+    Failures are counted by source and time before they meet their source's last success, so that no task has all rows
+    of a source.
+    """
     ok = F.col("http_status") < 400
-    last = outcomes.withColumn("last_success_at", F.max(F.when(ok, F.col("fetched_at"))).over(Window.partitionBy("source_id")))
-    since = (~ok) & (F.col("last_success_at").isNull() | (F.col("fetched_at") > F.col("last_success_at")))
-    return last.groupBy("source_id").agg(F.count_if(since).alias("consecutive_failures"), F.max("last_success_at").alias("last_success_at"))
+    last = outcomes.groupBy("source_id").agg(F.max(F.when(ok, F.col("fetched_at"))).alias("last_success_at"))
+    failed = outcomes.filter(~ok).groupBy(F.col("source_id").alias("__source"), "fetched_at").agg(F.count("*").alias("n"))
+    after = F.col("last_success_at").isNull() | (F.col("fetched_at") > F.col("last_success_at"))
+    same = F.col("source_id").eqNullSafe(F.col("__source"))
+    since = failed.join(last, same).filter(after).groupBy("__source").agg(F.sum("n").alias("n"))
+    return last.join(since, same, "left").select("source_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("consecutive_failures"), "last_success_at")

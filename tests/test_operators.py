@@ -205,3 +205,44 @@ def test_archive_search_orders_and_nulls(spark):
     assert order(named.search_archive(df, now=DAY)) == ["b", "c", "a"]
     assert order(named.search_archive(df, now=DAY + timedelta(days=1))) == [] and len(order(named.search_archive(df, now=DAY + timedelta(days=1), include_expired=True))) == 3
     assert order(named.search_archive(df, "exam form")) == []
+
+
+def test_change_status_by_brute_force(spark):
+    draw = random.Random(5)
+    fetched = [(i, draw.choice("ab"), draw.choice("xyz"), DAY + timedelta(hours=draw.randrange(200)), draw.choice([200, 200, 500])) for i in range(120)]
+    df = spark.createDataFrame(fetched, "doc_id long, source_id string, content_hash string, fetched_at timestamp_ntz, http_status int")
+    want, seen, last = [], {}, {}
+    for i, source, mark, _, status in sorted(fetched, key=lambda r: (r[3], r[0])):
+        known = seen.setdefault(source, set())
+        said = "FAILED" if status >= 400 else "FETCHED" if not known else "UNCHANGED" if mark in known else "CHANGED"
+        want.append((i, said, said == "UNCHANGED" and last[source] != mark))
+        if status < 400:
+            known.add(mark)
+            last[source] = mark
+    assert rows(acquisition.change_status(df), "doc_id", "status", "reverted") == sorted(want)
+
+
+def test_late_evidence_and_batches(spark):
+    cols = "source_id string, content_hash string, doc_id long, fetched_at timestamp_ntz"
+    held = spark.createDataFrame([("a", "x", 1, DAY), ("b", "y", 2, DAY)], cols)
+    new = spark.createDataFrame([("a", "z", 3, DAY - timedelta(1)), ("a", "w", 4, DAY), ("b", "v", 5, None), ("c", "u", 6, DAY)], cols)
+    assert rows(acquisition.late(held, new), "doc_id") == [(3,)]
+    assert rows(acquisition.latest(held.unionByName(acquisition.append(held, new.filter("doc_id = 3")))), "source_id", "doc_id") == [("a", 1), ("b", 2)]
+    sent = spark.createDataFrame([("s1", "k/1"), ("s2", None), ("s3", "")], "id string, object_key string")
+    whole = submissions.batch(sent, spark.createDataFrame([("i1", "T")], "id string, title string"), spark.createDataFrame([("i1",)], "left_claim_id string"), "/objects")
+    got = {(r.part, r.id): (r.object_file, r.title, r.left_claim_id) for r in whole.collect()}
+    assert got == {("submission", "s1"): ("/objects/s1", None, None), ("submission", "s2"): (None, None, None), ("submission", "s3"): (None, None, None), ("item", "i1"): (None, "T", None), ("conflict", None): (None, None, "i1")}
+
+
+def test_scores_use_statements_and_times(spark):
+    sent = spark.createDataFrame([("s", "fees due 14 September 2026")], "id string, text string")
+    kept = spark.createDataFrame([("a", "other", "word", "fees", None), ("b", "other", "word", "none", datetime(2026, 9, 14)), ("c", "14 September 2026", "word", "none", None)], "id string, title string, summary string, statement string, due_at timestamp_ntz")
+    got = {r.item_id: (r.shared, r.date_hit) for r in submissions.scores(sent, kept, keep=0.1).collect()}
+    assert got["a"] == (1, False) and got["b"] == (0, True) and not got["c"][1]
+
+
+def test_failed_streak(spark):
+    fetched = [("a", 200, 0), ("a", 500, 1), ("a", 404, 1), ("a", 500, -1), ("b", 500, 0), ("b", 500, 2), ("c", 200, 0), (None, 500, 0)]
+    df = spark.createDataFrame([(s, status, DAY + timedelta(hours=h)) for s, status, h in fetched], "source_id string, http_status int, fetched_at timestamp_ntz")
+    got = {r.source_id: (r.consecutive_failures, r.last_success_at) for r in claims.failed_streak(df).collect()}
+    assert got == {"a": (2, DAY), "b": (2, None), "c": (0, DAY), None: (1, None)}
