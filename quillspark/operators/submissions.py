@@ -11,21 +11,22 @@ from ..functions import text
 
 # Fixed values.
 KEEP, STRONG, BEST = 0.15, 0.35, 5
+#: Columns of the archive that the engine's own queries take dates from; times among them count by their day.
+DATED, TIMES = ("summary", "statement", "due_at", "starts_at"), ("due_at", "starts_at")
 
 
-def scores(submissions: DataFrame, archive: DataFrame, keep: float = KEEP, stop_words: tuple[str, ...] = (), dates: Callable[[Column], Column] = text.date_tokens) -> DataFrame:
+def scores(submissions: DataFrame, archive: DataFrame, keep: float = KEEP, stop_words: tuple[str, ...] = (), dates: Callable[[Column], Column] = text.date_tokens, dated: tuple[str, ...] = ("title", *DATED)) -> DataFrame:
     """(submission_id, item_id, score, shared, date_hit) of pairs that score ``keep`` or more.
 
     Only pairs that share a token can score, apart from the date bonus, which alone reaches ``keep``: so pairs meet on
     tokens and on dates. The overlap is the number of tokens on which a pair meets, so token sets travel once. Of the
-    archive, ``title``, ``summary`` and, if there, ``statement`` give tokens; the latter two and, if there, the times
-    ``due_at`` and ``starts_at`` give dates, which ``dates`` finds.
+    archive, ``title``, ``summary`` and, if there, ``statement`` give tokens, and those of the columns ``dated`` that are
+    there give dates, which ``dates`` finds.
     """
     a = submissions.select(F.col("id").alias("submission_id"), text.content_tokens(F.col("text"), stop_words).alias("ta"), dates(F.col("text")).alias("da"))
     told = [c for c in ("summary", "statement") if c in archive.columns]
-    times = [F.date_format(c, "yyyy-MM-dd") for c in ("due_at", "starts_at") if c in archive.columns]
-    dated = F.concat_ws(" ", *told, *times)
-    b = archive.select(F.col("id").alias("item_id"), text.content_tokens(F.concat_ws(" ", "title", *told), stop_words).alias("tb"), dates(dated).alias("db"))
+    named = F.concat_ws(" ", *[F.date_format(c, "yyyy-MM-dd") if c in TIMES else F.col(c) for c in dated if c in archive.columns])
+    b = archive.select(F.col("id").alias("item_id"), text.content_tokens(F.concat_ws(" ", "title", *told), stop_words).alias("tb"), dates(named).alias("db"))
     words = a.select("submission_id", F.array_size("ta").alias("na"), F.explode("ta").alias("t")).join(b.select("item_id", F.array_size("tb").alias("nb"), F.explode("tb").alias("t")), "t")
     shared = words.groupBy("submission_id", "item_id", "na", "nb").agg(F.count("*").alias("shared"))
     met = a.select("submission_id", F.array_size("ta").alias("na"), F.explode("da").alias("d")).join(b.select("item_id", F.array_size("tb").alias("nb"), F.explode("db").alias("d")), "d")

@@ -541,7 +541,7 @@ def constraint_violations(t):
 # Submissions.
 @query
 def submission_scores(t):
-    return submissions.scores(t.submissions(), t.archive()).select("submission_id", "item_id", "score", "shared")
+    return submissions.scores(t.submissions(), t.archive(), dated=submissions.DATED).select("submission_id", "item_id", "score", "shared")
 
 
 @query
@@ -549,7 +549,7 @@ def submission_dates(t):
     """Submitted notices against items that share no word with them but a date, by when they are due."""
     sent = t.notices().filter("k % 8 = 0").selectExpr("concat('s:', k) AS id", "text")
     kept = t.read("orders").filter("o_orderkey % 8 = 1").selectExpr("concat('info:', o_orderkey) AS id", "concat('item a', o_orderkey) AS title", "'' AS summary", "CAST(add_months(CAST(o_orderdate AS DATE), 240) AS TIMESTAMP_NTZ) AS due_at")
-    return submissions.scores(sent, kept).select("submission_id", "item_id", "score", "shared", F.col("date_hit").cast("int").alias("date_hit"))
+    return submissions.scores(sent, kept, dated=submissions.DATED).select("submission_id", "item_id", "score", "shared", F.col("date_hit").cast("int").alias("date_hit"))
 
 
 @query
@@ -562,11 +562,11 @@ def submission_batch(t):
 
 @query
 def submission_best(t):
-    return submissions.best(submissions.scores(t.submissions(), t.archive())).select("submission_id", "item_id", "rank", "reason")
+    return submissions.best(submissions.scores(t.submissions(), t.archive(), dated=submissions.DATED)).select("submission_id", "item_id", "rank", "reason")
 
 
 def _verdicts(t):
-    scored = submissions.scores(t.submissions(), t.archive())
+    scored = submissions.scores(t.submissions(), t.archive(), dated=submissions.DATED)
     bad = t.archive().filter("in_conflict").select(F.col("id").alias("item_id"))
     return scored, submissions.classify(t.submissions(), scored, bad, strong=0.2)
 

@@ -102,7 +102,7 @@ def verification_matches(v: Views, now: datetime, query: str, limit: int = 5, st
     if not words:
         return v.items.filter(F.lit(False)).select(F.lit("").alias("submission_id"), F.col("id").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).alias("shared"), F.lit(False).alias("date_hit"), F.lit(0).alias("rank"), F.lit("").alias("reason"))
     near = v.current(now, scoped=False).filter(trust.any_token(words, PREFILTER_TOKENS)).orderBy(*_newest()).limit(PREFILTER_ROWS)
-    scored = submissions.scores(asked.select(F.lit("query").alias("id"), "text"), near.select("id", "title", "summary"), stop_words=stop_words, dates=slash_dates)
+    scored = submissions.scores(asked.select(F.lit("query").alias("id"), "text"), near.select("id", "title", "summary"), stop_words=stop_words, dates=slash_dates, dated=submissions.DATED)
     return submissions.best(scored, limit)
 
 

@@ -64,7 +64,7 @@ def queue_sink(path: str, archive: DataFrame, strong: float = submissions.STRONG
     in_conflict) and writes their verdicts, one folder for each batch; a batch run again overwrites its own."""
 
     def run(batch: DataFrame, number: int) -> None:
-        scored = submissions.scores(batch, archive)
+        scored = submissions.scores(batch, archive, dated=submissions.DATED)
         bad = archive.filter("in_conflict").select(F.col("id").alias("item_id"))
         submissions.classify(batch, scored, bad, strong).write.mode("overwrite").parquet(f"{path}/batch={number}")
 

@@ -237,7 +237,7 @@ def test_late_evidence_and_batches(spark):
 def test_scores_use_statements_and_times(spark):
     sent = spark.createDataFrame([("s", "fees due 14 September 2026")], "id string, text string")
     kept = spark.createDataFrame([("a", "other", "word", "fees", None), ("b", "other", "word", "none", datetime(2026, 9, 14)), ("c", "14 September 2026", "word", "none", None)], "id string, title string, summary string, statement string, due_at timestamp_ntz")
-    got = {r.item_id: (r.shared, r.date_hit) for r in submissions.scores(sent, kept, keep=0.1).collect()}
+    got = {r.item_id: (r.shared, r.date_hit) for r in submissions.scores(sent, kept, keep=0.1, dated=submissions.DATED).collect()}
     assert got["a"] == (1, False) and got["b"] == (0, True) and not got["c"][1]
 
 
