@@ -112,3 +112,19 @@ def labelled_sample(labels: DataFrame, id_col: str, label: str, most: int) -> Da
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("k")).agg(F.max(label).cast("int").alias("y"))
     least = lambda y: rows.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most)
     return least(0).unionByName(least(1))
+
+
+#: Keys that join_copies() takes by themselves: those with at least a HOT_KEYS-th of all rows, so no more than so many.
+HOT_KEYS = 1024
+
+
+def join_copies(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``table``, one row of it for each ``key``; ``counts`` has (key, copies), the number of
+    rows by key. Keys that hold a HOT_KEYS-th of the rows or more - there can't be more of those than HOT_KEYS - meet
+    their row of the table by a broadcast, all others by a shuffle in which no key is larger than that."""
+    total = counts.agg(F.sum("copies")).first()[0] or 0
+    hot = [r[0] for r in counts.filter(F.col("copies") >= max(64, -(-total // HOT_KEYS))).select(key).collect()]
+    if not hot:
+        return rows.join(table, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), key).unionByName(rows.filter(~is_hot).join(table.filter(~is_hot), key))

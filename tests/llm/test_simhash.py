@@ -74,8 +74,16 @@ def test_keep_one_odd_rows(odd_documents):
     kept = simhash.keep_one(odd_documents)
     assert kept.columns == odd_documents.columns
     got = sorted((str(r.doc_id), (r.text or "")[:20]) for r in kept.collect())
-    # 2 copies 1; 3, 4, 5 and a row without id are all empty; the rows of id 7 are two texts, of which one stays
-    assert [g[0] for g in got] == ["1", "10", "3", "7", "8", "9", "None"]
+    # 2 copies 1; 3, 4, 5 and a row without id are all empty; the rows of id 7 are two texts, of which one stays. The other
+    # row without id is row 1's text and one word more: 11 of 12 five-word shingles are common, and 0.8 is the limit.
+    assert [g[0] for g in got] == ["1", "10", "3", "7", "8", "9"]
+
+
+def test_keep_one_leaves_a_row_without_id_below_the_limit(spark, odd_documents):
+    base = odd_documents.filter("doc_id = 1").first().text
+    rows = [(1, base), (None, base + " again and then some more of it"), (None, base + " again")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame(rows[:2], kept.schema).collect()))
 
 
 def brute_word_components(texts):
