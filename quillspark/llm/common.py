@@ -128,3 +128,14 @@ def join_copies(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame)
         return rows.join(table, key)
     is_hot = F.col(key).isin(hot)
     return rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), key).unionByName(rows.filter(~is_hot).join(table.filter(~is_hot), key))
+
+
+#: Keys that having() sends to every task; 8 bytes each, about 40 as Spark holds them.
+SENT_KEYS = 1_000_000
+
+
+def having(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is one of a written table of ``keys``, nulls included if there is one. At most SENT_KEYS of
+    them go to every task, so that the rows stay where they are; more meet the rows in a shuffle."""
+    keys = keys.select(F.col(key).alias("__key"))
+    return rows.join(F.broadcast(keys) if keys.count() <= SENT_KEYS else keys, rows[key].eqNullSafe(F.col("__key")), "left_semi")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_copies, materialize, remove, small_batches, text_chunks
+from .common import having, join_copies, materialize, remove, small_batches, text_chunks
 from .simhash import Vocabulary, _classes, connect
 
 SHINGLE_WORDS = 3
@@ -27,8 +27,9 @@ SHINGLE_WORDS = 3
 SIMILAR = 85
 #: Two texts at that similarity share no first band of any order in 2 of 10^8 cases.
 ORDERS, BAND = 24, 4
-#: Texts that a region may have before it is split, and bands of the prefixes that split it.
-CROWD, DEPTHS = 64, (2, 3, 4, 6, 8)
+#: Texts that a region may have before it is split, and bands of the prefixes that split it. Neighbours in a crowd that
+#: share CLOSE bands are looked at before all else: most are links, and what they connect need not meet again.
+CROWD, DEPTHS, CLOSE = 64, (2, 3, 4, 6, 8), 4
 #: One bit of each signature value stays for a first look at a pair; at the least similarity 7 of 96 differ, 2.6 being one
 #: standard deviation, so a pair that passes 26 is none.
 MOST_BITS = 26
@@ -123,26 +124,27 @@ def _alike_once(regions: DataFrame) -> DataFrame:
     return regions.join(chosen, "block").select("block", "fp")
 
 
-def regions(reps: DataFrame, held: list[str], crowd: int = CROWD) -> DataFrame:
-    """(block, fp) of the texts (fp, keys) that are to be compared: shared prefixes of an adaptive depth, and neighbours of
-    the longest common prefix in crowded regions."""
+def regions(reps: DataFrame, held: list[str], crowd: int | None = None) -> DataFrame:
+    """(block, fp, first) of the texts (fp, keys) that are to be compared: shared prefixes of an adaptive depth, and
+    neighbours of the longest common prefix in crowded regions. ``first`` marks the blocks to begin with."""
+    crowd = CROWD if crowd is None else crowd
     each = reps.select("fp", F.posexplode("keys").alias("order", "k0"))
     shared = each.groupBy("k0").agg(F.count("*").alias("n")).filter("n > 1")
     first = materialize(each.join(shared, "k0").select("order", "k0", "fp", "n"), "regions", held)
-    out = [_alike_once(first.filter(F.col("n") <= crowd).select(F.col("k0").alias("block"), "fp"))]
+    out = [_alike_once(first.filter(F.col("n") <= crowd).select(F.col("k0").alias("block"), "fp")).withColumn("first", F.lit(True))]
     wide = first.filter(F.col("n") > crowd).join(reps.select("fp", "keys"), "fp")
     deeper = [F.element_at("keys", (F.col("order") + j) % ORDERS + 1).alias(f"k{j}") for j in range(1, DEPTHS[-1])]
     open_rows = materialize(wide.select("fp", "k0", *deeper), "crowded", held)
     if not open_rows.isEmpty():
         keys = [f"k{j}" for j in range(DEPTHS[-1])]
         near = neighbours(open_rows, keys).withColumn("block", F.xxhash64("a", "b"))
-        out.append(near.select("block", F.explode(F.array("a", "b")).alias("fp")))
+        out.append(near.select("block", F.explode(F.array("a", "b")).alias("fp"), (F.col("shared") >= CLOSE).alias("first")))
         for depth in DEPTHS:
             tagged = open_rows.withColumn("block", F.xxhash64(*keys[:depth], F.lit(depth)))
             sizes = tagged.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
             tagged = materialize(tagged.join(sizes, "block"), "deeper", held)
             enough = F.col("n") <= crowd
-            out.append(_alike_once((tagged if depth == DEPTHS[-1] else tagged.filter(enough)).select("block", "fp")))
+            out.append(_alike_once((tagged if depth == DEPTHS[-1] else tagged.filter(enough)).select("block", "fp")).withColumn("first", F.lit(False)))
             open_rows = tagged.filter(~enough).drop("block", "n")
             if depth == DEPTHS[-1] or open_rows.isEmpty():
                 break
@@ -165,8 +167,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(reps, "texts", held)
     members = regions(reps, held)
     wanted = materialize(reps.join(members.select("fp").distinct(), "fp").select("fp", F.col("first").alias("id")), "wanted", held)
-    texts = docs.join(wanted.select(F.col("id").alias("__first")), docs[id_col].eqNullSafe(F.col("__first")), "left_semi")
-    full = _sets(texts, id_col, text_col, full=True).join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
+    texts = having(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, "id")
+    full = _sets(texts, "id", "text", full=True).join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
     full = materialize(full, "sets", held)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -175,12 +177,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))) + F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b")))
         may = (100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b")) & (apart <= MOST_BITS)
         both = materialize(both.filter(may).select("a", "b", "n_a", "n_b"), "pairs", held)
+        used = having(full, materialize(both.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "used", held), "fp")
         for s in "ab":
-            both = both.join(full.toDF(s, f"grams_{s}"), s)
+            both = both.join(used.toDF(s, f"grams_{s}"), s)
         common = F.size(F.array_intersect("grams_a", "grams_b"))
         return both.filter(100 * common >= similar * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
-    edges = connect(members, verify, held=held)
+    edges = connect(members.select("block", "fp"), verify, held=held, first=members.filter("first").select("block", "fp"))
     classes = materialize(_classes(reps.select(F.col("first").alias("id"), "fp"), edges, held), "classes").select("fp", "component")
     worded = join_copies(prints.filter("n > 0").select("id", "fp", "n"), classes, "fp", reps.select("fp", "copies"))
     out = worded.select("id", "n", "component").unionByName(prints.filter("n = 0").select("id", "n", F.col("id").alias("component")))

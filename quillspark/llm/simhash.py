@@ -160,16 +160,18 @@ def _members(variants: DataFrame, held: list[str]) -> DataFrame:
     return members
 
 
-def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = STARS, held: list[str] | None = None) -> DataFrame:
+def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = STARS, held: list[str] | None = None, first: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) that connect all of a block whom verified pairs connect; ``verify`` keeps the pairs (a, b) it likes.
 
     First a star in each block, from its least member. A pair of others may be near where both are far from that one, so
     all pairs of a block that lie in different components follow. As one of each such pair is outside the block's largest
     component, a block of one large component and a few others has about as many of them as members. Blocks that have
-    many more take further stars, from other members, before.
+    many more take further stars, from other members, before. If ``first`` is given, the first stars are those of its
+    blocks, of the same kind, instead.
     """
-    least = members.groupBy("block").agg(F.min("fp").alias("a"))
-    edges = materialize(verify(members.join(least, "block").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()), "links", held)
+    chosen = members if first is None else first
+    least = chosen.groupBy("block").agg(F.min("fp").alias("a"))
+    edges = materialize(verify(chosen.join(least, "block").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()), "links", held)
     fresh = not edges.isEmpty()
     for k in range(1, stars + 1):
         if fresh:
