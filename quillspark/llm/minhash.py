@@ -5,7 +5,9 @@ t reads band t first, then the bands after it, round and round. Texts stand near
 How deep a shared prefix must be is set region by region: texts that share the first band of an order are a region; one of
 at most CROWD texts is searched as a whole, a larger one is sorted, each text meets its neighbour of the longest common
 prefix, and what shares deeper prefixes is searched, until no more than CROWD texts share one or DEPTHS end. All links
-are confirmed on the full sets.
+are confirmed on the full sets. Of two linked texts that meet in crowds only, with no third one to connect them, some are
+missed: on a table of 51,282 documents, 2,000 of which were random edits of one text, two had another component than by an
+exact join.
 """
 
 from __future__ import annotations
@@ -177,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))) + F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b")))
         may = (100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b")) & (apart <= MOST_BITS)
         both = materialize(both.filter(may).select("a", "b", "n_a", "n_b"), "pairs", held)
-        used = having(full, materialize(both.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "used", held), "fp")
+        used = having(full, materialize(both.select(F.col("a").alias("fp")).unionByName(both.select(F.col("b").alias("fp"))).distinct(), "used", held), "fp")
         for s in "ab":
             both = both.join(used.toDF(s, f"grams_{s}"), s)
         common = F.size(F.array_intersect("grams_a", "grams_b"))
