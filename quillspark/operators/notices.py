@@ -96,11 +96,12 @@ def digest_gate(now: datetime) -> bool:
 
 
 def weekly_digest(users: DataFrame, items: DataFrame, now: datetime, days: int = 7, per_user: int = 10, force: bool = False) -> DataFrame:
-    """(user_id, n_items, kind, key): one digest for each user with anything ahead, the key being the ISO week."""
+    """(user_id, n_items, kind, key): one digest for each user with anything ahead who can be reached now, the key being the
+    ISO week."""
     open_ = F.lit(bool(force or digest_gate(now)))
     when = F.coalesce("due_at", "starts_at")
     ahead = items.filter(open_ & (when >= at(now)) & (when <= at(now + timedelta(days=days))))
-    rows = feed(active_users(users).filter("digest"), ahead, [when, F.col("id")], per_user)
+    rows = feed(deliverable(users, "digest", now), ahead, [when, F.col("id")], per_user)
     return rows.groupBy("user_id").agg(F.count("*").alias("n_items")).select("user_id", "n_items", F.lit("DIGEST").alias("kind"), iso_week_key(at(now)).alias("key"))
 
 

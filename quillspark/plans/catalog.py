@@ -14,7 +14,7 @@ from ..functions import html, ids, render, temporal, text
 from ..functions.temporal import at
 from ..operators import acquisition, claims, items, notices, relate, submissions, tables, trust
 from ..sources import files, registry, web
-from ..streaming import state
+from ..streaming import keyed, state
 from . import named
 from .bridge import EVENT_NOW, ITEM_NOW, Tables
 
@@ -796,3 +796,39 @@ def stream_new_content(t):
     path = _scratch(t)
     rows = state.table_stream(t.spark, f"{t.folder}/documents.parquet").selectExpr("source AS source_id", "sha2(text, 256) AS content_hash", "CAST(TIMESTAMP_NTZ '2024-01-01 00:00:00' AS TIMESTAMP) AS fetched_at")
     return state.drain(state.new_content(rows).select("source_id", "content_hash"), f"{path}/out", f"{path}/checkpoint")
+
+
+def _seconds(column: str) -> str:
+    return f"CAST(date_trunc('second', {column}) AS TIMESTAMP)"
+
+
+@query
+def stream_claim_expiry(t):
+    """Four hundred claims; two events in five say until when the claim holds."""
+    path = _scratch(t)
+    states = "CASE WHEN event_id % 97 = 0 THEN 'SUPERSEDED' WHEN event_id % 101 = 0 THEN 'REMOVED' ELSE element_at(array('VERIFIED','CONFLICTING','VERIFIED','EXPIRED','VERIFIED','CONFLICTING'), CAST(event_id % 6 AS INT) + 1) END"
+    until = f"CASE WHEN event_id % 5 < 2 THEN {_seconds('ts')} + make_dt_interval(0, CAST(event_id % 90 - 5 AS INT)) END"
+    rows = _event_stream(t).selectExpr("concat('claim:', event_id % 400) AS claim_id", f"{_seconds('ts')} AS ts", f"{states} AS next_state", f"{until} AS effective_until")
+    return state.drain(keyed.claim_states(rows, "2 days"), f"{path}/out", f"{path}/checkpoint")
+
+
+@query
+def stream_change_status(t):
+    """A fetch every seven minutes; contents come back, some fetches fail and some are not modified."""
+    path = _scratch(t)
+    code = "CASE WHEN doc_id % 9 = 0 THEN 500 WHEN doc_id % 7 = 0 THEN 304 ELSE 200 END"
+    rows = state.table_stream(t.spark, f"{t.folder}/documents.parquet").selectExpr(
+        "source AS source_id", "CAST(TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(7 * doc_id AS INT)) AS TIMESTAMP) AS fetched_at", "doc_id", "substr(sha2(text, 256), 1, 2) AS content_hash", f"{code} AS http_status"
+    )
+    found = keyed.change_status(rows, "6 hours")
+    return state.drain(found, f"{path}/out", f"{path}/checkpoint").select("source_id", "doc_id", "status", "reverted", "last_good")
+
+
+@query
+def stream_delivery(t):
+    """Seven hundred notifications: claims, what became of them, and leases of three days that run out."""
+    path = _scratch(t)
+    mark = "element_at(array('CLAIM','SENT','CLAIM','FAILED','CLAIM','SKIPPED'), CAST((event_id * 7 + event_id DIV 700) % 6 AS INT) + 1)"
+    rows = _event_stream(t).selectExpr("concat('notification:', event_id % 700) AS notification_id", f"{_seconds('ts')} AS ts", "event_id", f"{mark} AS mark")
+    found = keyed.deliveries(rows, "2 days", lease_minutes=3 * 24 * 60, keep_days=5)
+    return state.drain(found, f"{path}/out", f"{path}/checkpoint")

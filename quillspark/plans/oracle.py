@@ -254,7 +254,7 @@ SQL = {
     "notification_users": f"WITH {USERS} SELECT user_id, program, array_to_string(cats, '|') AS categories FROM users WHERE active",
     "quiet_hours": "WITH r AS (SELECT event_id, strftime(ts, '%H:%M') AS c FROM events) SELECT event_id, CASE event_id % 3 WHEN 0 THEN c >= '22:00' OR c < '07:00' WHEN 1 THEN c >= '08:00' AND c < '12:00' ELSE true END::INT AS quiet, 1 AS valid FROM r",
     "reminders_due": f"{BASE}, {USERS} SELECT u.user_id, i.id AS item_id, 'REMINDER' AS kind, strftime(i.due_at, '%Y-%m-%dT%H') AS key FROM users u JOIN live i ON {MEETS} WHERE u.active AND u.reminders AND NOT u.muted AND NOT u.quiet AND i.due_at > {NOW} AND i.due_at <= {NOW} + INTERVAL 3 DAY QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY i.due_at, i.id) <= 5",
-    "weekly_digest": f"{BASE}, {USERS}, r AS (SELECT u.user_id, row_number() OVER (PARTITION BY u.user_id ORDER BY coalesce(i.due_at, i.starts_at), i.id) AS rk FROM users u JOIN live i ON {MEETS} WHERE u.active AND u.digest AND coalesce(i.due_at, i.starts_at) BETWEEN {NOW} + INTERVAL 185 MINUTE AND {NOW} + INTERVAL 185 MINUTE + INTERVAL 7 DAY) SELECT user_id, count(*) AS n_items, 'DIGEST' AS kind, '1998-W23' AS key FROM r WHERE rk <= 10 GROUP BY user_id",
+    "weekly_digest": f"{BASE}, {USERS}, r AS (SELECT u.user_id, row_number() OVER (PARTITION BY u.user_id ORDER BY coalesce(i.due_at, i.starts_at), i.id) AS rk FROM users u JOIN live i ON {MEETS} WHERE u.active AND u.digest AND NOT u.muted AND NOT u.quiet AND coalesce(i.due_at, i.starts_at) BETWEEN {NOW} + INTERVAL 185 MINUTE AND {NOW} + INTERVAL 185 MINUTE + INTERVAL 7 DAY) SELECT user_id, count(*) AS n_items, 'DIGEST' AS kind, '1998-W23' AS key FROM r WHERE rk <= 10 GROUP BY user_id",
     "notification_ledger": """WITH l AS (SELECT event_id, ts, user_id, 'info:' || event_id % 500 AS item, CASE WHEN event_id % 4 = 0 THEN 'DIGEST' ELSE 'REMINDER' END AS kind, strftime(ts, '%Y-%m-%dT%H') AS key, (['PENDING','SENT','FAILED','SKIPPED'])[1 + (event_id % 4)::INT] AS status FROM events),
       h AS (SELECT * FROM l WHERE event_id % 3 = 0 AND (status = 'SENT' OR status = 'PENDING' AND ts >= TIMESTAMP '2024-01-08'))
       SELECT DISTINCT 'notification:' || user_id || ':' || kind || ':' || item || ':' || key AS id, 'PENDING' AS status FROM l w WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.user_id = w.user_id AND h.item = w.item AND h.kind = w.kind AND h.key = w.key)""",
@@ -318,3 +318,49 @@ SQL |= {
         UNION ALL SELECT x.claim_id, x.ts, x.n, CASE WHEN x.ok THEN x.mark ELSE x.state END, x.ok FROM (SELECT e.claim_id, e.ts, e.n, e.mark, w.state, {LEGAL.format('w.state', 'e.mark')} AS ok FROM w JOIN e ON e.claim_id = w.claim_id AND e.n = w.n + 1) x)
       SELECT claim_id, {ts('w.ts')}, state, accepted FROM w WHERE n > 0""",
 }
+
+# Keyed state. The stream's end is the latest event less the delay; what lies before it has come out.
+END = "(SELECT date_trunc('second', max(ts)) - INTERVAL 2 DAY FROM events)"
+CAN_EXPIRE = "('VERIFIED', 'CONFLICTING')"
+SQL |= {
+    "stream_claim_expiry": f"""WITH RECURSIVE
+      given AS (SELECT 'claim:' || event_id % 400 AS claim_id, date_trunc('second', ts) AS ts, event_id,
+        CASE WHEN event_id % 97 = 0 THEN 'SUPERSEDED' WHEN event_id % 101 = 0 THEN 'REMOVED' ELSE ['VERIFIED','CONFLICTING','VERIFIED','EXPIRED','VERIFIED','CONFLICTING'][1 + (event_id % 6)::INT] END AS mark FROM events),
+      e AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY ts, mark, until NULLS FIRST) AS n
+        FROM (SELECT *, CASE WHEN event_id % 5 < 2 THEN ts + to_hours(event_id % 90 - 5) END AS until FROM given) WHERE ts < {END}),
+      w AS (SELECT DISTINCT claim_id, 0::BIGINT AS n, NULL::TIMESTAMP AS ts, 'UNVERIFIED' AS state, true AS ok, NULL::TIMESTAMP AS alarm, NULL::TIMESTAMP AS expired FROM e
+        UNION ALL
+        SELECT claim_id, n, ts, CASE WHEN ok THEN mark ELSE was END, ok, CASE WHEN until IS NOT NULL THEN greatest(until, ts) WHEN NOT rings THEN alarm END, CASE WHEN rings AND can THEN alarm END
+        FROM (SELECT *, {LEGAL.format('was', 'mark')} AS ok
+          FROM (SELECT e.*, w.alarm, coalesce(w.alarm <= e.ts, false) AS rings, w.state IN {CAN_EXPIRE} AS can, CASE WHEN w.alarm <= e.ts AND w.state IN {CAN_EXPIRE} THEN 'EXPIRED' ELSE w.state END AS was
+            FROM w JOIN e ON e.claim_id = w.claim_id AND e.n = w.n + 1))),
+      last AS (SELECT * FROM w QUALIFY n = max(n) OVER (PARTITION BY claim_id))
+      SELECT claim_id, {ts('t', 'ts')}, state, accepted, cause FROM (
+        SELECT claim_id, ts AS t, state, ok AS accepted, 'event' AS cause FROM w WHERE n > 0
+        UNION ALL SELECT claim_id, expired, 'EXPIRED', true, 'expiry' FROM w WHERE expired IS NOT NULL
+        UNION ALL SELECT claim_id, alarm, 'EXPIRED', true, 'expiry' FROM last WHERE alarm < {END} AND state IN {CAN_EXPIRE})""",
+    "stream_change_status": """WITH f AS (SELECT source AS source_id, doc_id, TIMESTAMP '2024-01-01' + to_minutes(7 * doc_id) AS since, substr(sha256(text), 1, 2) AS h,
+        CASE WHEN doc_id % 9 = 0 THEN 500 WHEN doc_id % 7 = 0 THEN 304 ELSE 200 END AS code FROM documents),
+      g AS (SELECT *, CASE WHEN code = 200 THEN h END AS shown FROM f),
+      p AS (SELECT *, last_value(shown IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY since, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+        CASE WHEN shown IS NOT NULL THEN row_number() OVER (PARTITION BY source_id, shown ORDER BY since, doc_id) END AS time_shown FROM g)
+      SELECT source_id, doc_id, CASE WHEN code = 500 OR (code = 304 AND before IS NULL) OR (code = 200 AND h IS NULL) THEN 'FAILED' WHEN code = 304 THEN 'UNCHANGED' WHEN before IS NULL THEN 'FETCHED' WHEN time_shown > 1 THEN 'UNCHANGED' ELSE 'CHANGED' END AS status,
+        coalesce(code = 200 AND time_shown > 1 AND before <> h, false) AS reverted, coalesce(shown, before) AS last_good
+      FROM p WHERE since < (SELECT max(since) - INTERVAL 6 HOUR FROM f)""",
+    "stream_delivery": f"""WITH RECURSIVE
+      e AS (SELECT 'notification:' || event_id % 700 AS id, date_trunc('second', ts) AS ts, event_id, ['CLAIM','SENT','CLAIM','FAILED','CLAIM','SKIPPED'][1 + ((event_id * 7 + event_id // 700) % 6)::INT] AS mark,
+        row_number() OVER (PARTITION BY event_id % 700 ORDER BY date_trunc('second', ts), event_id) AS n FROM events WHERE date_trunc('second', ts) < {END}),
+      w AS (SELECT DISTINCT id, 0::BIGINT AS n, NULL::TIMESTAMP AS ts, NULL::BIGINT AS event_id, NULL::VARCHAR AS status, NULL::TIMESTAMP AS since, 0 AS attempt, true AS ok, NULL::TIMESTAMP AS lapsed, 0 AS lapsed_attempt FROM e
+        UNION ALL
+        SELECT id, n, ts, event_id, CASE WHEN NOT ok THEN s WHEN mark = 'CLAIM' THEN 'PENDING' ELSE mark END, CASE WHEN ok THEN ts ELSE a END, c + (ok AND mark = 'CLAIM')::INT, ok, lapsed, lapsed_attempt
+        FROM (SELECT *, CASE WHEN mark = 'CLAIM' THEN s IS NULL OR s IN ('FAILED', 'SKIPPED', 'LAPSED') ELSE coalesce(s = 'PENDING' OR (s = 'LAPSED' AND mark = 'SENT'), false) END AS ok
+          FROM (SELECT *, CASE WHEN gone THEN NULL ELSE s1 END AS s, CASE WHEN gone THEN NULL ELSE a1 END AS a, CASE WHEN gone THEN 0 ELSE c1 END AS c
+            FROM (SELECT *, coalesce(s1 <> 'PENDING' AND a1 + INTERVAL 5 DAY <= ts, false) AS gone
+              FROM (SELECT e.*, CASE WHEN lapses THEN 'LAPSED' ELSE w.status END AS s1, CASE WHEN lapses THEN w.since + INTERVAL 3 DAY ELSE w.since END AS a1, w.attempt AS c1, CASE WHEN lapses THEN w.since + INTERVAL 3 DAY END AS lapsed, w.attempt AS lapsed_attempt
+                FROM w JOIN e ON e.id = w.id AND e.n = w.n + 1 CROSS JOIN LATERAL (SELECT coalesce(w.status = 'PENDING' AND w.since + INTERVAL 3 DAY <= e.ts, false) AS lapses)))))),
+      last AS (SELECT * FROM w QUALIFY n = max(n) OVER (PARTITION BY id))
+      SELECT id AS notification_id, {ts('t', 'ts')}, event_id, status, attempt, ok AS accepted FROM (
+        SELECT id, ts AS t, event_id, status, attempt, ok FROM w WHERE n > 0
+        UNION ALL SELECT id, lapsed, NULL, 'LAPSED', lapsed_attempt, true FROM w WHERE lapsed IS NOT NULL
+        UNION ALL SELECT id, since + INTERVAL 3 DAY, NULL, 'LAPSED', attempt, true FROM last WHERE status = 'PENDING' AND since + INTERVAL 3 DAY < {END})""",
+}
