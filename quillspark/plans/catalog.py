@@ -14,7 +14,8 @@ from ..functions import html, ids, render, temporal, text
 from ..functions.temporal import at
 from ..operators import acquisition, claims, items, notices, relate, submissions, tables, trust
 from ..sources import files, registry, web
-from ..streaming import keyed, state
+from ..sources.snapshots import Snapshots
+from ..streaming import keyed, reminders, state
 from . import named
 from .bridge import EVENT_NOW, ITEM_NOW, Tables
 
@@ -832,3 +833,42 @@ def stream_delivery(t):
     rows = _event_stream(t).selectExpr("concat('notification:', event_id % 700) AS notification_id", f"{_seconds('ts')} AS ts", "event_id", f"{mark} AS mark")
     found = keyed.deliveries(rows, "2 days", lease_minutes=3 * 24 * 60, keep_days=5)
     return state.drain(found, f"{path}/out", f"{path}/checkpoint")
+
+
+# Stored tables.
+@query
+def stored_upsert(t):
+    """Orders by a repeating key: made, upserted twice, rows deleted; read as stored."""
+    rows = t.read("orders").selectExpr("o_orderkey % 5000 AS k", "o_orderkey AS version", "o_orderdate AS first_seen_at", "o_orderstatus AS state")
+    part = [rows.filter(x) for x in ("version < 5000", "version >= 5000 AND version < 10000", "version >= 10000")]
+    table = Snapshots(t.spark, f"{_scratch(t)}/table")
+    table.create(tables.upsert(rows.limit(0), part[0], ["k"], "version", ("first_seen_at",)), ["k"])
+    table.upsert(part[1], "version", keep_first=("first_seen_at",))
+    table.upsert(part[2], "version", keep_first=("first_seen_at",))
+    table.delete(rows.filter("k % 11 = 0").select("k"))
+    return table.read()
+
+
+@query
+def stored_replace(t):
+    """Customers; some are replaced by rows without a segment, new ones come, and the version before is read beside."""
+    rows = t.read("customer").selectExpr("c_custkey AS k", "c_name AS name", "c_mktsegment AS segment")
+    table = Snapshots(t.spark, f"{_scratch(t)}/table")
+    first = table.create(rows.filter("k % 2 = 0"), ["k"])
+    table.replace(rows.filter("k % 3 = 0").select("k", "name"))
+    table.insert_if_absent(rows.filter("k % 5 < 3"), "name")
+    old = table.read(first).select("k", F.lit(1).alias("before"))
+    return table.read().join(old, "k", "left").select("k", "name", "segment", F.coalesce("before", F.lit(0)).alias("before"))
+
+
+@query
+def stream_reminders(t):
+    """Five ticks, a quarter of an hour apart, around the hour of the digest; one user in nine can't be delivered to."""
+    path = _scratch(t)
+    ticks = state.table_stream(t.spark, f"{t.folder}/region.parquet").selectExpr("TIMESTAMP_NTZ '1998-06-01 02:45:00' + make_dt_interval(0, 0, CAST(15 * r_regionkey AS INT)) AS ts")
+    ledger = reminders.open_ledger(t.spark, f"{path}/ledger")
+    live = lambda: trust.current(t.items(), t.claims(), t.relationships(), ITEM_NOW)
+    deliver = lambda claims: claims.withColumn("status", F.expr("CASE WHEN user_id % 9 = 0 THEN 'FAILED' ELSE 'SENT' END"))
+    sink = reminders.reminder_sink(ledger, t.users, live, deliver)
+    ticks.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return ledger.read()

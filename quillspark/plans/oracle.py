@@ -364,3 +364,19 @@ SQL |= {
         UNION ALL SELECT id, lapsed, NULL, 'LAPSED', lapsed_attempt, true FROM w WHERE lapsed IS NOT NULL
         UNION ALL SELECT id, since + INTERVAL 3 DAY, NULL, 'LAPSED', attempt, true FROM last WHERE status = 'PENDING' AND since + INTERVAL 3 DAY < {END})""",
 }
+
+# Stored tables.
+TICKS = f"ticks AS (SELECT TIMESTAMP '1998-06-01 02:45:00' + to_minutes(15 * r_regionkey) AS now FROM region)"
+REACHED = "u.active AND NOT u.muted AND NOT u.quiet"
+SQL |= {
+    "stored_upsert": f"SELECT o_orderkey % 5000 AS k, max(o_orderkey) AS version, {ts('arg_min(o_orderdate, o_orderkey)', 'first_seen_at')}, arg_max(o_orderstatus, o_orderkey) AS state FROM orders WHERE o_orderkey % 5000 % 11 <> 0 GROUP BY o_orderkey % 5000",
+    "stored_replace": """SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment, (c_custkey % 2 = 0)::INT AS before
+      FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 < 3""",
+    "stream_reminders": f"""{BASE}, {USERS}, {TICKS},
+      due AS (SELECT u.user_id, i.id AS item_id, 'REMINDER' AS kind, strftime(i.due_at, '%Y-%m-%dT%H') AS key, now FROM ticks JOIN users u ON {REACHED} AND u.reminders
+        JOIN live i ON {MEETS} WHERE i.due_at > now AND i.due_at <= now + INTERVAL 1 DAY QUALIFY row_number() OVER (PARTITION BY now, u.user_id ORDER BY i.due_at, i.id) <= 5),
+      digest AS (SELECT DISTINCT u.user_id, '__WEEKLY_DIGEST__' AS item_id, 'WEEKLY_DIGEST' AS kind, '1998-W23' AS key, now FROM ticks JOIN users u ON {REACHED} AND u.digest
+        JOIN live i ON {MEETS} WHERE hour(now) = 3 AND minute(now) < 15 AND coalesce(i.due_at, i.starts_at) BETWEEN now AND now + INTERVAL 7 DAY),
+      sent AS (SELECT user_id, item_id, kind, key, CASE WHEN user_id % 9 = 0 THEN max(now) ELSE min(now) END AS t FROM (FROM due UNION ALL FROM digest) GROUP BY user_id, item_id, kind, key)
+      SELECT 'notification:' || user_id || ':' || kind || ':' || item_id || ':' || key AS id, user_id, item_id, kind, key, CASE WHEN user_id % 9 = 0 THEN 'FAILED' ELSE 'SENT' END AS status, {ts('t', 'ts')}, {ts('t', 'delivered_at')} FROM sent""",
+}
