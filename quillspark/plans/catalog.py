@@ -866,7 +866,7 @@ def stream_reminders(t):
     """Five ticks, a quarter of an hour apart, around the hour of the digest; one user in nine can't be delivered to."""
     path = _scratch(t)
     ticks = state.table_stream(t.spark, f"{t.folder}/region.parquet").selectExpr("TIMESTAMP_NTZ '1998-06-01 02:45:00' + make_dt_interval(0, 0, CAST(15 * r_regionkey AS INT)) AS ts")
-    ledger = reminders.open_ledger(t.spark, f"{path}/ledger")
+    ledger = reminders.open_ledger(t.spark, f"{path}/ledger", buckets=8)
     live = lambda: trust.current(t.items(), t.claims(), t.relationships(), ITEM_NOW)
     deliver = lambda claims: claims.withColumn("status", F.expr("CASE WHEN user_id % 9 = 0 THEN 'FAILED' ELSE 'SENT' END"))
     sink = reminders.reminder_sink(ledger, t.users, live, deliver)
