@@ -170,17 +170,24 @@ class Block:
 Rows = Callable[[Block, pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
-def _pass(rows: DataFrame, value: tuple, run: Callable, schema: str) -> DataFrame:
-    """One reading of the rows by ``run`` over (value, batches); the value goes to the workers as a broadcast."""
-    sent = rows.sparkSession.sparkContext.broadcast(value)
-    return small_batches(rows).mapInArrow(lambda batches: run(sent.value, batches), schema)
+def _again(kind: type, state: dict):
+    """An object from the vars() of another: workers get plain values, as they may lack this package."""
+    out = kind.__new__(kind)
+    out.__dict__.update(state)
+    return out
+
+
+def _pass(rows: DataFrame, values: tuple, run: Callable, schema: str) -> DataFrame:
+    """One reading of the rows by ``run`` over (values, batches); the values go to the workers as a broadcast."""
+    sent, kinds = rows.sparkSession.sparkContext.broadcast([vars(v) for v in values]), [type(v) for v in values]
+    return small_batches(rows).mapInArrow(lambda batches: run([_again(k, x) for k, x in zip(kinds, sent.value, strict=True)], batches), schema)
 
 
 def _locate(rows: DataFrame, block: Block, windows: Windows, pairs: Rows) -> None:
     """Refine the windows until each knows its kth row: one reading of the rows for each digit."""
 
-    def counted(value: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, windows = value
+    def counted(values: list, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, windows = values
         counts = np.zeros(len(windows.low) * BUCKETS, np.int64)
         for batch in batches:
             for found in pairs(block, batch):
@@ -199,8 +206,8 @@ def _locate(rows: DataFrame, block: Block, windows: Windows, pairs: Rows) -> Non
 def _gather(rows: DataFrame, block: Block, windows: Windows, pairs: Rows) -> DataFrame:
     """(w, rank, score, id): the k best of each window."""
 
-    def kept(value: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, windows = value
+    def kept(values: list, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, windows = values
         for batch in batches:
             for w, scores, ids in pairs(block, batch):
                 best = windows.chosen(w, scores, ids)
@@ -214,7 +221,8 @@ def _gather(rows: DataFrame, block: Block, windows: Windows, pairs: Rows) -> Dat
 def _positives(rows: DataFrame, block: Block, ids: tuple[int, int], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(there, id, score) by anchor and rank: the k best rows of the anchor's own label."""
 
-    def ranges(block: Block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranges(values: list, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = values[0]
         n = len(block.ids)
         low, high = np.full(n, MOST_SCORE), np.full(n, -MOST_SCORE - 1)
         for batch in batches:
@@ -224,7 +232,7 @@ def _positives(rows: DataFrame, block: Block, ids: tuple[int, int], k: int) -> t
         some = np.flatnonzero(high >= low)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(low[some]), pa.array(high[some])], ["a", "low", "high"])
 
-    got = _pass(rows, block, ranges, "a bigint, low bigint, high bigint").groupBy("a").agg(F.min("low"), F.max("high")).toArrow()
+    got = _pass(rows, (block,), ranges, "a bigint, low bigint, high bigint").groupBy("a").agg(F.min("low"), F.max("high")).toArrow()
     n = len(block.ids)
     low, high = np.zeros(n, np.int64), np.full(n, -1)
     low[got.column(0).to_numpy()], high[got.column(0).to_numpy()] = got.column(1).to_numpy(), got.column(2).to_numpy()
