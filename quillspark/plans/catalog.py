@@ -872,3 +872,10 @@ def stream_reminders(t):
     sink = reminders.reminder_sink(ledger, t.users, live, deliver)
     ticks.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return ledger.read()
+
+
+@query
+def gap_groups(t):
+    """A user's events in groups of six hours from the first of each."""
+    rows = t.read("events").select("user_id", "event_id", "ts")
+    return relate.gap_anchors(rows, 6 * 3600, "user_id", "ts").groupBy("user_id", "anchor").agg(F.count("*").alias("events"), F.max("event_id").alias("last_event"))

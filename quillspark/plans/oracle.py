@@ -380,3 +380,9 @@ SQL |= {
       sent AS (SELECT user_id, item_id, kind, key, CASE WHEN user_id % 9 = 0 THEN max(now) ELSE min(now) END AS t FROM (FROM due UNION ALL FROM digest) GROUP BY user_id, item_id, kind, key)
       SELECT 'notification:' || user_id || ':' || kind || ':' || item_id || ':' || key AS id, user_id, item_id, kind, key, CASE WHEN user_id % 9 = 0 THEN 'FAILED' ELSE 'SENT' END AS status, {ts('t', 'ts')}, {ts('t', 'delivered_at')} FROM sent""",
 }
+SQL |= {
+    "gap_groups": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(date_trunc('second', ts))::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      w AS (SELECT user_id, n, event_id, t AS anchor FROM e WHERE n = 1
+        UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN e.t - w.anchor <= 21600 THEN w.anchor ELSE e.t END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+      SELECT user_id, anchor, count(*) AS events, max(event_id) AS last_event FROM w GROUP BY ALL""",
+}

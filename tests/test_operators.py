@@ -86,6 +86,35 @@ def test_anchored_groups(spark):
     assert rows(relate.anchored_groups(both, 24 * 3600, "user_id"), "user_id", "members") == [(1, ["a", "b"])]
 
 
+def walked(times, seconds):
+    """The anchor of each time, by a walk."""
+    out, anchor = {}, None
+    for t in sorted(set(times)):
+        anchor = t if anchor is None or t - anchor > seconds else anchor
+        out[t] = anchor
+    return out
+
+
+def test_gap_anchors_against_a_walk(spark):
+    import random
+
+    rng, start = random.Random(4), datetime(2026, 1, 1)
+    data = [(i, rng.choice(["a", "b", None]), rng.randrange(0, 4000) if i % 3 else rng.randrange(0, 10**6)) for i in range(700)] + [(1000 + i, "long", 61 * i) for i in range(300)]
+    df = spark.createDataFrame([(i, o, start + timedelta(seconds=s)) for i, o, s in data] + [(9999, "a", None)], "id bigint, user_id string, due_at timestamp_ntz").repartition(6)
+    for seconds in (0, 60, 5000):
+        want = {o: walked([s for _, p, s in data if p == o], seconds) for o in {d[1] for d in data}}
+        base = int((start - datetime(1970, 1, 1)).total_seconds())
+        got = {r.id: r.anchor - base for r in relate.gap_anchors(df, seconds, "user_id").collect()}
+        assert got == {i: want[o][s] for i, o, s in data}
+        every = walked([s for _, _, s in data], seconds)
+        assert {r.id: r.anchor - base for r in relate.gap_anchors(df, seconds).collect()} == {i: every[s] for i, _, s in data}
+    numbers = [(r.group_no, len(r.members)) for r in relate.anchored_groups(df.filter("user_id = 'long'"), 60, "user_id").collect()]
+    assert numbers == []
+    pairs = relate.anchored_groups(df.filter("user_id = 'long'"), 61, "user_id").collect()
+    assert sorted(r.group_no for r in pairs) == list(range(150)) and all(len(r.members) == 2 for r in pairs)
+    assert relate.anchored_groups(df.filter("false"), 60).collect() == []
+
+
 def test_transitions(spark):
     states = list(claims.TRANSITIONS)
     df = spark.createDataFrame([(a, b) for a in states for b in states], "state string, next_state string")
