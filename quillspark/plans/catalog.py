@@ -879,3 +879,13 @@ def gap_groups(t):
     """A user's events in groups of six hours from the first of each."""
     rows = t.read("events").select("user_id", "event_id", "ts")
     return relate.gap_anchors(rows, 6 * 3600, "user_id", "ts").groupBy("user_id", "anchor").agg(F.count("*").alias("events"), F.max("event_id").alias("last_event"))
+
+
+@query
+def scan_outcomes(t):
+    """Half of the documents are what sources answered, the other half the evidence they have; some answers are 304 or fail."""
+    rows = t.read("documents").selectExpr("doc_id", "concat(source, ':', doc_id % 50) AS source_id", "substr(sha2(text, 256), 1, 1) AS content_hash", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(doc_id AS INT)) AS fetched_at")
+    code = "CASE WHEN doc_id % 10 = 1 THEN 304 WHEN doc_id % 14 = 3 THEN 503 ELSE 200 END"
+    fetched = rows.filter("doc_id % 2 = 1").selectExpr("doc_id", "source_id", f"{code} AS http_status", f"CASE WHEN {code} = 200 THEN content_hash END AS content_hash", "CASE WHEN doc_id % 22 = 5 THEN 'content type image/png' END AS error")
+    found = web.outcomes(fetched, rows.filter("doc_id % 2 = 0 AND doc_id % 50 < 40"))
+    return found.select("doc_id", "source_id", "status", "last_good")

@@ -386,3 +386,11 @@ SQL |= {
         UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN e.t - w.anchor <= 21600 THEN w.anchor ELSE e.t END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
       SELECT user_id, anchor, count(*) AS events, max(event_id) AS last_event FROM w GROUP BY ALL""",
 }
+SQL |= {
+    "scan_outcomes": """WITH r AS (SELECT doc_id, source || ':' || doc_id % 50 AS source_id, substr(sha256(text), 1, 1) AS h FROM documents),
+      e AS (SELECT * FROM r WHERE doc_id % 2 = 0 AND doc_id % 50 < 40), l AS (SELECT source_id, arg_max(h, doc_id) AS last FROM e GROUP BY source_id),
+      f AS (SELECT *, CASE WHEN doc_id % 10 = 1 THEN 304 WHEN doc_id % 14 = 3 THEN 503 ELSE 200 END AS code, doc_id % 22 = 5 AS wrong FROM r WHERE doc_id % 2 = 1),
+      o AS (SELECT f.*, last, wrong OR code = 503 OR (code = 304 AND last IS NULL) OR (code = 200 AND h IS NULL) AS failed, EXISTS (SELECT 1 FROM e WHERE e.source_id = f.source_id AND e.h = f.h) AS had FROM f LEFT JOIN l USING (source_id))
+      SELECT doc_id, source_id, CASE WHEN failed THEN 'FAILED' WHEN code = 304 THEN 'UNCHANGED' WHEN last IS NULL THEN 'FETCHED' WHEN had THEN 'UNCHANGED' ELSE 'CHANGED' END AS status,
+        CASE WHEN failed OR code = 304 THEN last ELSE h END AS last_good FROM o""",
+}

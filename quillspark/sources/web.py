@@ -1,17 +1,22 @@
-"""Web policy and fetching: robots rules, sitemaps, conditional requests. Fetching runs outside Spark jobs."""
+"""Web policy and fetching: robots rules, sitemaps, conditional requests, scans of a table of sources."""
 
 from __future__ import annotations
 
+import hashlib
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
+from http.client import HTTPException
 from urllib.robotparser import RobotFileParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 RETRIED = (408, 425, 429, 500, 502, 503, 504)
 
@@ -98,3 +103,72 @@ class Fetcher:
                 raise ValueError(f"{url}: body of {len(got.body)} bytes")
             return got
         raise AssertionError("unreachable")
+
+
+def http_get(url: str, headers: dict[str, str], timeout: float = 20.0) -> Response:
+    """A transport over the standard library; any status is an answer, a body is read up to the default limit and one byte."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as got:
+            return Response(got.status, dict(got.headers.items()), got.read((10 << 20) + 1))
+    except urllib.error.HTTPError as answer:
+        return Response(answer.code, dict(answer.headers.items()), b"")
+
+
+SCANNED = "source_id string, url string, fetched_at timestamp, http_status int, content_type string, etag string, last_modified string, content_hash string, body binary, error string"
+
+
+def scan(
+    sources: DataFrame, evidence: DataFrame, content_types: tuple[str, ...] = ("text/html", "text/plain", "application/pdf", "application/json"),
+    transport: Callable[[str, dict[str, str]], Response] = http_get, spacing: float = 1.0, retries: int = 2, backoff: float = 1.0,
+) -> DataFrame:
+    """What each source (source_id, url) answers now, asked only for what changed since its last evidence (source_id,
+    fetched_at, etag, last_modified): SCANNED, with http_status 304 and no body if nothing did, and an error if it failed -
+    no answer, a status of 400 or more, a content type that isn't allowed, too large a body.
+
+    A host's sources are one task's, in order of source_id and ``spacing`` seconds apart, retries included; hosts go in
+    parallel. Asking twice may give two answers: write the result once, then take outcomes() of what is written.
+    """
+    last = evidence.groupBy(F.col("source_id").alias("__s")).agg(F.max_by(F.struct("etag", "last_modified"), F.struct("fetched_at", "etag", "last_modified")).alias("last"))
+    asked = sources.join(last, F.col("source_id") == F.col("__s"), "left").select(
+        F.col("source_id").cast("string").alias("source_id"), "url", "last.etag", "last.last_modified", F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")).alias("host")
+    )
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [c.split(" ")[0] for c in SCANNED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, fetcher = None, None
+        for r in (r for b in batches for r in b.to_pylist()):
+            if fetcher is None or r["host"] != host:
+                host, fetcher = r["host"], Fetcher(transport, retries=retries, backoff=backoff, spacing=spacing)
+            row = dict.fromkeys(names) | {"source_id": r["source_id"], "url": r["url"], "fetched_at": datetime.now(timezone.utc)}
+            try:
+                got = fetcher.fetch(r["url"] or "", r["etag"], r["last_modified"])
+                headers = {k.lower(): v for k, v in got.headers.items()}
+                kind = (headers.get("content-type") or "").split(";")[0].strip().lower()
+                row |= {"http_status": got.status, "etag": headers.get("etag"), "last_modified": headers.get("last-modified"), "content_type": kind or None}
+                if got.status >= 400:
+                    row["error"] = f"status {got.status}"
+                elif got.status != 304 and kind not in content_types:
+                    row["error"] = f"content type {kind or 'missing'}"
+                elif got.status != 304:
+                    row |= {"body": got.body, "content_hash": hashlib.sha256(got.body).hexdigest()}
+            except (OSError, ValueError, HTTPException) as failed:
+                row["error"] = str(failed) or type(failed).__name__
+            yield pa.RecordBatch.from_pylist([row], schema=kinds)  # one answer at a time: bodies may be large
+
+    kinds = to_arrow_schema(sources.sparkSession.createDataFrame([], SCANNED).schema)
+    return asked.repartition(parts, "host").sortWithinPartitions("host", "source_id", "url").mapInArrow(run, SCANNED)
+
+
+def outcomes(fetched: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``fetched`` (source_id, http_status, content_hash, error, ...) with ``status`` and ``last_good``, the hash of the content
+    that holds after it, by the source's ``evidence`` (source_id, content_hash, fetched_at): FAILED and UNCHANGED keep the
+    last one; a source's first content is FETCHED, other new content CHANGED, content that it had before UNCHANGED. A 304
+    without evidence fails."""
+    last = evidence.groupBy(F.col("source_id").alias("__s")).agg(F.max_by("content_hash", F.struct("fetched_at", "content_hash")).alias("__last"))
+    had = evidence.select(F.col("source_id").alias("__t"), F.col("content_hash").alias("__h")).distinct().withColumn("__had", F.lit(True))
+    rows = fetched.join(last, F.col("source_id") == F.col("__s"), "left").join(had, (F.col("source_id") == F.col("__t")) & (F.col("content_hash") == F.col("__h")), "left")
+    same = F.coalesce(F.col("http_status") == 304, F.lit(False))
+    failed = F.col("error").isNotNull() | F.coalesce(F.col("http_status") >= 400, F.lit(True)) | (same & F.col("__last").isNull()) | (~same & F.col("content_hash").isNull())
+    status = F.when(failed, "FAILED").when(same, "UNCHANGED").when(F.col("__last").isNull(), "FETCHED").when(F.col("__had"), "UNCHANGED").otherwise("CHANGED")
+    return rows.select(*[F.col(c) for c in fetched.columns], status.alias("status"), F.when(failed | same, F.col("__last")).otherwise(F.col("content_hash")).alias("last_good"))
