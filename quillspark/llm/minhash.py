@@ -173,7 +173,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = _sets(texts, "id", "text", full=True).join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
     full = materialize(full, "sets", held)
 
+    tested: list[DataFrame] = []
+
     def verify(pairs: DataFrame) -> DataFrame:
+        if tested:  # no pair is looked at twice
+            pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
+        pairs = materialize(pairs.select("a", "b"), "tested", held)
+        tested.append(pairs)
         side = lambda s: reps.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "bits0", "bits1")])
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         apart = F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))) + F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b")))
