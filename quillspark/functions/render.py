@@ -9,8 +9,9 @@ MESSAGE_CHARS = 4096
 STATE_LABELS = {"VERIFIED": "Verified", "UNVERIFIED": "Unverified", "CONFLICTING": "Conflicting", "SUPERSEDED": "Superseded", "EXPIRED": "Expired", "REMOVED": "Removed"}
 
 
-def html_escape(text: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+def html_escape(text: Column, quotes: bool = False) -> Column:
+    """``text`` with the marks of HTML escaped, with ``quotes`` the double quote too."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;")] if quotes else [])):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 

@@ -110,7 +110,9 @@ def test_answers(spark):
     assert one(spark, render.cites_only(F.lit("yes"), F.array(F.lit("a")), e)) and not one(spark, render.cites_only(F.lit("yes"), F.array(F.lit("z")), e))
     assert not one(spark, render.cites_only(F.lit(" "), F.array(F.lit("a")), e)) and not one(spark, render.cites_only(F.lit("x"), F.array().cast("array<string>"), e))
     assert one(spark, render.json_object(F.lit('```json\n{"a": {"b": 1}}\n```'))) == '{"a": {"b": 1}}' and one(spark, render.json_object(F.lit("{nope"))) is None
-    assert one(spark, render.ics_escape(F.lit("a;b,c\\d\ne"))) == "a\;b\\,c\\\\d\\ne"
+    assert one(spark, render.ics_escape(F.lit("a;b,c\\d\ne"))) == "a\\;b\\,c\\\\d\\ne"
+    assert one(spark, render.html_escape(F.lit('<a href="x">&'))) == '&lt;a href="x"&gt;&amp;'
+    assert one(spark, render.html_escape(F.lit('<a href="x">&'), quotes=True)) == "&lt;a href=&quot;x&quot;&gt;&amp;"
     assert one(spark, render.html_escape(F.lit("<a&b>"))) == "&lt;a&amp;b&gt;"
     assert one(spark, render.file_name(F.lit("a b/ü.pdf"))) == "a_b__.pdf"
 
