@@ -11,6 +11,7 @@ from ..functions.temporal import at, in_effect
 
 SCOPE = ("program", "branch", "year", "semester")
 IMPORTANCE = ("LOW", "NORMAL", "HIGH", "CRITICAL")
+FIELDS = ("title", "summary", "statement")
 
 
 def with_state(items: DataFrame, claims: DataFrame) -> DataFrame:
@@ -52,24 +53,25 @@ def category_filter(categories: list[str] | tuple[str, ...]) -> Column:
     return F.col("category").isin(*categories) if categories else F.lit(True)
 
 
-def any_field_contains(token: str, fields: tuple[str, ...] = ("title", "summary", "statement")) -> Column:
+def any_field_contains(token: str, fields: tuple[str, ...] = FIELDS) -> Column:
     test = F.lit(False)
     for f in fields:
         test = test | F.coalesce(F.lower(F.col(f)).contains(token), F.lit(False))
     return test
 
 
-def all_tokens(tokens: list[str] | tuple[str, ...]) -> Column:
+def all_tokens(tokens: list[str] | tuple[str, ...], fields: tuple[str, ...] = FIELDS) -> Column:
     test = F.lit(True)
     for t in tokens:
-        test = test & any_field_contains(t.lower())
+        test = test & any_field_contains(t.lower(), fields)
     return test
 
 
-def any_token(tokens: list[str] | tuple[str, ...], most: int = 12) -> Column:
+def any_token(tokens: list[str] | tuple[str, ...], most: int = 12, fields: tuple[str, ...] = FIELDS) -> Column:
+    """One of the first ``most`` words; words after them are not searched."""
     test = F.lit(False)
     for t in tokens[:most]:
-        test = test | any_field_contains(t.lower())
+        test = test | any_field_contains(t.lower(), fields)
     return test
 
 

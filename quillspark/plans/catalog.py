@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import html, ids, render, temporal, text
 from ..functions.temporal import at
-from ..operators import acquisition, claims, items, notices, relate, submissions, tables, trust
+from ..operators import acquisition, claims, items, nearest, notices, relate, submissions, tables, trust
+from ..operators.trigrams import TrigramIndex
 from ..sources import files, registry, web
 from ..sources.snapshots import Snapshots
 from ..streaming import keyed, reminders, state
@@ -889,3 +890,30 @@ def scan_outcomes(t):
     fetched = rows.filter("doc_id % 2 = 1").selectExpr("doc_id", "source_id", f"{code} AS http_status", f"CASE WHEN {code} = 200 THEN content_hash END AS content_hash", "CASE WHEN doc_id % 22 = 5 THEN 'content type image/png' END AS error")
     found = web.outcomes(fetched, rows.filter("doc_id % 2 = 0 AND doc_id % 50 < 40"))
     return found.select("doc_id", "source_id", "status", "last_good")
+
+
+def _indexed(t):
+    """An index of all items and their statements, and the current ones."""
+    index = TrigramIndex(t.spark, f"{_scratch(t)}/trigrams", buckets=32)
+    index.append(trust.with_state(t.items(), t.claims()))
+    return index, views(t).current(ITEM_NOW, scoped=False)
+
+
+@query
+def indexed_all_tokens(t):
+    """Every current item whose texts hold all three words, the last one too short for the index."""
+    index, rows = _indexed(t)
+    return _ids(index.all_tokens(rows, ["GERMANY", "clerk 1", "u"]))
+
+
+@query
+def indexed_any_token(t):
+    index, rows = _indexed(t)
+    return _ids(index.any_token(rows, ["customer#00000001", "calendar notice", "no such word"]))
+
+
+@query
+def nearest_vectors(t):
+    """The six nearest of all vectors for each whose id is divisible by 50."""
+    v = t.vectors().select("id", "embedding")
+    return nearest.nearest(v, v.filter("id % 50 = 0"), 6)
