@@ -5,6 +5,8 @@ All are Column expressions; generators give arrays of structs, which callers exp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,6 +114,18 @@ def extract_dates(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda d: d["value"].isNotNull())))
 
 
+def first_by(rows: Column, key: Callable[[Column], Column]) -> Column:
+    """An array's elements, in their order, without those whose key an earlier one has.
+
+    Equal keys come together by a sort, so the work is that of a sort, not of a comparison of each with each.
+    """
+    keyed = F.array_sort(F.transform(rows, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x.alias("x"))))
+    opens = lambda s: F.filter(s, lambda y, j: (j == 0) | ~F.get(s, j - 1)["key"].eqNullSafe(y["key"]))
+    # A list of one array gives that array a name, so that it is made once.
+    firsts = F.get(F.transform(F.array(keyed), opens), F.lit(0))
+    return F.transform(F.array_sort(F.transform(firsts, lambda y: F.struct(y["i"], y["x"]))), lambda y: y["x"])
+
+
 def has_term(text: Column, terms: tuple[str, ...]) -> Column:
     low, test = F.lower(text), F.lit(False)
     for t in terms:
@@ -138,8 +152,7 @@ def _statements(text: Column, terms: tuple[str, ...], confidence: float, first_o
         return F.transform(dates, lambda d: F.struct(title_of(s, default).alias("title"), d["value"].alias("at"), F.trim(s).alias("source_text"), F.lit(confidence).alias("confidence")))
 
     found = F.flatten(F.transform(F.filter(sentences(text), lambda s: has_term(s, terms)), of))
-    # The first of rows with the same time and title stays.
-    return F.filter(found, lambda x, i: F.size(F.filter(F.slice(found, 1, i), lambda y: (y["at"] == x["at"]) & (y["title"] == x["title"]))) == 0)
+    return first_by(found, lambda x: F.struct(x["at"], x["title"]))
 
 
 def extract_deadlines(text: Column, default_title: str = "Deadline") -> Column:

@@ -917,3 +917,19 @@ def nearest_vectors(t):
     """The six nearest of all vectors for each whose id is divisible by 50."""
     v = t.vectors().select("id", "embedding")
     return nearest.nearest(v, v.filter("id % 50 = 0"), 6)
+
+
+@query
+def similarity_classes(t):
+    """Every document's class of equal sets and its number of similar documents in other sources."""
+    return relate.similar_classes(_sets(t), 0.80)[0]
+
+
+@query
+def similarity_class_links(t):
+    return relate.similar_classes(_sets(t), 0.80)[1]
+
+
+@query
+def conflict_classes(t):
+    return relate.similar_classes(_sets(t), 0.65, same_source=True)[0]

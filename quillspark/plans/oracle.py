@@ -402,3 +402,18 @@ SQL |= {
     "nearest_vectors": """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[64] AS e FROM embeddings), s AS (SELECT q.id AS query_id, v.id, array_cosine_similarity(v.e, q.e) AS s FROM v JOIN v q ON q.id % 50 = 0)
       SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank, id, round(s, 6) AS score FROM s QUALIFY rank <= 6""",
 }
+
+
+def class_members(threshold: float, same: bool) -> str:
+    """A document's class of equal token sets, and the pairs of the similarity join that it is in."""
+    by = "list_sort(toks), source" if same else "list_sort(toks)"
+    return f"""WITH pairs AS ({jaccard_pairs(threshold, same)}), {TEXT_CLAIMS}, ends AS (SELECT "left" AS id FROM pairs UNION ALL SELECT "right" FROM pairs), n AS (SELECT id, count(*) AS links FROM ends GROUP BY id)
+      SELECT id, first_value(id) OVER (PARTITION BY {by} ORDER BY pos) AS class_id, count(*) OVER (PARTITION BY {by}) AS members, coalesce(links, 0) AS links FROM c LEFT JOIN n USING (id)"""
+
+
+SQL |= {
+    "similarity_classes": class_members(0.80, False),
+    "conflict_classes": class_members(0.65, True),
+    "similarity_class_links": f"""WITH {TEXT_CLAIMS.replace("c AS", "docs AS", 1)}, c AS (SELECT min(pos) AS pos, arg_min(id, pos) AS id, min(pos)::VARCHAR AS source, min(pos)::VARCHAR AS fp, any_value(toks) AS toks FROM docs GROUP BY list_sort(toks)),
+      {jaccard_pairs(0.80, False).split(TEXT_CLAIMS + ", ")[1].replace(", identical FROM s", " FROM s")}""",
+}
