@@ -36,6 +36,13 @@ def is_clock_time(text: Column) -> Column:
     return F.coalesce(text.rlike("^([01][0-9]|2[0-3]):[0-5][0-9]$"), F.lit(False))
 
 
+def whole_number(text: Column, low: int, high: int) -> Column:
+    """The whole number that a text spells, blanks around it and zeros after a point allowed; null outside ``low`` to ``high``."""
+    number = F.expr("CAST(NULL AS DECIMAL(38, 0))")
+    number = F.when(F.trim(text).rlike(r"^[+-]?[0-9]+(\.0*)?$"), F.regexp_replace(F.trim(text), r"\..*$", "").try_cast("decimal(38,0)")).otherwise(number)
+    return F.when(number.between(low, high), number.cast("int"))
+
+
 def is_quiet(start: Column, end: Column, clock: Column) -> Column:
     """Whether ``HH:MM`` lies in quiet hours; equal ends are always quiet, and hours may pass midnight."""
     inside = F.when(start < end, (clock >= start) & (clock < end)).otherwise((clock >= start) | (clock < end))

@@ -58,6 +58,14 @@ def publishable(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return claims.filter("state = 'VERIFIED'").join(evidence.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi")
 
 
+def all_publishable(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``claims`` as they are, if each is publishable; else whoever reads the rows gets an error that names one."""
+    known = evidence.select(F.col("id").alias("evidence_id"), F.lit(True).alias("__known")).distinct()
+    fit = F.coalesce((F.col("state") == "VERIFIED") & F.col("__known"), F.lit(False))
+    held = F.when(fit, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("claim is not publishable: "), F.coalesce("id", F.lit("null")))))
+    return claims.join(known, "evidence_id", "left").select(*[held.alias("id") if c == "id" else F.col(c) for c in claims.columns])
+
+
 def legal(old: Column, new: Column) -> Column:
     test = old == new
     for state, moves in TRANSITIONS.items():
@@ -89,9 +97,20 @@ def history_edges(items: DataFrame) -> DataFrame:
     return rows.select("e.id", F.col("e.old").alias("old_item_id"), "new_item_id", "e.kind")
 
 
+#: Why an edge that someone states holds.
+STATED = {
+    "CORRECTS": "new claim explicitly corrects an earlier claim",
+    "SUPERSEDES": "new claim supersedes the earlier claim",
+    "CONFLICTS": "claims describe the same logical subject with incompatible statements",
+}
+
+
 def explicit_edges(pairs: DataFrame, kind: str, now: datetime) -> DataFrame:
-    """Edges (left, right) that someone states: CORRECTION, SUPERSEDES or CONFLICTS."""
-    return pairs.select(ids.relationship_id(F.lit(kind), F.col("left"), F.col("right")).alias("id"), F.col("left").alias("left_claim_id"), F.col("right").alias("right_claim_id"), F.lit(kind).alias("kind"), at(now).alias("created_at"))
+    """Edges (left, right) of a kind that someone states, with their reason; other kinds follow from content and are refused."""
+    if kind not in STATED:
+        raise ValueError(f"kind must be one of {', '.join(STATED)}")
+    ends = [F.col("left").alias("left_claim_id"), F.col("right").alias("right_claim_id")]
+    return pairs.select(ids.relationship_id(F.lit(kind), F.col("left"), F.col("right")).alias("id"), *ends, F.lit(kind).alias("kind"), at(now).alias("created_at"), F.lit(STATED[kind]).alias("reason"))
 
 
 def provenance(claims: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:

@@ -141,6 +141,14 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
+def assert_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows``, if no two share their keys; else an error that names one. Runs a job."""
+    if again := duplicate_keys(rows, keys).limit(1).collect():
+        raise ValueError(f"duplicate key: {again[0].asDict()}")
+    return rows
+
+
+
 def one_row(df: DataFrame, what: str) -> dict:
     """The single row of a lookup; anything else is an error."""
     got = df.limit(2).collect()

@@ -393,8 +393,11 @@ def evidence_links(t):
 
 @query
 def explicit_edges(t):
-    pairs = t.claims().filter("k % 9 = 0").selectExpr("id AS left", "concat('claim:', k + 1) AS right")
-    return claims.explicit_edges(pairs, "CORRECTION", ITEM_NOW)
+    """Stated edges of each kind."""
+    kinds = enumerate(claims.STATED)
+    pairs = t.claims().filter("k % 9 = 0")
+    parts = [claims.explicit_edges(pairs.filter(f"k % 27 = {9 * n}").selectExpr("id AS left", "concat('claim:', k + 1) AS right"), kind, ITEM_NOW) for n, kind in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # Items.
@@ -933,3 +936,58 @@ def similarity_class_links(t):
 @query
 def conflict_classes(t):
     return relate.similar_classes(_sets(t), 0.65, same_source=True)[0]
+
+
+# Messages.
+@query
+def message_part_texts(t):
+    """Whole texts with a blank line after each sentence, in parts of 300 characters at most."""
+    whole = F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n"))
+    return t.read("documents").select("doc_id", F.posexplode(render.message_parts(whole, 300)).alias("n", "part")).select("doc_id", "n", F.sha2("part", 256).alias("sha256"))
+
+
+@query
+def list_messages(t):
+    """The first five orders of each customer as a list; some have none."""
+    rows = t.read("orders").selectExpr(
+        "o_custkey AS user_id", "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank", "concat('kind <', o_orderkey % 2, '>') AS title", "concat('https://x.example.org/?a=1&b=', o_orderkey % 3 % 2) AS primary_source_url",
+        "concat(o_orderstatus, '\n by  ', o_orderpriority, '\r\n\n', o_orderstatus) AS summary", "CASE WHEN o_orderkey % 3 = 0 THEN 'A&B' END AS program", "CAST(NULL AS STRING) AS branch", "o_orderkey % 5 AS year",
+        "CAST(NULL AS INT) AS semester", "CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate END AS due_at", "CAST(NULL AS TIMESTAMP_NTZ) AS starts_at", "CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate END AS ends_at",
+    )
+    return render.list_messages(t.read("customer").select(F.col("c_custkey").alias("user_id")), rows, "user_id", "Verified ORDER results", 5)
+
+
+@query
+def item_texts(t):
+    refs = "CASE WHEN k % {0} = 0 THEN concat('info:', k - 1) END AS {1}"
+    rows = t.items().select("*", *[F.expr(refs.format(n, c)) for n, c in ((3, "supersedes_item_id"), (2, "changed_from_item_id"), (5, "corrected_item_id"))])
+    return rows.select("id", render.item_text().alias("message"))
+
+
+@query
+def preference_texts(t):
+    rows = t.users().withColumn("categories", notices.categories())
+    return rows.select("user_id", render.preferences_text().alias("message"))
+
+
+@query
+def answer_texts(t):
+    """Each order's status as an answer; one of its two citations may be no evidence."""
+    one = lambda n: F.struct(F.lit(f"e{n}").alias("id"), F.concat(F.lit(f"Note {n} <of> "), F.col("o_orderkey")).alias("title"), F.lit(f"https://x.example.org/?n={n}&m").alias("url"))
+    cites = F.array(*[F.concat(F.lit("e"), F.col("o_orderkey") % n) for n in (4, 3)])
+    said = F.concat(F.lit(" Status is <"), F.col("o_orderstatus"), F.lit("> "))
+    return t.read("orders").select("o_orderkey", render.answer_text(said, cites, F.array(one(0), one(1), one(2))).alias("message"))
+
+
+@query
+def whole_numbers(t):
+    """What users may set as a year, as they spell it."""
+    spelt = F.element_at(F.array(*[F.concat(F.lit(a), F.col("event_id") % 13, F.lit(b)) for a, b in (("", ""), (" ", ".0 "), ("-", ""), ("+", ""), ("", "th"), ("", ".5"))]), (F.col("event_id") % 6 + 1).cast("int"))
+    return t.read("events").select("event_id", temporal.whole_number(spelt, 1, 10).alias("year"))
+
+
+@query
+def claims_all_publishable(t):
+    """Publishable claims pass the guard that raises for any other."""
+    hand = _evidence_at_hand(t)
+    return claims.all_publishable(claims.publishable(t.claims(), hand), hand).select("id", "evidence_id")

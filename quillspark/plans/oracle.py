@@ -196,7 +196,6 @@ SQL = {
     "provenance": """WITH c AS (SELECT o_orderkey AS k, o_orderkey % 1000 AS e, o_orderkey % 6 AS s, CASE WHEN o_orderstatus IN ('F','O') THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS state FROM orders)
       SELECT 'claim:' || k AS claim_id, state, 'ev:' || e AS evidence_id, sha256(e::VARCHAR) AS content_hash, 'Source ' || s AS source_name, 'Source ' || s || ': https://source' || s || '.example.org/, fetched ' || strftime(TIMESTAMP '2024-01-01' + e::INT * INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M') || ', sha256 ' || substr(sha256(e::VARCHAR), 1, 12) AS summary FROM c""",
     "evidence_links": "SELECT 'claim:' || o_orderkey AS claim_id, 'ev:' || o_orderkey % 1000 AS evidence_id, 'primary evidence' AS role FROM orders",
-    "explicit_edges": f"WITH p AS (SELECT 'claim:' || o_orderkey AS a, 'claim:' || (o_orderkey + 1) AS b FROM orders WHERE o_orderkey % 9 = 0) SELECT 'rel:' || {SHORT.format("'CORRECTION' || chr(0) || least(a, b) || chr(0) || greatest(a, b)", 32)} AS id, a AS left_claim_id, b AS right_claim_id, 'CORRECTION' AS kind, {ts(NOW, 'created_at')} FROM p",
     "derive_priority": f"""WITH {ITEMS}, t AS (SELECT *, coalesce(due_at, starts_at) AS t FROM items), u AS (SELECT *, CASE WHEN t IS NULL THEN 'NONE' WHEN t < {NOW} THEN 'OVERDUE' WHEN t <= {NOW} + INTERVAL 2 DAY THEN 'IMMEDIATE' WHEN t <= {NOW} + INTERVAL 7 DAY THEN 'SOON' ELSE 'UPCOMING' END AS urgency, category IN ('EXAM','FEES','REGISTRATION','DEADLINE') AS heavy FROM t)
       SELECT id, CASE WHEN urgency = 'OVERDUE' OR urgency = 'IMMEDIATE' AND heavy THEN 'CRITICAL' WHEN k % 9 = 0 OR heavy THEN 'HIGH' WHEN (program IS NOT NULL)::INT + (branch IS NOT NULL)::INT + (yr IS NOT NULL)::INT + (semester IS NOT NULL)::INT >= 3 THEN 'HIGH' WHEN category IN ('NOTICE','CALENDAR') THEN 'NORMAL' ELSE 'LOW' END AS importance, urgency FROM u""",
     "build_items": f"""WITH c AS (SELECT o_orderkey AS k, 'claim:' || o_orderkey AS cid, (['FEES','EVENT','NOTICE'])[1 + (o_orderkey % 3)::INT] AS category, o_orderdate AS d, contains(o_orderpriority, 'URGENT') AS said FROM orders WHERE o_orderstatus IN ('F','O')),
@@ -417,3 +416,41 @@ SQL |= {
     "similarity_class_links": f"""WITH {TEXT_CLAIMS.replace("c AS", "docs AS", 1)}, c AS (SELECT min(pos) AS pos, arg_min(id, pos) AS id, min(pos)::VARCHAR AS source, min(pos)::VARCHAR AS fp, any_value(toks) AS toks FROM docs GROUP BY list_sort(toks)),
       {jaccard_pairs(0.80, False).split(TEXT_CLAIMS + ", ")[1].replace(", identical FROM s", " FROM s")}""",
 }
+
+STATED = """['CORRECTS','SUPERSEDES','CONFLICTS'][1 + ((o_orderkey // 9) % 3)::INT]"""
+REASON = "['new claim explicitly corrects an earlier claim','new claim supersedes the earlier claim','claims describe the same logical subject with incompatible statements'][1 + ((o_orderkey // 9) % 3)::INT]"
+HTML = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+LF = "chr(10)"
+WHEN = "strftime({0}, '%Y-%m-%d %H:%M')"
+FIRST_FIVE = """o AS (SELECT o_custkey AS user_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, o_orderkey AS k, 'kind &lt;' || o_orderkey % 2 || '&gt;' AS title, 'https://x.example.org/?a=1&amp;b=' || o_orderkey % 3 % 2 AS url,
+  [o_orderstatus, 'by ' || o_orderpriority, o_orderstatus] AS facts, o_orderdate AS d FROM orders QUALIFY rank <= 5)"""
+SQL |= {
+    "explicit_edges": f"""WITH p AS (SELECT 'claim:' || o_orderkey AS a, 'claim:' || (o_orderkey + 1) AS b, {STATED} AS kind, {REASON} AS reason FROM orders WHERE o_orderkey % 9 = 0)
+      SELECT 'rel:' || {SHORT.format("kind || chr(0) || least(a, b) || chr(0) || greatest(a, b)", 32)} AS id, a AS left_claim_id, b AS right_claim_id, kind, {ts(NOW, 'created_at')}, reason FROM p""",
+    "message_part_texts": f"""WITH RECURSIVE d AS (SELECT doc_id, replace(text, '. ', '.' || {LF} || {LF}) AS w FROM documents), s AS (SELECT doc_id, w, string_split(w, {LF} || {LF}) AS bs FROM d WHERE length(w) > 300),
+      r AS (SELECT doc_id, 0 AS i, '' AS held, []::VARCHAR[] AS parts FROM s UNION ALL
+        SELECT doc_id, i + 1, CASE WHEN length(j) <= 300 THEN j WHEN length(b) > 300 THEN '' ELSE b END,
+          CASE WHEN length(j) <= 300 THEN parts ELSE list_concat(parts, CASE WHEN held = '' THEN [] ELSE [held] END, CASE WHEN length(b) > 300 THEN list_transform(range(0, length(b), 300), lambda o: substr(b, o + 1, 300)) ELSE [] END) END
+        FROM (SELECT r.*, bs[i + 1] AS b, CASE WHEN held = '' THEN bs[i + 1] ELSE held || {LF} || {LF} || bs[i + 1] END AS j FROM r JOIN s USING (doc_id) WHERE i < len(bs)) x),
+      p AS (SELECT doc_id, list_concat(parts, CASE WHEN held = '' THEN [] ELSE [held] END) AS parts FROM r JOIN s USING (doc_id) WHERE i = len(bs) UNION ALL SELECT doc_id, [w] FROM d WHERE length(w) <= 300)
+      SELECT doc_id, unnest(range(0, len(parts))) AS n, sha256(unnest(parts)) AS sha256 FROM p""",
+    "list_messages": f"""WITH {FIRST_FIVE}, f AS (SELECT user_id, rank, title, url, unnest(facts) AS fact, unnest([0, 1, 2]) AS n FROM o),
+      g AS (SELECT *, min(rank) OVER (PARTITION BY user_id, title, url) AS first, row_number() OVER (PARTITION BY user_id, title, url, fact ORDER BY rank, n) AS seen FROM f),
+      b AS (SELECT user_id, title, url, first, string_agg('• ' || fact, {LF} ORDER BY rank, n) AS facts FROM g WHERE rank = first OR seen = 1 GROUP BY ALL),
+      s AS (SELECT b.*, row_number() OVER (PARTITION BY b.user_id ORDER BY first) AS no, array_to_string(list_filter([CASE WHEN k % 3 = 0 THEN 'A&amp;B' END, CASE WHEN k % 5 <> 0 THEN 'Year ' || k % 5 END], lambda x: x IS NOT NULL), ' · ') AS scope,
+        array_to_string(list_filter([CASE WHEN k % 7 > 0 THEN 'Due: ' || {WHEN.format('d')} END, CASE WHEN k % 4 = 0 THEN 'Ends: ' || {WHEN.format('d')} END], lambda x: x IS NOT NULL), ' · ') AS dates FROM b JOIN o ON o.user_id = b.user_id AND o.rank = b.first),
+      m AS (SELECT user_id, string_agg('<b>' || no || '. ' || title || '</b>' || {LF} || facts || CASE WHEN scope <> '' THEN {LF} || 'Applies to: ' || scope ELSE '' END || CASE WHEN dates <> '' THEN {LF} || dates ELSE '' END || {LF} || '✓ Officially verified' || {LF} || '🔗 <a href="' || url || '">Official source</a>', {LF} || {LF} ORDER BY no) AS listed FROM s GROUP BY user_id)
+      SELECT c_custkey AS user_id, CASE WHEN listed IS NULL THEN '<b>Verified ORDER results</b>' || {LF} || 'No matching verified information found.' ELSE '<b>Verified order information</b>' || {LF} || {LF} || listed END AS message FROM customer LEFT JOIN m ON c_custkey = user_id""",
+    "item_texts": f"""WITH {ITEMS}, x AS (SELECT *, concat_ws(' · ', program, branch, 'Year ' || yr, 'Semester ' || semester) AS scope, concat_ws(' · ', 'Due: ' || {WHEN.format('due_at')}, 'Starts: ' || {WHEN.format('starts_at')}) AS dates FROM items)
+      SELECT id, concat_ws({LF}, '<b>' || title || '</b>', summary, CASE WHEN scope <> '' THEN '<b>Applies to:</b> ' || scope END, CASE WHEN dates <> '' THEN dates END,
+        'State: ' || CASE WHEN k % 3 = 0 THEN 'Supersedes an earlier item' WHEN k % 2 = 0 THEN 'Changed from an earlier item' WHEN k % 5 = 0 THEN 'Corrects an earlier item' ELSE 'Current' END,
+        'Source: <a href="https://source' || k % 6 || '.example.org/items/' || k || '">official source</a>') AS message FROM x""",
+    "preference_texts": f"""WITH {USERS} SELECT user_id, concat_ws({LF}, '<b>Your settings</b>', 'Program: ' || coalesce(program, 'not set'), 'Branch: ' || coalesce(branch, 'not set'), 'Year: ' || coalesce(yr::VARCHAR, 'not set'), 'Semester: not set',
+      'Categories: ' || CASE WHEN len(cats) = 0 THEN 'none' ELSE array_to_string(cats, ', ') END, 'Reminders: ' || CASE WHEN reminders THEN 'on' ELSE 'off' END, 'Weekly digest: ' || CASE WHEN digest THEN 'on' ELSE 'off' END,
+      'Muted: ' || CASE WHEN muted THEN 'yes' ELSE 'no' END, 'Quiet hours: ' || CASE WHEN quiet THEN '22:00–07:00 (UTC)' ELSE 'off' END) AS message FROM users""",
+    "answer_texts": f"""WITH c AS (SELECT o_orderkey, o_orderstatus, [o_orderkey % 4, o_orderkey % 3] AS cs FROM orders)
+      SELECT o_orderkey, '<b>Answer</b>' || {LF} || {LF} || 'Status is &lt;' || o_orderstatus || '&gt;' || {LF} || {LF} || '<b>Verified evidence</b>' || {LF} ||
+        array_to_string(list_transform(list_filter(cs, lambda n: n < 3), lambda n: '• <a href="https://x.example.org/?n=' || n || '&amp;m">Note ' || n || ' &lt;of&gt; ' || o_orderkey || '</a>'), {LF}) AS message FROM c""",
+    "whole_numbers": "SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 3) AND event_id % 13 BETWEEN 1 AND 10 THEN event_id % 13 END AS year FROM events",
+    "claims_all_publishable": SQL["publishable"],
+}

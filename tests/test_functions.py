@@ -118,11 +118,28 @@ def test_answers(spark):
 
 
 @pytest.mark.parametrize("most", [5, 9])
-@pytest.mark.parametrize("s", ["a", "aaaa\n\nbbbb", "a" * 23, "aa\n\n" * 6, "aaaaaa\n\nb\n\ncccccccccccc", ""])
+@pytest.mark.parametrize("s", ["a", "aaaa\n\nbbbb", "a" * 23, "aa\n\n" * 6, "aaaaaa\n\nb\n\ncccccccccccc", "", "\n\na", "aaaaaaa\n\n\n\nb\n\n", "b\n\n" + "a" * 11 + "\n\nb"])
 def test_message_parts(spark, s, most):
     assert one(spark, render.message_parts(F.lit(s), most)) == render.split_message(s, most)
 
 
+def test_parts_by_rule():
+    assert render.split_message("\n\na\n\n", 9) == ["\n\na\n\n"]  # fits: as it is
+    assert render.split_message("b\n\n" + "a" * 11 + "\n\nc", 9) == ["b", "a" * 9, "aa", "c"]  # no slice takes the next block along
+    assert render.split_message("aaaa\n\nbb\n\ncc", 9) == ["aaaa\n\nbb", "cc"]
+
+
+def test_first_by(spark):
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in (("b", 1), ("a", 2), ("b", 0), ("a", 2), ("c", None))])
+    assert [tuple(r) for r in one(spark, text.first_by(rows, lambda x: x["k"]))] == [("b", 1), ("a", 2), ("c", None)]
+    assert one(spark, text.first_by(F.slice(rows, 1, 0), lambda x: x["k"])) == []
+
+
+def test_whole_number(spark):
+    got = [one(spark, temporal.whole_number(F.lit(x), 1, 10)) for x in ("3", " 10 ", "2.0", "+4", "0", "11", "-1", "2.5", "x", "", None, "9" * 40)]
+    assert got == [3, 10, 2, 4] + [None] * 8
+
+
 PAGE = """<html><head><title>T</title><meta name="date" content="2026-01-02T03:04:05+05:30"><meta property="description" content="d"></head><body><nav><a href="/n">n</a></nav>
 <div class="cookie-banner">We use cookies</div><div><a href="/1">one link text</a> <a href="/2">two link text</a> <a href="/3">three link text</a> <a href="/4">four link text</a></div>
 <article><h1>Head  line</h1><p>First para<p>Second <a href="doc.pdf#x">file</a> <a href="doc.pdf">again</a> <a href="mailto:x@y.z">mail</a></article><script>var x = "<p>no</p>"</script><footer>foot</footer></body></html>"""

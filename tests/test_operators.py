@@ -275,3 +275,22 @@ def test_failed_streak(spark):
     df = spark.createDataFrame([(s, status, DAY + timedelta(hours=h)) for s, status, h in fetched], "source_id string, http_status int, fetched_at timestamp_ntz")
     got = {r.source_id: (r.consecutive_failures, r.last_success_at) for r in claims.failed_streak(df).collect()}
     assert got == {"a": (2, DAY), "b": (2, None), "c": (0, DAY), None: (1, None)}
+
+
+def test_guards(spark):
+    c = spark.createDataFrame([("a", "VERIFIED", "e1"), ("b", "VERIFIED", "e2"), ("c", "UNVERIFIED", "e1")], "id string, state string, evidence_id string")
+    hand = spark.createDataFrame([("e1",), ("e1",)], "id string")
+    assert rows(claims.all_publishable(c.filter("id = 'a'"), hand), "id", "state", "evidence_id") == [("a", "VERIFIED", "e1")]
+    for bad in ("b", "c"):
+        with pytest.raises(Exception, match=f"claim is not publishable: {bad}"):
+            claims.all_publishable(c.filter(f"id = '{bad}'"), hand).collect()
+    assert tables.assert_unique(c, ["id"]) is c
+    with pytest.raises(ValueError, match="e1"):
+        tables.assert_unique(c, ["evidence_id"])
+
+
+def test_stated_edges(spark):
+    pairs = spark.createDataFrame([("x", "y")], "left string, right string")
+    assert [claims.explicit_edges(pairs, k, DAY).first().kind for k in claims.STATED] == ["CORRECTS", "SUPERSEDES", "CONFLICTS"]
+    with pytest.raises(ValueError):
+        claims.explicit_edges(pairs, "SIMILAR", DAY)
