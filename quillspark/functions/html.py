@@ -8,9 +8,10 @@ from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ids, text
 from .text import quality_level
 
 # Fixed values.
@@ -133,15 +134,33 @@ def extract(html: str | None, url: str | None, default_title: str = "Untitled")
 FIELDS = "title string, body_text string, links array<string>, metadata array<struct<key:string,value:string>>, published string"
 
 
-def html_documents(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, title, body_text, links, metadata, published_at, quality, extraction_kind). Null pages are empty."""
+def html_documents(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", carry: tuple[Column, ...] = ()) -> DataFrame:
+    """(key, title, body_text, links, metadata, published_at, quality, extraction_kind), then the named columns ``carry`` of
+    the pages. Null pages are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"title": pa.string(), "body_text": pa.string(), "links": pa.list_(pa.string()), "metadata": pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())])), "published": pa.string()}
         for b in batches:
             got = [extract(h, u) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[n] for g in got], k) for n, k in kinds.items())], ["key", *kinds])
-
-    narrow = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
-    out = narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, {FIELDS}")
-    return out.select(F.col("key").alias(key), "title", "body_text", "links", "metadata", F.try_to_timestamp("published").alias("published_at"), quality_level(F.length("body_text")).alias("quality"), F.lit("html").alias("extraction_kind"))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[n] for g in got], k) for n, k in kinds.items()), b.column(3)], ["key", *kinds, "carried"])
+
+    narrow = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), F.struct(*(carry or (F.lit(None).cast("string").alias("none"),))).alias("carried"))
+    out = narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, {FIELDS}, carried {narrow.schema['carried'].dataType.simpleString()}")
+    found = [F.col("key").alias(key), "title", "body_text", "links", "metadata", F.try_to_timestamp("published").alias("published_at"), quality_level(F.length("body_text")).alias("quality"), F.lit("html").alias("extraction_kind")]
+    return out.select(*found, *(["carried.*"] if carry else []))
+
+
+def assembled(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", source: str = "source_id", parser_version: str = "1") -> DataFrame:
+    """html_documents() as whole documents: with their identities, and with the dates, deadlines, events, calendar lines and
+    category that their text names. Metadata go by key; a page that changes a byte is another document."""
+    raw = F.sha2(F.coalesce(F.col(html).cast("binary"), F.lit("").cast("binary")), 256)
+    docs = html_documents(pages, key, url, html, (F.col(source).alias("source_id"), F.col(url).alias("canonical_url"), raw.alias("raw_hash")))
+    body = F.col("body_text")
+    named = {
+        "id": ids.document_id(F.col("source_id"), F.col("canonical_url"), F.col("raw_hash"), F.lit(parser_version)),
+        "evidence_id": ids.evidence_id(F.col("source_id"), F.col("raw_hash")),
+        "source_relative_id": ids.source_relative_id(F.col("source_id"), F.col("canonical_url"), F.col("raw_hash")),
+        "metadata": F.array_sort("metadata"), "dates": text.extract_dates(body), "deadlines": text.extract_deadlines(body), "events": text.extract_events(body),
+        "calendar": text.calendar_lines(body), "notice_category": text.classify_notice(body, F.col("title")),
+    }
+    return docs.withColumns(named)

@@ -991,3 +991,13 @@ def claims_all_publishable(t):
     """Publishable claims pass the guard that raises for any other."""
     hand = _evidence_at_hand(t)
     return claims.all_publishable(claims.publishable(t.claims(), hand), hand).select("id", "evidence_id")
+
+
+@query
+def html_structure(t):
+    """Notices as pages: what the documents made of them name."""
+    body = F.replace(F.col("text"), F.lit("\n"), F.lit("</p><p>"))
+    page = F.concat(F.lit("<html><head><title>x</title></head><body><nav><a href='/'>due 1 May 2020</a></nav><main><h1>"), F.col("source_id"), F.lit("</h1><p>"), body, F.lit("</p></main></body></html>"))
+    docs = html.assembled(t.notices().select("k", "source_id", "url", page.alias("html")), key="k")
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.date_format(x["at"], "yyyy-MM-dd"), F.lit(" "), x["title"])), "|").alias(c)
+    return docs.select("k", "title", F.sha2("body_text", 256).alias("sha256"), F.size("dates").alias("dates"), listed("deadlines"), listed("events"), F.size("calendar").alias("calendar"), "notice_category")

@@ -454,3 +454,16 @@ SQL |= {
     "whole_numbers": "SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 3) AND event_id % 13 BETWEEN 1 AND 10 THEN event_id % 13 END AS year FROM events",
     "claims_all_publishable": SQL["publishable"],
 }
+
+PAGES = NOTICES.replace("notices AS", "plain AS", 1) + r""", notices AS (SELECT k, source_id, url, source_id || chr(10) || array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM plain)"""
+
+
+def of_pages(sql: str) -> str:
+    return sql.replace(NOTICES, PAGES)
+
+
+SQL["html_structure"] = f"""WITH {PAGES}, h AS (SELECT k, lower(source_id || ' ' || text) AS h FROM notices), a AS ({of_pages(SQL['extract_dates'])}), dl AS ({of_pages(statements(DEADLINE, False))}), ev AS ({of_pages(statements(EVENT, True))}),
+  cl AS (WITH {LINES}, {dates('s', 'k, sn')} SELECT k, count(DISTINCT sn) AS n FROM dated GROUP BY k),
+  d AS (SELECT k, string_agg(substr("at", 1, 10) || ' ' || title, '|' ORDER BY n) AS x FROM dl GROUP BY k), e AS (SELECT k, string_agg(substr("at", 1, 10) || ' ' || title, '|' ORDER BY n) AS x FROM ev GROUP BY k), c AS (SELECT k, count(*) AS n FROM a GROUP BY k)
+  SELECT k, source_id AS title, sha256(text) AS sha256, coalesce(c.n, 0) AS dates, coalesce(d.x, '') AS deadlines, coalesce(e.x, '') AS events, coalesce(cl.n, 0) AS calendar, {category('h')} AS notice_category
+  FROM notices JOIN h USING (k) LEFT JOIN c USING (k) LEFT JOIN d USING (k) LEFT JOIN e USING (k) LEFT JOIN cl USING (k)"""

@@ -165,3 +165,12 @@ def test_date_tokens_spellings(spark):
     assert one(spark, F.array_join(text.slash_dates(F.lit("3/4/26, 03-04-2026 and 5/6/2027")), "|")) == "2026-04-03|2027-06-05"
     assert one(spark, F.size(text.date_tokens(F.lit("")))) == 0
     assert one(spark, text.date_tokens(F.lit(None).cast("string"))) is None
+
+
+def test_assembled(spark):
+    page = PAGE.replace("First para", "Fee payment is due by 3 May 2026! First para")
+    pages = spark.createDataFrame([(1, "s", "https://x.org/a", page), (2, "s", "https://x.org/b", None)], "page_id int, source_id string, url string, html string")
+    a, b = html.assembled(pages).orderBy("page_id").collect()
+    assert [d.title for d in a.deadlines] == ["Fee payment is due by 3 May 2026!"] and [str(d.value) for d in a.dates] == ["2026-05-03 00:00:00"]
+    assert a.notice_category == "FEES" and a.events == [] and len(a.calendar) == 1 and [m.key for m in a.metadata] == sorted(m.key for m in a.metadata)
+    assert a.id != b.id and a.source_relative_id.startswith("s:") and b.body_text == "" and b.dates == b.deadlines == b.calendar == [] and b.notice_category == "UNKNOWN"
