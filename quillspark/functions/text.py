@@ -114,6 +114,11 @@ def extract_dates(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda d: d["value"].isNotNull())))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with ``value`` made once however often f uses it: a list of one gives it a name."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def first_by(rows: Column, key: Callable[[Column], Column]) -> Column:
     """An array's elements, in their order, without those whose key an earlier one has.
 
@@ -121,8 +126,7 @@ def first_by(rows: Column, key: Callable[[Column], Column]) -> Column:
     """
     keyed = F.array_sort(F.transform(rows, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x.alias("x"))))
     opens = lambda s: F.filter(s, lambda y, j: (j == 0) | ~F.get(s, j - 1)["key"].eqNullSafe(y["key"]))
-    # A list of one array gives that array a name, so that it is made once.
-    firsts = F.get(F.transform(F.array(keyed), opens), F.lit(0))
+    firsts = once(keyed, opens)
     return F.transform(F.array_sort(F.transform(firsts, lambda y: F.struct(y["i"], y["x"]))), lambda y: y["x"])
 
 
@@ -201,8 +205,7 @@ def calendar_label(line: Column, dates: Column) -> Column:
 def calendar_lines(text: Column) -> Column:
     """Rows (start, end, label, source_text, confidence) of the lines that have a date, in the order of the lines."""
 
-    def of(line: Column) -> Column:
-        dates = extract_dates(line)
+    def row(line: Column, dates: Column) -> Column:
         two = F.array_size(dates) > 1
         return F.struct(
             F.get(dates, F.lit(0))["value"].alias("start"), F.get(dates, F.lit(1))["value"].alias("end"), calendar_label(line, dates).alias("label"),
@@ -210,7 +213,8 @@ def calendar_lines(text: Column) -> Column:
         )
 
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.filter(F.transform(lines, of), lambda r: r["start"].isNotNull())
+    rows = F.transform(lines, lambda line: once(extract_dates(line), lambda dates: row(line, dates)))
+    return F.filter(rows, lambda r: r["start"].isNotNull())
 
 
 # Fixed value: spellings of dates that count as they stand.

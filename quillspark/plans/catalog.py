@@ -906,7 +906,7 @@ def _indexed(t):
 def indexed_all_tokens(t):
     """Every current item whose texts hold all three words, the last one too short for the index."""
     index, rows = _indexed(t)
-    return _ids(index.all_tokens(rows, ["GERMANY", "clerk 1", "u"]))
+    return _ids(index.all_tokens(rows, ["NATION_1", "clerk 1", "u"]))
 
 
 @query

@@ -396,7 +396,7 @@ SQL |= {
 
 HAY = "lower(title || chr(1) || summary || chr(1) || statement)"
 SQL |= {
-    "indexed_all_tokens": f"{BASE} SELECT {COLS} FROM live WHERE contains({HAY}, 'germany') AND contains({HAY}, 'clerk 1') AND contains({HAY}, 'u')",
+    "indexed_all_tokens": f"{BASE} SELECT {COLS} FROM live WHERE contains({HAY}, 'nation_1') AND contains({HAY}, 'clerk 1') AND contains({HAY}, 'u')",
     "indexed_any_token": f"{BASE} SELECT {COLS} FROM live WHERE regexp_matches({HAY}, 'customer#00000001|calendar notice|no such word')",
     "nearest_vectors": """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[64] AS e FROM embeddings), s AS (SELECT q.id AS query_id, v.id, array_cosine_similarity(v.e, q.e) AS s FROM v JOIN v q ON q.id % 50 = 0)
       SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank, id, round(s, 6) AS score FROM s QUALIFY rank <= 6""",
