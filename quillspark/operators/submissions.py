@@ -11,11 +11,11 @@ from ..functions import text
 
 # Fixed values.
 KEEP, STRONG, BEST = 0.15, 0.35, 5
-#: Columns of the archive that the engine's own queries take dates from; times among them count by their day.
+#: Columns of the archive that give dates, which a title does not; times among them count by their day.
 DATED, TIMES = ("summary", "statement", "due_at", "starts_at"), ("due_at", "starts_at")
 
 
-def scores(submissions: DataFrame, archive: DataFrame, keep: float = KEEP, stop_words: tuple[str, ...] = (), dates: Callable[[Column], Column] = text.date_tokens, dated: tuple[str, ...] = ("title", *DATED)) -> DataFrame:
+def scores(submissions: DataFrame, archive: DataFrame, keep: float = KEEP, stop_words: tuple[str, ...] = (), dates: Callable[[Column], Column] = text.date_tokens, dated: tuple[str, ...] = DATED) -> DataFrame:
     """(submission_id, item_id, score, shared, date_hit) of pairs that score ``keep`` or more.
 
     Only pairs that share a token can score, apart from the date bonus, which alone reaches ``keep``: so pairs meet on
