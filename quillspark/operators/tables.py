@@ -88,17 +88,23 @@ def retract_links(links: DataFrame, doomed: DataFrame, column: str) -> DataFrame
     return links.join(gone, F.col(column) == F.col("__gone"), "left_anti")
 
 
-def health(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
-    """(dependency, ok) for named Parquet tables, and ``service``, which is ok if all are. Reads no rows but their schemas."""
+def health(spark: SparkSession, tables: dict[str, str], least: int = 1) -> DataFrame:
+    """(dependency, ok, n_rows) for named Parquet tables, and ``service``, which is ok if all are: a table is if it can be
+    read and has at least ``least`` rows. Rows are counted by the executors; a table that isn't there has none."""
     from pyspark.errors import AnalysisException
 
-    found = []
+    if least < 1:
+        raise ValueError("a table that isn't there has no rows, so that at least one has to be asked for")
+    found = spark.createDataFrame([], "dependency string, n_rows bigint")
     for name, path in tables.items():
         try:
-            found.append((name, bool(spark.read.parquet(path).columns)))
+            rows = spark.read.parquet(path)
         except AnalysisException:
-            found.append((name, False))
-    return spark.createDataFrame([*found, ("service", all(ok for _, ok in found))], "dependency string, ok boolean")
+            rows = spark.range(0)
+        found = found.unionByName(rows.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("dependency"), "n_rows"))
+    each = F.inline(F.array(F.struct("dependency", "n_rows"), F.struct(F.lit("service").alias("dependency"), "n_rows")))
+    whole = F.when(F.col("dependency") == "service", F.min("n_rows")).otherwise(F.sum("n_rows"))
+    return found.select(each).groupBy("dependency").agg((F.min("n_rows") >= least).alias("ok"), whole.alias("n_rows"))
 
 
 def chunks(rows: DataFrame, key: str, body: str, size: int = CHUNK_BYTES) -> DataFrame:

@@ -215,7 +215,8 @@ def text_documents(t):
 
 @query
 def source_registry(t):
-    return registry.enabled(registry.registry(t.spark))
+    found = registry.discovered(t.read("pages"), registry.registry(t.spark), least=2)
+    return registry.enabled(found)
 
 
 # Text to structure.
@@ -521,8 +522,9 @@ def retract_links(t):
 
 @query
 def health_probe(t):
-    found = tables.health(t.spark, {"documents": f"{t.folder}/documents.parquet", "evidence_blobs": f"{t.folder}/no_such_table.parquet"})
-    return found.select("dependency", F.col("ok").cast("int").alias("ok"))
+    named = ("documents", "pages", "events", "no_such_table")
+    found = tables.health(t.spark, {name: f"{t.folder}/{name}.parquet" for name in named})
+    return found.select("dependency", F.col("ok").cast("int").alias("ok"), "n_rows")
 
 
 @query
@@ -751,6 +753,21 @@ def robots_allowed(t):
     return web.allowed_by_robots(rows, "bot").select("page_id")
 
 
+@query
+def robots_gate(t):
+    pages = t.read("pages").select("page_id", "url")
+    # what sites answer, by the length of their name: a group for all, a group for another, a failure, two groups
+    texts = [
+        "User-agent: *\nDisallow: /en/ # not yet\nAllow: /en/7\n", "User-agent: other\nDisallow: /\n\nUser-agent: *\nallow: /de/7\ndisallow: /%64e/\n", None,
+        "User-agent: *\nDisallow: /\n\nUser-agent: x\nUser-agent: Bot\nCrawl-delay: 5\nDisallow:\n", "",
+    ]
+    sites = pages.select(web.site_of(F.col("url")).alias("site")).distinct()
+    kind = F.length("site") % len(texts)
+    answer = F.element_at(F.array(*[F.lit(x) for x in texts]), kind + 1)
+    robots = sites.select("site", F.when(kind == 2, 404).otherwise(200).alias("status"), answer.alias("robots_text"))
+    return web.robots_gate(pages, robots, "bot/1.0").select("page_id", "robots_verdict")
+
+
 def _scratch(t: Tables) -> str:
     """A folder that the driver and all executors share; one of this machine only where all work is done here."""
     base = t.spark.conf.get("spark.checkpoint.dir", None)

@@ -159,7 +159,9 @@ SQL = {
     "acquisition_status": changes("UNION ALL SELECT source_id, content_hash, fetched_at + INTERVAL 30 DAY, doc_id + 10000000, failed, text FROM e WHERE doc_id % 5 = 0") + " SELECT doc_id, source_id, status, reverted FROM st",
     "source_health_streak": f"WITH {EVIDENCE}, l AS (SELECT *, max(CASE WHEN NOT failed THEN fetched_at END) OVER (PARTITION BY source_id) AS ok FROM e) SELECT source_id, count(*) FILTER (failed AND (ok IS NULL OR fetched_at > ok)) AS consecutive_failures, {ts('max(ok)', 'last_success_at')} FROM l GROUP BY source_id",
     "run_rollup": changes("") + " SELECT count(*) AS sources, count(*) FILTER (status = 'FETCHED') AS fetched, count(*) FILTER (status = 'CHANGED') AS changed, count(*) FILTER (status = 'FAILED') AS failed, sum(strlen(text))::BIGINT AS total_bytes, CASE WHEN count(*) FILTER (status = 'FAILED') = count(*) THEN 'FAILED' WHEN count(*) FILTER (status = 'FAILED') > 0 THEN 'PARTIAL' ELSE 'SUCCEEDED' END AS status FROM st",
-    "source_registry": "SELECT 'source' || i AS id, 'Source ' || i AS name, 'https://source' || i || '.example.org/' AS base_url, true AS enabled FROM range(3) t(i)",
+    "source_registry": """WITH s AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+')) AS site, count(*) AS n FROM pages GROUP BY 1)
+      SELECT site AS id, split_part(site, '://', 2) AS name, site || '/' AS base_url, true AS enabled FROM s WHERE site <> '' AND n >= 2
+      UNION ALL SELECT 'source' || i, 'Source ' || i, 'https://source' || i || '.example.org/', true FROM range(3) t(i)""",
     "normalize_text": r"SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r]'), lambda x: trim(regexp_replace(x, '[\s\x0B\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS sha256 FROM documents",
     "statement_fingerprint": f"SELECT doc_id, sha256({NORM.format('text')}) AS fingerprint, len({TOKS.format('text')}) AS tokens FROM documents",
     "claim_ids": f"""WITH c AS (SELECT o_orderkey AS k, 'claim:' || o_orderkey AS id, 'doc:' || o_orderkey AS d, 'source' || o_orderkey % 6 AS src, sha256({NORM.format("'Priority ' || lower(o_orderpriority) || ' order for clerk ' || o_orderkey % 50")}) AS fp FROM orders)
@@ -218,7 +220,9 @@ SQL = {
     "replace_cascade": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0)",
     "delete_by_key": "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 10 = 0 THEN 'PAUSED' ELSE 'ACTIVE' END AS status FROM customer WHERE c_custkey % 4 <> 0",
     "retract_links": "SELECT 'claim:' || l_orderkey AS claim_id, 'ev:' || l_partkey AS evidence_id, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 2)",
-    "health_probe": "SELECT * FROM (VALUES ('documents', 1), ('evidence_blobs', 0), ('service', 0)) v(dependency, ok)",
+    "health_probe": """WITH c AS (SELECT 'documents' AS dependency, count(*) AS n_rows FROM documents UNION ALL SELECT 'pages', count(*) FROM pages
+        UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'no_such_table', 0)
+      SELECT dependency, (n_rows > 0)::INT AS ok, n_rows FROM c UNION ALL SELECT 'service', 0, min(n_rows) FROM c""",
     "user_preferences": f"""WITH {USERS} SELECT user_id, CASE WHEN active THEN 'ACTIVE' ELSE 'PAUSED' END AS status, program, branch, yr AS "year", array_to_string(cats, '|') AS categories, reminders::INT AS reminders, digest::INT AS digest, muted::INT AS muted,
       CASE WHEN quiet THEN '22:00' END AS quiet_start, CASE WHEN quiet THEN '07:00' END AS quiet_end FROM users WHERE user_id % 11 <> 0""",
     "preferences_of_user": f"""WITH {USERS} SELECT user_id, CASE WHEN active THEN 'ACTIVE' ELSE 'PAUSED' END AS status, program, yr AS "year" FROM users WHERE user_id = 7""",
@@ -261,6 +265,9 @@ SQL = {
     "message_parts": "SELECT doc_id, 1 AS fits, length(replace(text, chr(10), '')) AS chars FROM documents",
     "sitemap_urls": "SELECT page_id, url FROM pages",
     "robots_allowed": "SELECT page_id FROM pages WHERE NOT starts_with(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '/en/')",
+    "robots_gate": r"""WITH p AS (SELECT page_id, length(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+')) AS n, regexp_replace(url, '^[a-zA-Z]+://[^/?#]*', '') AS path FROM pages)
+      SELECT page_id, CASE WHEN n = 0 OR n % 5 = 2 THEN 'FAILED' WHEN n % 5 = 0 AND starts_with(path, '/en/') THEN 'REFUSED'
+        WHEN n % 5 = 1 AND starts_with(path, '/de/') AND NOT starts_with(path, '/de/7') THEN 'REFUSED' ELSE 'ALLOWED' END AS robots_verdict FROM p""",
     "stream_once_only": "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events",
     "stream_new_content": "SELECT DISTINCT source AS source_id, sha256(text) AS content_hash FROM documents",
     "stream_ledger": "SELECT user_id, 'info:' || event_id % 500 AS item_id, 'REMINDER' AS kind, strftime(ts, '%Y-%m-%dT%H') AS key, arg_max((['PENDING','SENT','FAILED','SKIPPED'])[1 + (event_id % 4)::INT], (ts, event_id)) AS status FROM events GROUP BY ALL",

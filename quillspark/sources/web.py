@@ -11,38 +11,106 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
 from http.client import HTTPException
-from urllib.robotparser import RobotFileParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 RETRIED = (408, 425, 429, 500, 502, 503, 504)
 
 
+#: Bytes of rules that go to every task; more meet the pages in a shuffle.
+SENT_RULES = 8 << 20
+
+
+def _unquoted(value: Column) -> Column:
+    """Percent escapes decoded; a percent sign that starts none stays, as does a plus sign."""
+    return F.url_decode(F.regexp_replace(F.regexp_replace(value, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B"))
+
+
+def _tidy(path: Column) -> Column:
+    """A path without empty parameters, query or fragment."""
+    for empty in (r"^((?:[^?#]*/)?[^;/?#]*);(?=[?#]|$)", r"^([^?#]*)\?(?=#|$)", r"^([^#]*)#$"):
+        path = F.regexp_replace(path, empty, "$1")
+    return path
+
+
+def site_of(url: Column) -> Column:
+    """Scheme and host of a url, in lower case: whose robots text counts. Empty if there is no host."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+", 0))
+
+
+def robots_target(url: Column) -> Column:
+    """What robots rules are held against: the decoded url from its path on, ``/`` if nothing is left."""
+    rest = _tidy(F.regexp_replace(_unquoted(url), r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?", ""))
+    return F.when(rest == "", "/").otherwise(rest)
+
+
+def robots_rules(texts: DataFrame, agent: str, robots: str = "robots_text") -> DataFrame:
+    """(robots_text, rules) for every different text; rules is the array of (allow, path), in their order, of the group
+    that ``agent`` has to follow: the first whose names occur in its own, else the first for all (``*``).
+
+    A text's lines are rows, and a group starts behind a blank line, or with a name that follows a rule. Groups without
+    a name or without a rule don't count; comments and unknown keys are skipped. A text has one window of its lines.
+    """
+    me = agent.split("/")[0].lower()
+    each = texts.select(F.col(robots).alias("robots_text")).filter("robots_text is not null").distinct()
+    lines = each.select("robots_text", F.posexplode(F.split("robots_text", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]")).alias("pos", "line"))
+    body = F.trim(F.regexp_replace("line", r"(?s)#.*$", ""))
+    parts = lines.select(
+        "robots_text", "pos", (F.col("line") == "").alias("blank"), F.lower(F.regexp_extract(body, r"(?s)^([^:]*?)\s*:", 1)).alias("key"),
+        _unquoted(F.regexp_extract(body, r"(?s)^[^:]*:\s*(.*)$", 1)).alias("value"),
+    )
+    known = parts.filter(F.col("blank") | F.col("key").isin("user-agent", "allow", "disallow", "crawl-delay", "request-rate"))
+    order = Window.partitionBy("robots_text").orderBy("pos")
+    named = F.col("key") == "user-agent"
+    starts = F.col("blank") | (named & (F.coalesce(F.lag("key").over(order), F.lit("")) != "user-agent"))
+    known = known.withColumn("starts", starts.cast("int")).withColumn("group", F.sum("starts").over(order)).filter("not blank")
+    rule = F.when(F.col("key").isin("allow", "disallow"), F.struct("pos", ((F.col("key") == "allow") | (F.col("value") == "")).alias("allow"), _tidy(F.col("value")).alias("path")))
+    mine = named & (F.col("value") != "*") & F.lit(me).contains(F.lower("value"))
+    groups = known.groupBy("robots_text", "group").agg(
+        F.max(named & (F.col("value") == "*")).alias("for_all"), F.max(mine).alias("for_me"), F.max(~named).alias("ruled"), F.sort_array(F.collect_list(rule)).alias("rules")
+    )
+    groups = groups.filter("ruled and (for_all or for_me)")
+    chosen = groups.groupBy("robots_text").agg(F.min_by("rules", F.struct("for_all", "group")).alias("rules"))
+    found = each.join(chosen, "robots_text", "left")
+    none = F.array().cast("array<struct<allow:boolean,path:string>>")
+    return found.select("robots_text", F.coalesce(F.transform("rules", lambda r: F.struct(r["allow"].alias("allow"), r["path"].alias("path"))), none).alias("rules"))
+
+
+def _followed(rules: Column, target: Column) -> Column:
+    """The first rule whose path the page's begins with decides, wildcards meaning themselves; without one a page may be
+    fetched."""
+    first = F.get(F.filter(rules, lambda r: target.startswith(r["path"])), F.lit(0))
+    return F.coalesce(first["allow"], F.lit(True))
+
+
+def _meet(pages: DataFrame, rules: DataFrame, on: Column) -> DataFrame:
+    """A left join that sends the rules to every task while they are small, so that no site's pages have to meet."""
+    size = rules.agg(F.sum(F.length(F.to_json("rules")) + F.length(rules.columns[0]) + 64)).first()[0] or 0
+    return pages.join(F.broadcast(rules) if size <= SENT_RULES else rules, on, "left")
+
+
 def allowed_by_robots(pages: DataFrame, agent: str, url: str = "url", robots: str = "robots_text") -> DataFrame:
     """``pages`` that their site's robots text lets ``agent`` fetch; a null text stands for a failed request: refused."""
-    names = pages.columns
-    at, rt = names.index(url), names.index(robots)
+    rules = robots_rules(pages, agent, robots).toDF("__text", "__rules").withColumnRenamed("__rules", "rules")
+    met = _meet(pages.select(F.struct("*").alias("__page")), rules, F.col(f"__page.`{robots}`") == F.col("__text"))
+    may = F.col(f"__page.`{url}`").isNotNull() & F.col("__text").isNotNull() & _followed(F.col("rules"), robots_target(F.col(f"__page.`{url}`")))
+    return met.filter(may).select("__page.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, RobotFileParser] = {}
-
-        def may(link: str | None, text: str | None) -> bool:
-            if link is None or text is None:
-                return False
-            if text not in known:
-                if len(known) > 1000:
-                    known.clear()
-                known[text] = parser = RobotFileParser()
-                parser.parse(text.splitlines())
-            return known[text].can_fetch(agent, link)
-
-        for b in batches:
-            yield b.filter(pa.array([may(u, t) for u, t in zip(b.column(at).to_pylist(), b.column(rt).to_pylist())], pa.bool_()))
-
-    return pages.mapInArrow(run, pages.schema)
+
+def robots_gate(pages: DataFrame, robots: DataFrame, agent: str, url: str = "url") -> DataFrame:
+    """``pages`` with ``robots_verdict``: ALLOWED or REFUSED by the robots text of the page's site; FAILED where that was not
+    had, or the url has no host. ``robots`` has (site, status, robots_text), a row for each site asked; of several the one
+    with the least status counts, then the least text. A status outside 200 to 299 or a null text is a failed request.
+    """
+    good = F.col("status").between(200, 299) & F.col("robots_text").isNotNull()
+    asked = robots.groupBy(F.lower("site").alias("site")).agg(F.min(F.struct("status", "robots_text")).alias("got")).select("site", "got.*").filter(good)
+    rules = asked.join(robots_rules(asked, agent), "robots_text").select(F.col("site").alias("__site"), "rules")
+    met = _meet(pages.select(F.struct("*").alias("__page")), rules, site_of(F.col(f"__page.`{url}`")) == F.col("__site"))
+    verdict = F.when(F.col("__site").isNull(), "FAILED").when(_followed(F.col("rules"), robots_target(F.col(f"__page.`{url}`"))), "ALLOWED").otherwise("REFUSED")
+    return met.select("__page.*", verdict.alias("robots_verdict"))
 
 
 def sitemap_urls(xml: Column) -> Column:

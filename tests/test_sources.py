@@ -3,6 +3,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import tables
 from quillspark.sources import files, registry, web
 from quillspark.streaming import state
 
@@ -52,6 +53,71 @@ def test_robots_and_sitemaps(spark):
     assert spark.range(1).select(web.sitemap_urls(F.lit(xml)).alias("u")).first().u == ["https://a/1"]
 
 
+LINES = [
+    "User-agent: *", "user-agent : Bot", "User-Agent: other", "User-agent: bo", "Disallow: /x", "Disallow: /x/y?", "Allow: /x/y", "Disallow:", "Disallow: *", "allow: /%7Ea b",
+    "Disallow: /%7ea%20b;", "", "", "   ", "# a note", "Crawl-delay: 3", "Request-rate: 1/5", "Sitemap: https://a/s.xml", "nonsense", "Disallow: /x # c", "Disallow: /a+b", "Allow: /100%", "Disallow: /é#",
+]
+PATHS = ["", "/", "/x", "/x/y", "/x/y?", "/x/y?q=1", "/x/y?#f", "/~a b", "/%7Ea%20b;", "/a+b", "/a b", "/100%", "/100%25", "/%C3%A9#", "/é/1", "/z;p?q#f"]
+
+
+def test_robots_against_the_standard_parser(spark):
+    import random
+    from urllib.robotparser import RobotFileParser
+
+    draw, rows = random.Random(5), []
+    for _ in range(400):
+        text = draw.choice(["\n", "\r\n", "\n"]).join(draw.choices(LINES, k=draw.randint(0, 14)))
+        rows += [("https://A.b" + p, text) for p in draw.sample(PATHS, 5)]
+
+    def allowed(url, text):
+        parser = RobotFileParser()
+        parser.parse(text.splitlines())
+        return parser.can_fetch("Bot/2.0 (x)", url)
+
+    df = spark.createDataFrame(rows, "url string, robots_text string")
+    got = sorted(map(tuple, web.allowed_by_robots(df, "Bot/2.0 (x)").collect()))
+    want = sorted(r for r in rows if allowed(*r))
+    assert got == want and 0 < len(got) < len(rows)
+
+
+def test_robots_gate(spark):
+    pages = spark.createDataFrame(
+        [(1, "https://A.b/x", "s"), (2, "https://a.b/y", None), (3, "https://gone.b/y", "s"), (4, "https://never.b/", "s"), (5, None, "s"), (6, "no host", "s"), (7, "https://a.b/x", "s"), (1, "https://A.b/x", "s")],
+        "id int, url string, site string",
+    )
+    robots = spark.createDataFrame(
+        [("https://a.b", 200, "User-agent: *\nDisallow: /x"), ("https://a.b", 500, None), ("https://gone.b", 404, "User-agent: *\nAllow: /"), ("https://c.b", 200, None), (None, None, None)],
+        "site string, status int, robots_text string",
+    )
+    got = web.robots_gate(pages, robots, "bot")
+    assert got.columns == ["id", "url", "site", "robots_verdict"]
+    want = [(1, "REFUSED"), (1, "REFUSED"), (2, "ALLOWED"), (3, "FAILED"), (4, "FAILED"), (5, "FAILED"), (6, "FAILED"), (7, "REFUSED")]
+    assert sorted((r.id, r.robots_verdict) for r in got.collect()) == want
+    assert "PythonUDF" not in (plan := got._jdf.queryExecution().toString()) and "MapInArrow" not in plan
+    assert web.robots_gate(pages.limit(0), robots, "bot").count() == 0
+    assert {r.robots_verdict for r in web.robots_gate(pages, robots.limit(0), "bot").collect()} == {"FAILED"}
+    sent, web.SENT_RULES = web.SENT_RULES, -1
+    try:
+        assert sorted((r.id, r.robots_verdict) for r in web.robots_gate(pages, robots, "bot").collect()) == want
+    finally:
+        web.SENT_RULES = sent
+
+
+def test_discovered_sources(spark):
+    declared = registry.registry(spark, [("s", "S", "https://A.b/", False)])
+    pages = spark.createDataFrame([("https://a.b/1",), ("https://c.d/1",), ("HTTPS://c.d/2",), ("https://e.f",), (None,), ("x",)], "url string")
+    got = {r.id: (r.name, r.base_url, r.enabled) for r in registry.discovered(pages, declared, least=2).collect()}
+    assert got == {"s": ("S", "https://A.b/", False), "https://c.d": ("c.d", "https://c.d/", True), "https://e.f": ("e.f", "https://e.f/", False)}
+
+
+def test_health_counts_rows(spark, sf, tmp_path):
+    spark.range(0).write.parquet(f"{tmp_path}/empty")
+    found = lambda **t: {r.dependency: (r.ok, r.n_rows) for r in tables.health(spark, t).collect()}
+    n = spark.read.parquet(f"{sf}/pages.parquet").count()
+    assert found(pages=f"{sf}/pages.parquet") == {"pages": (True, n), "service": (True, n)}
+    assert found(pages=f"{sf}/pages.parquet", empty=f"{tmp_path}/empty", none=f"{tmp_path}/none") == {"pages": (True, n), "empty": (False, 0), "none": (False, 0), "service": (False, 0)}
+
+
 def test_fetching():
     slept, calls = [], []
 
