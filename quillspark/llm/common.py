@@ -106,10 +106,14 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def labelled(labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(k, y): every id with a label of 0 or 1, once. One that is labelled both ways counts as its greatest label."""
+    return labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("k")).agg(F.max(label).cast("int").alias("y"))
+
+
 def labelled_sample(labels: DataFrame, id_col: str, label: str, most: int) -> DataFrame:
-    """(k, y): at most ``most`` rows with label 0 and as many with label 1, of the least hash of the id. An id that is
-    labelled both ways, or more than once, counts as its greatest label."""
-    rows = labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    """(k, y): of labelled(), at most ``most`` rows with label 0 and as many with label 1, of the least hash of the id."""
+    rows = labelled(labels, id_col, label)
     least = lambda y: rows.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most)
     return least(0).unionByName(least(1))
 
