@@ -8,6 +8,7 @@ fills its own sequences from its own rows in their order, so nothing is shuffled
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -27,8 +28,20 @@ SMALLEST = 64
 CACHE_WORDS = 400_000
 
 
+#: How a tokenizer must normalise and cut texts for its words to be encoded one by one, as its file says it.
+NORMALISED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a tokenizer drops white space and letters' case, by the normaliser and the cuts that Encoder relies on."""
+    steps = [json.loads(x.__getstate__()) if x is not None else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    return steps[0] == NORMALISED and (steps[1].get("pretokenizers") or [None])[0] == CUT
+
+
 class Encoder:
-    """Token ids of texts, word by word: the tokenizer drops white space and letters' case, so no token spans a blank.
+    """Token ids of texts. Where by_words() holds, no token spans a blank, and the ids are those of the words one after
+    another; with any other tokenizer whole texts are encoded.
 
     Words are kept with A-Z in lower case, and cut where an ASCII mark other than the apostrophe follows a letter, as
     the tokenizer cuts there in any case. New words are encoded many at a time around a mark that is a token of its own.
@@ -42,6 +55,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread to a task
         self.tokenizer = Tokenizer.from_file(path)
+        self.whole = not by_words(self.tokenizer)
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self._reset()
@@ -69,6 +83,8 @@ class Encoder:
         self.size, self.pool = np.concatenate((self.size, size)), np.concatenate((self.pool, flat))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if self.whole:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.seen) > CACHE_WORDS:
             self._reset()
         ids, counts, number = [], [], self.seen.__getitem__

@@ -84,3 +84,29 @@ def test_packer_places_each_piece_once(lengths):
 @pytest.mark.parametrize("text", ["<|endoftext|> a<|startoftext|>b", "don't  stop now x　y", "İstanbul ΑΣ ΑΣ. é", "a\x1cb\x85c d", ""])
 def test_words_encode_as_the_whole(text):
     assert packing.Encoder(tokenizer_path())([text])[0].tolist() == brute(text)[:-1]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_gives_the_ids_of_whole_texts(name, documents):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(name)
+    encode, tokenizer = packing.Encoder(path), Tokenizer.from_file(path)
+    assert encode.whole == (name == "byte_bpe_50k.json")
+    texts = ["", " ", "A Tale  of\nTwo Cities", "it's  WE'LL 1234", "<|im_end|> x<|im_end|>", "é e\u0301 Ǆ İstanbul", *(r.text or "" for r in documents.limit(40).collect())]
+    for text, got in zip(texts, encode(texts)):
+        assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packs_with_another_tokenizer(odd_documents):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer, pieces = Tokenizer.from_file(path), defaultdict(dict)
+    rows = packing.pack(odd_documents.filter("id = 'x' and doc_id in (2, 4, 10)"), path, with_ids=True).collect()
+    for r in rows:
+        pieces[r.id][r.start] = r.ids
+    texts = {r.doc_id: r.text for r in odd_documents.collect()}
+    for k, found in pieces.items():
+        assert sum((found[s] for s in sorted(found)), []) == [*tokenizer.encode(texts[k], add_special_tokens=False).ids, 1]
+    assert set(pieces) == {2, 4, 10}
