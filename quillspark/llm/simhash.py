@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Numbering, materialize, remove, small_batches, spread, text_chunks
+from .common import Numbering, join_copies, materialize, remove, small_batches, spread, text_chunks
 from .graph import components
 
 SHINGLE_WORDS = 3
@@ -66,8 +66,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return small_batches(narrow).mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, fp bigint")
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints within ``radius`` bits of one another.
+def links(prints: DataFrame, radius: int = RADIUS, once: bool = False) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints within ``radius`` bits of one another. ``once`` says that ``prints`` is a
+    written table of different ones; else they are made different and written first, as the rows that become many have to
+    be spread over all tasks, which a shuffle for the distinct ones alone is not.
 
     Each distinct fingerprint emits all variants within half the radius; two within the radius share a variant. All
     that share a variant lie within the radius of each other, so every one is linked to the least of them: as many
@@ -77,7 +79,8 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius != 2:
         raise ValueError("the ball of half the radius is built for radius 2")
     masks = F.array(*[F.lit(m) for m in [0, *((1 << i) - (1 << 64 if i == 63 else 0) for i in range(64))]])
-    variants = spread(prints.select("fp").distinct(), "fp").select("fp", F.explode(masks).alias("mask"))
+    single = prints.select("fp") if once else materialize(prints.select("fp").distinct(), "single")
+    variants = spread(single, "fp").select("fp", F.explode(masks).alias("mask"))
     variants = variants.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     met = variants.withColumn("least", F.min("fp").over(Window.partitionBy("variant")))
     met = met.filter("least <> fp").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
@@ -303,8 +306,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated ids keep their rows. Empty and null texts have fingerprint 0 and link like any other; a component
     without any id has a null component. An empty table gives an empty result.
     """
+    held: list[str] = []
     prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "prints")
-    return prints.join(_classes(prints, links(prints, radius), []), "fp").select("id", "fp", "component")
+    texts = materialize(prints.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "texts", held)
+    classes = materialize(_classes(texts.select("id", "fp"), links(texts, radius, once=True), held).select("fp", "component"), "classes")
+    out = join_copies(prints, classes, "fp", texts.select("fp", "copies")).select("id", "fp", "component")
+    remove(docs.sparkSession, held)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

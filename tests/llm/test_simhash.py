@@ -53,6 +53,23 @@ def test_query_against_brute_force(spark, sf, documents):
     assert len({c for _, _, c in got}) < len(got)
 
 
+def test_hot_fingerprints_meet_nothing_in_a_shuffle(spark):
+    """A third of all rows are copies: they learn their component by a broadcast, and every row is there."""
+    rows = [(i, "the same few words here") for i in range(400)] + [(400 + i, f"text number {i} {i * 7} {i * 11} of many") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = sorted((str(r.id), f"{r.fp & (1 << 64) - 1:016x}", r.component) for r in simhash.near_duplicates(df).collect())
+    assert got == expected([(k, brute_print(t)) for k, t in rows])
+    plan = simhash.near_duplicates(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Union" in plan
+
+
+def test_variants_come_from_all_tasks(spark):
+    prints = spark.createDataFrame([(i,) for i in range(50)], "fp bigint")
+    for once in (False, True):
+        plan = simhash.links(prints, once=once)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan
+
+
 def test_chains_of_near_prints(spark):
     prints = [0, 1, 7, 31, 1 << 63, (1 << 63) | 3, 0xFF00FF00FF00FF00, 0xFF00FF00FF00FF03, 0xFF00FF00FF0000FF]
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
