@@ -44,7 +44,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The models and pattern searches of the stages have no SQL form; tests hold each stage against brute force.
+#: The models and pattern searches of the stages have no SQL form. Tests check the stages' columns and rows, and those of
+#: the operators hold these against brute force.
 ORACLE_SQL = None
 
 
