@@ -685,8 +685,9 @@ def feed_other_categories(t):
 
 @query
 def delivery_status(t):
-    marks = t.ledger().select("user_id", "ts", "event_id", "status")
-    return notices.delivery_status(marks, ["user_id"], ["ts", "event_id"])
+    # a notification is a user's digest of a week
+    marks = t.ledger().select("user_id", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), "ts", "event_id", "status")
+    return notices.delivery_status(marks, ["user_id", "week"], ["ts", "event_id"])
 
 
 @query

@@ -228,11 +228,13 @@ SQL = {
     "preferences_of_user": f"""WITH {USERS} SELECT user_id, CASE WHEN active THEN 'ACTIVE' ELSE 'PAUSED' END AS status, program, yr AS "year" FROM users WHERE user_id = 7""",
     "feed_other_categories": f"""{BASE}, {USERS}, other AS (SELECT * REPLACE (CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 'SPORT' ELSE category END AS category) FROM live)
       SELECT u.user_id, row_number() OVER (PARTITION BY u.user_id ORDER BY i.published_at DESC, i.id) AS rank, i.id AS item_id FROM users u JOIN other i ON {MEETS} WHERE u.active QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY i.published_at DESC, i.id) <= 4""",
-    "delivery_status": f"""WITH RECURSIVE e AS (SELECT user_id, ts, ['PENDING','SENT','FAILED','SKIPPED'][1 + (event_id % 4)::INT] AS mark, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-      w AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 'PENDING' AS status, NULL::TIMESTAMP AS sent_at FROM e
-        UNION ALL SELECT x.user_id, x.n2, CASE WHEN x.ok THEN x.mark ELSE x.status END, CASE WHEN x.ok AND x.mark IN ('SENT', 'FAILED') THEN x.ts ELSE x.sent_at END
-        FROM (SELECT w.user_id, w.status, w.sent_at, m.mark, m.ts, m.n AS n2, (w.status = 'PENDING' AND m.mark <> 'PENDING') OR (w.status IN ('FAILED', 'SKIPPED') AND m.mark = 'PENDING') AS ok FROM w JOIN e m ON m.user_id = w.user_id AND m.n = w.n + 1) x)
-      SELECT user_id, status, {ts('sent_at', 'delivered_at')} FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""",
+    "delivery_status": f"""WITH RECURSIVE e AS (SELECT user_id, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, ts, ['PENDING','SENT','FAILED','SKIPPED'][1 + (event_id % 4)::INT] AS mark,
+        row_number() OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY ts, event_id) AS n FROM events),
+      w AS (SELECT DISTINCT user_id, week, 0::BIGINT AS n, 'PENDING' AS status, NULL::TIMESTAMP AS sent_at FROM e
+        UNION ALL SELECT x.user_id, x.week, x.n2, CASE WHEN x.ok THEN x.mark ELSE x.status END, CASE WHEN x.ok AND x.mark IN ('SENT', 'FAILED') THEN x.ts ELSE x.sent_at END
+        FROM (SELECT w.user_id, w.week, w.status, w.sent_at, m.mark, m.ts, m.n AS n2, (w.status = 'PENDING' AND m.mark <> 'PENDING') OR (w.status IN ('FAILED', 'SKIPPED') AND m.mark = 'PENDING') AS ok
+          FROM w JOIN e m ON m.user_id = w.user_id AND m.week = w.week AND m.n = w.n + 1) x)
+      SELECT user_id, week, status, {ts('sent_at', 'delivered_at')} FROM w QUALIFY row_number() OVER (PARTITION BY user_id, week ORDER BY n DESC) = 1""",
     "update_by_key": "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'BLOCKED' WHEN c_custkey % 10 = 0 THEN 'PAUSED' ELSE 'ACTIVE' END AS status, CASE WHEN c_custkey % 6 = 0 THEN '22:00' END AS quiet_start FROM customer",
     "blob_chunks": "SELECT doc_id, i AS chunk_index, sha256(array_slice(encode(text), i * 1000 + 1, i * 1000 + 1000)) AS sha256 FROM (SELECT doc_id, text, unnest(range(greatest(1, (strlen(text) + 999) // 1000))) AS i FROM documents)",
     "blob_reassembly": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
