@@ -33,7 +33,8 @@ def scores(submissions: DataFrame, archive: DataFrame, keep: float = KEEP, stop_
     hits = met.filter("na > 0 AND nb > 0").select("submission_id", "item_id", "na", "nb").distinct().withColumn("hit", F.lit(True))
     pairs = shared.join(hits, ["submission_id", "item_id", "na", "nb"], "full")
     n = F.coalesce("shared", F.lit(0))
-    score = F.least(F.lit(1.0), 0.55 * n / (F.col("na") + F.col("nb") - n) + 0.30 * n / F.col("na") + F.when(F.col("hit"), 0.15).otherwise(0.0))
+    # Decimal weights, rounded once, as the SQL has them: 0.55 is no double, and a score at a limit hangs on its rounding.
+    score = F.least(F.lit(1.0), 55 * n / 100 / (F.col("na") + F.col("nb") - n) + 30 * n / 100 / F.col("na") + F.when(F.col("hit"), 0.15).otherwise(0.0))
     return pairs.select("submission_id", "item_id", score.alias("score"), n.alias("shared"), F.coalesce("hit", F.lit(False)).alias("date_hit")).filter(F.col("score") >= keep)
 
 

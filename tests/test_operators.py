@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,21 @@ def test_verdicts(spark):
     assert rows(submissions.review_queue(verdicts, scored), "submission_id") == [("b",), ("c",)]
 
 
+def at_the_limit(spark):
+    """A submission of 6 words and an item of 30 that have 3 in common: 0.2 in decimals, whose double sum is below it."""
+    s = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(6)))], "id string, text string")
+    a = spark.createDataFrame([("i", " ".join(f"w{i}" for i in range(3, 33)), "", True)], "id string, title string, summary string, in_conflict boolean")
+    return s, a
+
+
+def test_score_at_a_limit_is_that_of_decimals(spark):
+    s, a = at_the_limit(spark)
+    scored = submissions.scores(s, a)
+    want = duckdb.sql("SELECT least(1.0, 0.55 * n / (na + nb - n) + 0.30 * n / na) FROM (SELECT 6::BIGINT AS na, 30::BIGINT AS nb, 3::BIGINT AS n)").fetchall()
+    assert [(r.score,) for r in scored.collect()] == want
+    assert rows(submissions.classify(s, scored, a.select(F.col("id").alias("item_id")), 0.2), "submission_id", "verdict") == [("a", "UNVERIFIED")]
+
+
 def test_tables(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, v int, x string")
     new = spark.createDataFrame([(2, 2, "c"), (3, 1, "d"), (3, 0, "e")], "k int, v int, x string")
