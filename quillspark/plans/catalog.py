@@ -338,9 +338,10 @@ def url_canonical(t):
 
 @query
 def url_replacements(t):
-    old = t.read("pages").selectExpr("'site' AS source_id", "page_id % 100000 AS key", "url")
+    """A page is its own document; its key, which others may have too, is but shown."""
+    old = t.read("pages").selectExpr("'site' AS source_id", "page_id AS key", "url")
     new = old.withColumn("url", F.when(F.col("key") % 4 == 0, F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("/"))).when(F.col("key") % 4 == 1, F.concat(F.col("url"), F.lit("x"))).otherwise(F.col("url")))
-    return relate.url_replacements(old, new).select("key", "old_url", "new_url")
+    return relate.url_replacements(old, new).select((F.col("key") % 100000).alias("key"), "old_url", "new_url")
 
 
 def _evidence_at_hand(t):

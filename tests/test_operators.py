@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import text
 from quillspark.operators import acquisition, claims, items, notices, relate, submissions, tables, trust
 from quillspark.plans import named
+from quillspark.plans.catalog import Q
+from quillspark.plans.oracle import SQL
 
 DAY = datetime(2026, 10, 1, 9)
 
@@ -189,6 +191,16 @@ def test_score_at_a_limit_is_that_of_decimals(spark):
     assert rows(submissions.classify(s, scored, a.select(F.col("id").alias("item_id")), 0.2), "submission_id", "verdict") == [("a", "UNVERIFIED")]
 
 
+def test_url_replacements_of_pages_with_one_shown_key(spark, tmp_path):
+    """Pages 4 and 100,004 are shown by one key; each moved by itself, and neither to the other's url."""
+    pages = [(4, "http://a.org/x#y"), (100_004, "http://b.org/x?q=1"), (5, "http://a.org/z"), (100_006, "http://a.org/w")]
+    spark.createDataFrame(pages, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = Q["url_replacements"](spark, str(tmp_path))
+    assert rows(got, "key", "old_url", "new_url") == sorted(duck.execute(SQL["url_replacements"]).fetchall())
+
+
 def test_tables(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, v int, x string")
     new = spark.createDataFrame([(2, 2, "c"), (3, 1, "d"), (3, 0, "e")], "k int, v int, x string")
