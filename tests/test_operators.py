@@ -191,6 +191,13 @@ def test_score_at_a_limit_is_that_of_decimals(spark):
     assert rows(submissions.classify(s, scored, a.select(F.col("id").alias("item_id")), 0.2), "submission_id", "verdict") == [("a", "UNVERIFIED")]
 
 
+def test_review_queue_takes_a_score_at_the_limit_as_unverified(spark):
+    s, a = at_the_limit(spark)
+    scored = submissions.scores(s, a)
+    verdicts = submissions.classify(s, scored, a.select(F.col("id").alias("item_id")), 0.2)
+    assert rows(submissions.review_queue(verdicts, scored), "submission_id", "verdict") == [("a", "UNVERIFIED")]
+
+
 def test_url_replacements_of_pages_with_one_shown_key(spark, tmp_path):
     """Pages 4 and 100,004 are shown by one key; each moved by itself, and neither to the other's url."""
     pages = [(4, "http://a.org/x#y"), (100_004, "http://b.org/x?q=1"), (5, "http://a.org/z"), (100_006, "http://a.org/w")]
