@@ -12,6 +12,7 @@ from quillspark.operators import acquisition, claims, items, notices, relate, su
 from quillspark.plans import named
 from quillspark.plans.catalog import Q
 from quillspark.plans.oracle import SQL
+from quillspark.streaming import state
 
 DAY = datetime(2026, 10, 1, 9)
 
@@ -198,6 +199,12 @@ def test_review_queue_takes_a_score_at_the_limit_as_unverified(spark):
     assert rows(submissions.review_queue(verdicts, scored), "submission_id", "verdict") == [("a", "UNVERIFIED")]
 
 
+def test_queue_sink_takes_a_score_at_the_limit_as_unverified(spark, tmp_path):
+    s, a = at_the_limit(spark)
+    state.queue_sink(str(tmp_path), a, 0.2)(s, 0)
+    assert rows(spark.read.parquet(str(tmp_path)), "submission_id", "verdict") == [("a", "UNVERIFIED")]
+
+
 def test_url_replacements_of_pages_with_one_shown_key(spark, tmp_path):
     """Pages 4 and 100,004 are shown by one key; each moved by itself, and neither to the other's url."""
     pages = [(4, "http://a.org/x#y"), (100_004, "http://b.org/x?q=1"), (5, "http://a.org/z"), (100_006, "http://a.org/w")]
