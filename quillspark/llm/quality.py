@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled, labelled_sample, materialize, small_batches, text_chunks
+from .common import fold, labelled, materialize, small_batches, text_chunks
 
-#: Labelled rows that the fit takes at most: those of the least hash of the id, on either side of the label.
+#: Labelled rows of either label up to which the driver fits all of them; more are fitted by Spark, all of them too.
 MAX_ROWS = 10_000
-#: Preference pairs that the fit draws from those rows.
+#: Preference pairs that the driver's fit draws.
 PAIRS = 60_000
 RIDGE = 1e-3
 
@@ -103,6 +103,50 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE,
     return Ranking(raw.tolist(), float(cut + raw @ mean), float(max(1e-6, spread / 4)))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(i, f): ``rows`` (id, f) numbered from 0 in the order of a hash of their id, over all tasks."""
+    order = rows.orderBy(F.xxhash64("id"), "id", "f").select("f").rdd.zipWithIndex()
+    return rows.sparkSession.createDataFrame(order.map(lambda r: (r[1], r[0][0])), "i bigint, f array<double>")
+
+
+def fit_all(rows: DataFrame, bad: int, good: int, ridge: float = RIDGE) -> Ranking:
+    """fit() over tables: ``rows`` (id, y, f) has ``bad`` rows of label 0 and ``good`` of label 1.
+
+    Each row is in a preference pair at least: the rows of the rarer label go round until all of the other have one. Tasks
+    sum up the gradient and the second derivatives of their pairs, the driver solves for a step. Mean, deviation, the
+    threshold's place and the scale are those of all rows.
+    """
+    k, most = len(NAMES), max(bad, good)
+    stats = rows.agg(*[g(F.col("f")[i]) for g in (F.avg, F.stddev_pop) for i in range(k)]).first()
+    mean, dev = np.array(stats[:k]), np.maximum(np.array(stats[k:]), 1e-6)
+    sides = []
+    for y, n in ((1, good), (0, bad)):
+        side = _numbered(rows.filter(F.col("y") == y).select("id", "f"))
+        sides.append(side.select(F.explode(F.sequence("i", F.lit(most - 1), F.lit(n))).alias("i"), F.col("f").alias(f"f{y}")))
+    pairs = materialize(sides[0].join(sides[1], "i").select("f1", "f0"), "pairs")
+    w = np.zeros(k)
+    for _ in range(30):
+
+        def run(batches: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(k + k * k)
+            for b in batches:
+                d = (b.column(0).flatten().to_numpy() - b.column(1).flatten().to_numpy()).reshape(-1, k) / dev
+                p = 1 / (1 + np.exp(np.clip(d @ w, -50, 50)))
+                total += np.concatenate((d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
+
+        sums = np.sum([r.s for r in pairs.mapInArrow(run, "s array<double>").collect()], axis=0)  # a row for each task
+        step = np.linalg.solve(sums[k:].reshape(k, k) / most + ridge * np.eye(k), sums[:k] / most - ridge * w)
+        w = w + step / max(1.0, np.abs(step).max() / 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    raw = w / dev
+    s = sum((F.col("f")[i] * float(x) for i, x in enumerate(raw)), F.lit(0.0))
+    scores = rows.select(s.alias("s"))
+    ends = scores.orderBy("s").rdd.zipWithIndex().filter(lambda r: bad - 1 <= r[1] <= bad).map(lambda r: r[0][0]).collect()  # two rows
+    return Ranking(raw.tolist(), float(np.mean(ends)), float(max(1e-6, scores.agg(F.stddev_pop("s")).first()[0] / 4)))
+
+
 def rank(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """(id, score) for every row of ``docs``; ``labels`` (id, label) are the rows that may be learned from.
 
@@ -111,11 +155,16 @@ def rank(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     score is 0.5.
     """
     table = materialize(feature_table(docs, id_col, text), "features")
-    counts = dict(labelled(labels, id_col, label).groupBy("y").count().collect())
-    sample = F.broadcast(labelled_sample(labels, id_col, label, MAX_ROWS))
-    rows = table.join(sample, table.id == sample.k).groupBy("id", "y", "f").count().orderBy(F.xxhash64("id"), "id", "f").limit(2 * MAX_ROWS).select("y", "f").toArrow()
-    x = np.array(rows.column("f").to_pylist(), float).reshape(-1, len(NAMES))
-    model = fit(x, rows.column("y").to_numpy(), totals=(counts.get(0, 0), counts.get(1, 0)))
+    known = labelled(labels, id_col, label)
+    rows = table.join(known, table.id == known.k).select("id", "y", "f").distinct()
+    counts = dict(rows.groupBy("y").count().collect())
+    bad, good = counts.get(0, 0), counts.get(1, 0)
+    if bad and good and max(bad, good) > MAX_ROWS:
+        model = fit_all(materialize(rows, "labelled"), bad, good)
+    else:
+        few = rows.orderBy(F.xxhash64("id"), "id", "f").select("y", "f").toArrow()
+        x = np.array(few.column("f").to_pylist(), float).reshape(-1, len(NAMES))
+        model = fit(x, few.column("y").to_numpy())
     return table.select("id", model.column(F.col("f")).alias("score"))
 
 

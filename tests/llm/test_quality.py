@@ -98,3 +98,19 @@ def test_odd_rows(spark, odd_documents, no_documents):
 def test_features_are_finite():
     for t in (None, "", " ", "\n\n", "é" * 1000, "!!!", "a b\nc", "😀"):
         assert len(quality.features(t)) == len(quality.NAMES) and np.isfinite(quality.features(t)).all()
+
+
+def test_more_labels_than_the_driver_takes_all_count(spark, monkeypatch):
+    """Beyond MAX_ROWS each labelled row still teaches: the cut is that of all rows, and the weights order them as a fit of all."""
+    monkeypatch.setattr(quality, "MAX_ROWS", 20)
+    texts = [(i, ("good words here. " if i % 4 else "BAD! ") * (1 + i % 7) + "xyz "[: i % 4] * (i % 11), int(i % 4 > 0 or i % 20 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, quality int")
+    scores = {r.id: r.score for r in quality.rank(docs, docs.select("doc_id", "quality")).collect()}
+    y = np.array([t[2] for t in texts])
+    got = np.array([scores[t[0]] for t in texts])
+    bad = int((y == 0).sum())
+    s = np.sort(got)
+    assert s[bad - 1] <= 0.5 + 1e-9 and s[bad] >= 0.5 - 1e-9 and len(got) == 300
+    whole = quality.fit(np.array([quality.features(t[1]) for t in texts]), y)
+    want = np.array([quality.features(t[1]) for t in texts]) @ whole.weights
+    assert np.corrcoef(np.log(got / (1 - got)), want)[0, 1] > 0.98
