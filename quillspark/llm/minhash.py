@@ -2,12 +2,11 @@
 
 A text's signature is ORDERS bands of BAND least hash values. The forest has as many sorted orders of the signatures: order
 t reads band t first, then the bands after it, round and round. Texts stand near in an order if they share a long prefix.
-How deep a shared prefix must be is set region by region: texts that share the first band of an order are a region; one of
-at most CROWD texts is searched as a whole, a larger one is sorted, each text meets its neighbour of the longest common
-prefix, and what shares deeper prefixes is searched, until no more than CROWD texts share one or DEPTHS end. All links
-are confirmed on the full sets. Of two linked texts that meet in crowds only, with no third one to connect them, some are
-missed: on a table of 51,282 documents, 2,000 of which were random edits of one text, two had another component than by an
-exact join.
+Texts that share the first band of an order are a region, and all linked texts share one; a region is searched as a whole.
+One of more than CROWD texts first loses those that can have no link: too many of their shingles are in no other text of a
+crowd. What remains meets its neighbours of the longest common prefix before all else, as most of these are links, and then
+only texts that links don't connect yet are held against each other. A pair whose shingles can't be alike enough by their
+numbers and parity sketches is not made at all. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import having, join_copies, materialize, remove, small_batches, text_chunks
@@ -29,12 +28,16 @@ SHINGLE_WORDS = 3
 SIMILAR = 85
 #: Two texts at that similarity share no first band of any order in 2 of 10^8 cases.
 ORDERS, BAND = 24, 4
-#: Texts that a region may have before it is split, and bands of the prefixes that split it. Neighbours in a crowd that
-#: share CLOSE bands are looked at before all else: most are links, and what they connect need not meet again.
-CROWD, DEPTHS, CLOSE = 64, (2, 3, 4, 6, 8), 4
+#: Texts of a region from which it is a crowd, bands of a prefix that are compared there, those that neighbours share to be
+#: looked at before all else, and how often a crowd loses what can have no link.
+CROWD, DEPTH, CLOSE, PEELS = 64, 8, 4, 2
 #: One bit of each signature value stays for a first look at a pair; at the least similarity 7 of 96 differ, 2.6 being one
 #: standard deviation, so a pair that passes 26 is none.
 MOST_BITS = 26
+#: Bits of a set's parity sketch: each says whether an odd number of shingles fall on it. Two sketches differ in no more
+#: bits than their sets in shingles, so what they rule out is no link.
+PARITY = 512
+PRINT = ["n", "bits0", "bits1", *(f"parity{i}" for i in range(PARITY // 64))]
 MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, ORDERS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,10 +56,24 @@ def signature(grams: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndar
     return keys.view(np.int64), np.packbits(bits).view("<i8")
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, as longs."""
+    at = (grams.view(np.uint64) * MIX) >> np.uint64(64 - PARITY.bit_length() + 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view("<i8")
+
+
+def may_link(a: str, b: str, similar: int = SIMILAR) -> Column:
+    """Whether texts can be linked by their prints, the columns PRINT with prefixes ``a`` and ``b``."""
+    n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
+    apart = lambda names: reduce(Column.__add__, [F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in names])
+    alike = (100 + similar) * apart(PRINT[3:]) <= (100 - similar) * (n_a + n_b)
+    return (100 * F.least(n_a, n_b) >= similar * F.greatest(n_a, n_b)) & alike & (apart(PRINT[1:3]) <= MOST_BITS)
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, full: bool) -> DataFrame:
-    """(id, fp, n) with keys, bits of the signature, or if ``full`` with grams, the set's hashes. fp is the set's hash; a
+    """(id, fp, n) with keys, bits of the signature and parity sketch, or if ``full`` with grams, the set's hashes. fp is the set's hash; a
     text without a word has n 0 and nothing else."""
-    names, kinds = (["grams"], ["array<bigint>"]) if full else (["keys", "bits0", "bits1"], ["array<bigint>", "bigint", "bigint"])
+    names, kinds = (["grams"], ["array<bigint>"]) if full else (["keys", *PRINT[1:]], ["array<bigint>", *["bigint"] * len(PRINT[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabulary()
@@ -70,7 +87,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, full: bool) -> DataFrame:
                     more.append((grams,))
                 else:
                     keys, bits = signature(grams) if len(grams) else (None, (None, None))
-                    more.append((keys, *bits))
+                    more.append((keys, *bits, *(parity(grams) if len(grams) else [None] * (PARITY // 64))))
             columns = [pa.array([m[i] for m in more], pa.list_(pa.int64()) if k[0] == "a" else pa.int64()) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), *columns], ["id", "fp", "n", *names])
 
@@ -126,31 +143,42 @@ def _alike_once(regions: DataFrame) -> DataFrame:
     return regions.join(chosen, "block").select("block", "fp")
 
 
-def regions(reps: DataFrame, held: list[str], crowd: int | None = None) -> DataFrame:
-    """(block, fp, first) of the texts (fp, keys) that are to be compared: shared prefixes of an adaptive depth, and
-    neighbours of the longest common prefix in crowded regions. ``first`` marks the blocks to begin with."""
-    crowd = CROWD if crowd is None else crowd
+def linkable(sets: DataFrame, similar: int, held: list[str]) -> DataFrame:
+    """(fp) of the texts (fp, grams) that may have a link among them: enough of a text's shingles are in others too. Without
+    those that can't, others have none either, so it goes over them again."""
+    alive = sets.select("fp", F.size("grams").alias("n"))
+    for _ in range(PEELS):
+        each = having(sets, alive, "fp").select("fp", F.explode("grams").alias("gram"))
+        alone = each.groupBy("gram").agg(F.count("*").alias("texts"), F.min("fp").alias("fp")).filter("texts = 1").groupBy("fp").agg(F.count("*").alias("alone"))
+        enough = 100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= similar * F.col("n")
+        alive = materialize(alive.join(alone, "fp", "left").filter(enough).select("fp", "n"), "linkable", held)
+    return alive.select("fp")
+
+
+def shared_bands(reps: DataFrame, held: list[str]) -> DataFrame:
+    """(order, k0, fp, n): a text (fp, keys) by its first band of each order that n texts share, more than one."""
     each = reps.select("fp", F.posexplode("keys").alias("order", "k0"))
     shared = each.groupBy("k0").agg(F.count("*").alias("n")).filter("n > 1")
-    first = materialize(each.join(shared, "k0").select("order", "k0", "fp", "n"), "regions", held)
-    out = [_alike_once(first.filter(F.col("n") <= crowd).select(F.col("k0").alias("block"), "fp")).withColumn("first", F.lit(True))]
-    wide = first.filter(F.col("n") > crowd).join(reps.select("fp", "keys"), "fp")
-    deeper = [F.element_at("keys", (F.col("order") + j) % ORDERS + 1).alias(f"k{j}") for j in range(1, DEPTHS[-1])]
-    open_rows = materialize(wide.select("fp", "k0", *deeper), "crowded", held)
-    if not open_rows.isEmpty():
-        keys = [f"k{j}" for j in range(DEPTHS[-1])]
-        near = neighbours(open_rows, keys).withColumn("block", F.xxhash64("a", "b"))
-        out.append(near.select("block", F.explode(F.array("a", "b")).alias("fp"), (F.col("shared") >= CLOSE).alias("first")))
-        for depth in DEPTHS:
-            tagged = open_rows.withColumn("block", F.xxhash64(*keys[:depth], F.lit(depth)))
-            sizes = tagged.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
-            tagged = materialize(tagged.join(sizes, "block"), "deeper", held)
-            enough = F.col("n") <= crowd
-            out.append(_alike_once((tagged if depth == DEPTHS[-1] else tagged.filter(enough)).select("block", "fp")).withColumn("first", F.lit(False)))
-            open_rows = tagged.filter(~enough).drop("block", "n")
-            if depth == DEPTHS[-1] or open_rows.isEmpty():
-                break
-    return materialize(reduce(DataFrame.unionByName, out), "members", held)
+    return materialize(each.join(shared, "k0").select("order", "k0", "fp", "n"), "regions", held)
+
+
+def regions(reps: DataFrame, bands: DataFrame, sets: DataFrame, held: list[str], similar: int = SIMILAR, crowd: int | None = None) -> DataFrame:
+    """(block, fp, first) of the texts (fp, keys) that are to be compared, by shared_bands() and their sets (fp, grams):
+    regions without what can have no link in a crowd. ``first`` marks the blocks to begin with, which are small regions and
+    neighbours in crowds."""
+    crowd = CROWD if crowd is None else crowd
+    out = [_alike_once(bands.filter(F.col("n") <= crowd).select(F.col("k0").alias("block"), "fp")).withColumn("first", F.lit(True))]
+    wide = bands.filter(F.col("n") > crowd)
+    if not wide.isEmpty():
+        inside = materialize(wide.select("fp").distinct(), "crowded", held)
+        alive = linkable(having(sets, inside, "fp"), similar, held)
+        left = materialize(having(wide, alive, "fp").select("order", "k0", "fp"), "deeper", held)
+        deeper = [F.element_at("keys", (F.col("order") + j) % ORDERS + 1).alias(f"k{j}") for j in range(1, DEPTH)]
+        near = neighbours(left.join(reps.select("fp", "keys"), "fp").select("fp", "k0", *deeper), [f"k{j}" for j in range(DEPTH)])
+        near = near.filter(F.col("shared") >= CLOSE).select("a", "b").distinct().withColumn("block", F.xxhash64("a", "b"))
+        out.append(near.select("block", F.explode(F.array("a", "b")).alias("fp")).withColumn("first", F.lit(True)))
+        out.append(_alike_once(left.select(F.col("k0").alias("block"), "fp")).withColumn("first", F.lit(False)))
+    return materialize(reduce(DataFrame.unionByName, out).join(reps.select("fp", *PRINT), "fp"), "members", held)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
@@ -165,13 +193,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held: list[str] = []
     prints = materialize(_sets(docs, id_col, text_col, full=False), "prints")
     some = prints.filter("n > 0").groupBy("fp")
-    reps = some.agg(F.count("*").alias("copies"), F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("n", "keys", "bits0", "bits1")])
+    reps = some.agg(F.count("*").alias("copies"), F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("keys", *PRINT)])
     reps = materialize(reps, "texts", held)
-    members = regions(reps, held)
-    wanted = materialize(reps.join(members.select("fp").distinct(), "fp").select("fp", F.col("first").alias("id")), "wanted", held)
+    bands = shared_bands(reps, held)
+    wanted = materialize(reps.join(bands.select("fp").distinct(), "fp").select("fp", F.col("first").alias("id")), "wanted", held)
     texts = having(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, "id")
     full = _sets(texts, "id", "text", full=True).join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
     full = materialize(full, "sets", held)
+    members = regions(reps, bands, full, held, similar)
 
     tested: list[DataFrame] = []
 
@@ -180,18 +209,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
         pairs = materialize(pairs.select("a", "b"), "tested", held)
         tested.append(pairs)
-        side = lambda s: reps.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "bits0", "bits1")])
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        apart = F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))) + F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b")))
-        may = (100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b")) & (apart <= MOST_BITS)
-        both = materialize(both.filter(may).select("a", "b", "n_a", "n_b"), "pairs", held)
-        used = having(full, materialize(both.select(F.col("a").alias("fp")).unionByName(both.select(F.col("b").alias("fp"))).distinct(), "used", held), "fp")
+        used = having(full, materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "used", held), "fp")
+        both = pairs
         for s in "ab":
             both = both.join(used.toDF(s, f"grams_{s}"), s)
         common = F.size(F.array_intersect("grams_a", "grams_b"))
-        return both.filter(100 * common >= similar * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+        return both.filter(100 * common >= similar * (F.size("grams_a") + F.size("grams_b") - common)).select("a", "b")
 
-    edges = connect(members.select("block", "fp"), verify, held=held, first=members.filter("first").select("block", "fp"))
+    blocks = members.drop("first")
+    edges = connect(blocks, verify, held=held, first=members.filter("first").drop("first"), may=lambda a, b: may_link(a, b, similar))
     classes = materialize(_classes(reps.select(F.col("first").alias("id"), "fp"), edges, held), "classes").select("fp", "component")
     worded = join_copies(prints.filter("n > 0").select("id", "fp", "n"), classes, "fp", reps.select("fp", "copies"))
     out = worded.select("id", "n", "component").unionByName(prints.filter("n = 0").select("id", "n", F.col("id").alias("component")))

@@ -21,6 +21,8 @@ WORD_BITS, SHORT_BITS, LONG_WORDS = 16, 8, 100
 #: Rounds of linking within blocks, the last of which takes all pairs left over; a block that has at most PAIRS_EACH such
 #: pairs for each member goes there at once.
 STARS, PAIRS_EACH = 4, 32
+#: Members of a block that one task holds against those outside its largest component, where pairs are excluded as they meet.
+SLICE = 256
 #: Words of the shingles that verify links of word sets, and the least similarity of two texts' sets of them: the same
 #: words in another order are no copy. Near copies of the given tables lie at 0.39 or more.
 GRAM_WORDS, MIN_SHARED = 5, 0.3
@@ -163,7 +165,9 @@ def _members(variants: DataFrame, held: list[str]) -> DataFrame:
     return members
 
 
-def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = STARS, held: list[str] | None = None, first: DataFrame | None = None) -> DataFrame:
+def connect(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = STARS, held: list[str] | None = None, first: DataFrame | None = None, may: Callable[[str, str], Column] | None = None
+) -> DataFrame:
     """Edges (a, b) that connect all of a block whom verified pairs connect; ``verify`` keeps the pairs (a, b) it likes.
 
     First a star in each block, from its least member. A pair of others may be near where both are far from that one, so
@@ -171,10 +175,20 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars:
     component, a block of one large component and a few others has about as many of them as members. Blocks that have
     many more take further stars, from other members, before. If ``first`` is given, the first stars are those of its
     blocks, of the same kind, instead.
+
+    With ``may``, members have more columns than (block, fp), and no pair is made whose columns, by two prefixes of their
+    names, it excludes; blocks of more than SLICE members are searched in slices.
     """
     chosen = members if first is None else first
-    least = chosen.groupBy("block").agg(F.min("fp").alias("a"))
-    edges = materialize(verify(chosen.join(least, "block").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()), "links", held)
+    more = [c for c in members.columns if c not in ("block", "fp")] if may else []
+    fits = may("h_", "") if may else F.lit(True)
+    if may:
+        least = chosen.groupBy("block").agg(F.min(F.struct("fp", *more)).alias("h")).select("block", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("fp", *more)])
+        star = chosen.join(least, "block").filter("h_fp <> fp").filter(fits).select(F.col("h_fp").alias("a"), F.col("fp").alias("b"))
+    else:
+        least = chosen.groupBy("block").agg(F.min("fp").alias("a"))
+        star = chosen.join(least, "block").filter("a <> fp").select("a", F.col("fp").alias("b"))
+    edges = materialize(verify(star.distinct()), "links", held)
     fresh = not edges.isEmpty()
     for k in range(1, stars + 1):
         if fresh:
@@ -182,24 +196,28 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars:
             edges = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
         tagged = members.withColumn("c", F.col("fp"))
         if not edges.isEmpty():
-            tagged = members.join(roots, F.col("fp") == F.col("node"), "left").select("block", "fp", F.coalesce("root", "fp").alias("c"))
+            tagged = members.join(roots, F.col("fp") == F.col("node"), "left").select("block", "fp", F.coalesce("root", "fp").alias("c"), *more)
         counts = tagged.groupBy("block", "c").agg(F.count("*").alias("n")).groupBy("block")
         counts = counts.agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max_by("c", F.struct("n", "c")).alias("major"))
         few = F.lit(k == stars) | (F.col("n") * F.col("n") - F.col("squares") <= 2 * PAIRS_EACH * F.col("n"))
-        members = materialize(tagged.join(counts.filter("kinds > 1").withColumn("few", few).select("block", "major", "few"), "block"), "open", held)  # the others are done
-        minor = members.filter("few and c <> major").select("block", F.col("fp").alias("x"), F.col("c").alias("cx"))
-        pairs = members.filter("few").select("block", F.col("fp").alias("y"), "c").join(minor, "block").filter("c <> cx").select("x", "y")
-        members = members.filter("not few").select("block", "fp", "c")
-        more = not members.isEmpty()
-        if more:
-            heads = members.groupBy("block").agg(F.min_by(F.struct("fp", "c"), F.xxhash64("fp", F.lit(k))).alias("h"))
-            pairs = pairs.unionByName(members.join(heads, "block").filter("c <> h.c").select(F.col("h.fp").alias("x"), F.col("fp").alias("y")))
+        parts = [F.ceil(F.col("n") / SLICE).alias("parts")] if may else []
+        members = materialize(tagged.join(counts.filter("kinds > 1").withColumn("few", few).select("block", "major", "few", *parts), "block"), "open", held)  # the others are done
+        ends, by = members.filter("few"), ["block", "part"] if may else ["block"]
+        minor = ends.filter("c <> major").select("block", *[F.explode(F.expr("sequence(0L, parts - 1)")).alias("part")] * len(parts), *[F.col(c).alias(f"h_{c}") for c in ("fp", "c", *more)])
+        ends = ends.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts"))) if may else ends
+        pairs = ends.select(*by, "fp", "c", *more).join(minor, by).filter("c <> h_c").filter(fits).select(F.col("h_fp").alias("x"), F.col("fp").alias("y"))
+        members = members.filter("not few").select("block", "fp", "c", *more)
+        left = not members.isEmpty()
+        if left:
+            heads = members.groupBy("block").agg(F.min_by(F.struct("fp", "c", *more), F.xxhash64("fp", F.lit(k))).alias("h"))
+            heads = heads.select("block", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("fp", "c", *more)])
+            pairs = pairs.unionByName(members.join(heads, "block").filter("c <> h_c").filter(fits).select(F.col("h_fp").alias("x"), F.col("fp").alias("y")))
         found = materialize(verify(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), "links", held)
         fresh = not found.isEmpty()
         edges = edges.unionByName(found) if fresh else edges
-        if not more:
+        if not left:
             break
-        members = members.select("block", "fp")
+        members = members.select("block", "fp", *more)
     return edges
 
 

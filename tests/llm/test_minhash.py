@@ -114,6 +114,13 @@ def test_recall_in_smaller_regions(spark, crowd, monkeypatch):
     assert sum(want[i] != c for i, c in got.items()) <= len(want) // 50
 
 
+def test_crowds_lose_no_link(spark, crowd, monkeypatch):
+    """Nearly all regions are crowds, of which many texts hardly reach the similarity: the components are the exact ones."""
+    monkeypatch.setattr(minhash, "CROWD", 3)
+    some = [r for r in crowd if r[0] < 2060]
+    assert found(spark.createDataFrame(some, "doc_id bigint, text string")) == brute(some)
+
+
 def test_pairs_at_the_limit(spark):
     """100 * common >= 85 * all holds with equality: 34 of 40 shingles; one fewer is no link."""
     w = [f"w{i}" for i in range(39)]
