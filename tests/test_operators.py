@@ -205,6 +205,18 @@ def test_queue_sink_takes_a_score_at_the_limit_as_unverified(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path)), "submission_id", "verdict") == [("a", "UNVERIFIED")]
 
 
+def test_review_queue_rounds_halves_as_its_sql(spark, tmp_path):
+    """An item's 19 tokens, all among 32: 0.5046875, whose product with 10^6 is below a half."""
+    words = [f"w{i}" for i in range(31)]
+    spark.createDataFrame([(1, 0, "user", " ".join([*words, "item"]))], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(2, " ".join(words[:18]))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for name in ("conversations", "benchmark"):
+        duck.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = duck.execute(SQL["review_queue"]).fetchall()
+    assert rows(Q["review_queue"](spark, str(tmp_path)), "submission_id", "verdict", "top_score") == want == [("1:0", "CONFLICTING", 0.504687)]
+
+
 def test_url_replacements_of_pages_with_one_shown_key(spark, tmp_path):
     """Pages 4 and 100,004 are shown by one key; each moved by itself, and neither to the other's url."""
     pages = [(4, "http://a.org/x#y"), (100_004, "http://b.org/x?q=1"), (5, "http://a.org/z"), (100_006, "http://a.org/w")]
