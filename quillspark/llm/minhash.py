@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import having, join_copies, materialize, remove, small_batches, text_chunks
+from .common import SENT_KEYS, having, join_copies, materialize, remove, small_batches, text_chunks
 from .simhash import Vocabulary, _classes, connect
 
 SHINGLE_WORDS = 3
@@ -31,6 +31,9 @@ ORDERS, BAND = 24, 4
 #: Texts of a region from which it is a crowd, bands of a prefix that are compared there, those that neighbours share to be
 #: looked at before all else, and how often a crowd loses what can have no link.
 CROWD, DEPTH, CLOSE, PEELS = 64, 8, 4, 2
+#: Rounds of linking within regions, the last of which takes all pairs left over. Pairs are excluded inside the join, so
+#: one round of stars before is enough, and a round's own jobs cost more than the pairs that further ones would save.
+STARS = 2
 #: One bit of each signature value stays for a first look at a pair; at the least similarity 7 of 96 differ, 2.6 being one
 #: standard deviation, so a pair that passes 26 is none.
 MOST_BITS = 26
@@ -217,8 +220,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return both.filter(100 * common >= similar * (F.size("grams_a") + F.size("grams_b") - common)).select("a", "b")
 
     blocks = members.drop("first")
-    edges = connect(blocks, verify, held=held, first=members.filter("first").drop("first"), may=lambda a, b: may_link(a, b, similar))
-    classes = materialize(_classes(reps.select(F.col("first").alias("id"), "fp"), edges, held), "classes").select("fp", "component")
+    edges = connect(blocks, verify, held=held, first=members.filter("first").drop("first"), may=lambda a, b: may_link(a, b, similar), stars=STARS, sent=SENT_KEYS)
+    classes = materialize(_classes(reps.select(F.col("first").alias("id"), "fp"), edges, held, SENT_KEYS), "classes").select("fp", "component")
     worded = join_copies(prints.filter("n > 0").select("id", "fp", "n"), classes, "fp", reps.select("fp", "copies"))
     out = worded.select("id", "n", "component").unionByName(prints.filter("n = 0").select("id", "n", F.col("id").alias("component")))
     remove(docs.sparkSession, held)

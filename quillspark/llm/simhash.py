@@ -166,7 +166,7 @@ def _members(variants: DataFrame, held: list[str]) -> DataFrame:
 
 
 def connect(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = STARS, held: list[str] | None = None, first: DataFrame | None = None, may: Callable[[str, str], Column] | None = None
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = STARS, held: list[str] | None = None, first: DataFrame | None = None, may: Callable[[str, str], Column] | None = None, sent: int = 0
 ) -> DataFrame:
     """Edges (a, b) that connect all of a block whom verified pairs connect; ``verify`` keeps the pairs (a, b) it likes.
 
@@ -177,7 +177,7 @@ def connect(
     blocks, of the same kind, instead.
 
     With ``may``, members have more columns than (block, fp), and no pair is made whose columns, by two prefixes of their
-    names, it excludes; blocks of more than SLICE members are searched in slices.
+    names, it excludes; blocks of more than SLICE members are searched in slices. ``sent`` is that of components().
     """
     chosen = members if first is None else first
     more = [c for c in members.columns if c not in ("block", "fp")] if may else []
@@ -192,7 +192,7 @@ def connect(
     fresh = not edges.isEmpty()
     for k in range(1, stars + 1):
         if fresh:
-            roots = materialize(components(edges), "roots", held)
+            roots = materialize(components(edges, sent=sent), "roots", held)
             edges = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
         tagged = members.withColumn("c", F.col("fp"))
         if not edges.isEmpty():
@@ -304,11 +304,11 @@ def word_links(prints: DataFrame, shingled: bool = True, held: list[str] | None
     return connect(members, verify, held=held)
 
 
-def _classes(prints: DataFrame, edges: DataFrame, held: list[str]) -> DataFrame:
+def _classes(prints: DataFrame, edges: DataFrame, held: list[str], sent: int = 0) -> DataFrame:
     """(fp, component, root) of materialised prints (id, fp); component is the least id reachable over edges, root the same
     for all that are connected. Only the nodes of edges have to learn their component, and a component is dealt to SALTS
     parts, each of which has a copy of its least id."""
-    roots = materialize(components(edges), "roots", held)
+    roots = materialize(components(edges, sent=sent), "roots", held)
     first = prints.groupBy("fp").agg(F.min("id").alias("first"))
     joined = materialize(first.join(roots, first.fp == roots.node, "left").select("fp", "first", "root"), "joined", held)
     linked = joined.filter("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from quillspark.llm import minhash
+from quillspark.llm import graph, minhash
 from quillspark.llm.queries import op13_minhash
 
 
@@ -139,3 +139,16 @@ def test_neighbours_share_prefixes(spark):
     ordered = sorted(rows)
     want = sorted((x[3], y[3], next((i for i in range(3) if x[i] != y[i]), 3)) for x, y in zip(ordered, ordered[1:], strict=False) if x[0] == y[0])
     assert sorted(tuple(r) for r in minhash.neighbours(df, keys).collect()) == want
+
+
+def test_components_of_few_edges(spark):
+    """The same components, by less than half of the shuffles."""
+    rng = random.Random(11)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1012)] + [(2000, i) for i in range(1900, 2100)]
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    roots = lambda sent: sorted(tuple(r) for r in graph.components(edges, sent=sent).collect())
+    assert roots(10**6) == roots(0)
+    state = edges.filter("a > b").toDF("u", "v")
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    few, more = (shuffles(graph._small_star(graph._large_star(state, small), small).distinct()) for small in (True, False))
+    assert 2 * few <= more
