@@ -82,3 +82,14 @@ def test_empty_table(spark, tmp_path):
         index.append(none.withColumn("id", F.lit("a")))
     index.append(none)
     assert ids(index.all_tokens(none, ["abc"])) == ids(index.any_token(none, ["abc"])) == []
+
+
+def test_tasks_write_postings_without_a_shuffle(spark, tmp_path):
+    """One input partition makes one file of a bucket at most, in a folder of its append; counts add up over appends."""
+    index, before = TrigramIndex(spark, str(tmp_path), buckets=4, key_type="bigint"), spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    for k in range(2):
+        index.append(spark.createDataFrame([(i + 100 * k, "abcd " * 3, f"xyz{i}", None, 0) for i in range(50)], SCHEMA).coalesce(1))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    files = [p for p in tmp_path.glob("postings/batch=*/bucket=*/*.parquet")]
+    assert 0 < len(files) <= 2 * 4 and len({p.parent for p in files}) == len(files)
+    assert index._of("counts", ["abc"]).agg(F.sum("n")).first()[0] == index._of("postings", ["abc"]).count() == 100
