@@ -15,27 +15,37 @@ KEEP, STRONG, BEST = 0.15, 0.35, 5
 DATED, TIMES = ("summary", "statement", "due_at", "starts_at"), ("due_at", "starts_at")
 
 
+def _classes(rows: DataFrame, tokens: Column, dates: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id) of the same tokens and dates are a class. Returns the keys of each class once (``name``, its number of
+    tokens ``n_name``, kind, key), where kind is t for a token and d for a date, and the members (``name``, id). Rows
+    without a token are in neither, as they score with nothing."""
+    sets = rows.select("id", F.sort_array(tokens).alias("t"), F.sort_array(dates).alias("d")).filter(F.array_size("t") > 0)
+    sets = sets.withColumn(name, F.unhex(F.substring(F.sha2(F.to_json(F.struct("t", "d")), 256), 1, 32)))
+    of = lambda kind: F.transform(F.coalesce(kind, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+    keys = sets.select(name, "t", "d").distinct().select(name, F.array_size("t").alias(f"n_{name}"), F.explode(F.concat(of("t"), of("d"))).alias("k"))
+    return keys.select(name, f"n_{name}", "k.kind", "k.key"), sets.select(name, "id")
+
+
 def scores(submissions: DataFrame, archive: DataFrame, keep: float = KEEP, stop_words: tuple[str, ...] = (), dates: Callable[[Column], Column] = text.date_tokens, dated: tuple[str, ...] = DATED) -> DataFrame:
     """(submission_id, item_id, score, shared, date_hit) of pairs that score ``keep`` or more.
 
     Only pairs that share a token can score, apart from the date bonus, which alone reaches ``keep``: so pairs meet on
-    tokens and on dates. The overlap is the number of tokens on which a pair meets, so token sets travel once. Of the
-    archive, ``title``, ``summary`` and, if there, ``statement`` give tokens, and those of the columns ``dated`` that are
-    there give dates, which ``dates`` finds.
+    tokens and on dates. The overlap is the number of tokens on which a pair meets, so token sets travel once. Rows of
+    equal sets meet as one class, and pairs of rows are made last, so that none of them is shuffled and an id that comes
+    twice counts no token twice. Of the archive, ``title``, ``summary`` and, if there, ``statement`` give tokens, and
+    those of the columns ``dated`` that are there give dates, which ``dates`` finds.
     """
-    a = submissions.select(F.col("id").alias("submission_id"), text.content_tokens(F.col("text"), stop_words).alias("ta"), dates(F.col("text")).alias("da"))
     told = [c for c in ("summary", "statement") if c in archive.columns]
     named = F.concat_ws(" ", *[F.date_format(c, "yyyy-MM-dd") if c in TIMES else F.col(c) for c in dated if c in archive.columns])
-    b = archive.select(F.col("id").alias("item_id"), text.content_tokens(F.concat_ws(" ", "title", *told), stop_words).alias("tb"), dates(named).alias("db"))
-    words = a.select("submission_id", F.array_size("ta").alias("na"), F.explode("ta").alias("t")).join(b.select("item_id", F.array_size("tb").alias("nb"), F.explode("tb").alias("t")), "t")
-    shared = words.groupBy("submission_id", "item_id", "na", "nb").agg(F.count("*").alias("shared"))
-    met = a.select("submission_id", F.array_size("ta").alias("na"), F.explode("da").alias("d")).join(b.select("item_id", F.array_size("tb").alias("nb"), F.explode("db").alias("d")), "d")
-    hits = met.filter("na > 0 AND nb > 0").select("submission_id", "item_id", "na", "nb").distinct().withColumn("hit", F.lit(True))
-    pairs = shared.join(hits, ["submission_id", "item_id", "na", "nb"], "full")
-    n = F.coalesce("shared", F.lit(0))
+    sent, senders = _classes(submissions, text.content_tokens(F.col("text"), stop_words), dates(F.col("text")), "a")
+    kept, items = _classes(archive, text.content_tokens(F.concat_ws(" ", "title", *told), stop_words), dates(named), "b")
+    met = sent.join(kept, ["kind", "key"]).groupBy("a", "b", "n_a", "n_b").agg(F.count_if(F.col("kind") == "t").alias("shared"), F.bool_or(F.col("kind") == "d").alias("date_hit"))
+    n = F.col("shared")
     # Decimal weights, rounded once, as the SQL has them: 0.55 is no double, and a score at a limit hangs on its rounding.
-    score = F.least(F.lit(1.0), 55 * n / 100 / (F.col("na") + F.col("nb") - n) + 30 * n / 100 / F.col("na") + F.when(F.col("hit"), 0.15).otherwise(0.0))
-    return pairs.select("submission_id", "item_id", score.alias("score"), n.alias("shared"), F.coalesce("hit", F.lit(False)).alias("date_hit")).filter(F.col("score") >= keep)
+    score = F.least(F.lit(1.0), 55 * n / 100 / (F.col("n_a") + F.col("n_b") - n) + 30 * n / 100 / F.col("n_a") + F.when(F.col("date_hit"), 0.15).otherwise(0.0))
+    pairs = met.select("a", "b", score.alias("score"), "shared", "date_hit").filter(F.col("score") >= keep)
+    pairs = pairs.join(items.withColumnRenamed("id", "item_id"), "b").join(senders.withColumnRenamed("id", "submission_id"), "a")
+    return pairs.select("submission_id", "item_id", "score", "shared", "date_hit")
 
 
 def best(scored: DataFrame, most: int = BEST) -> DataFrame:

@@ -325,6 +325,31 @@ def test_scores_use_statements_and_times(spark):
     assert got["a"] == (1, False) and got["b"] == (0, True) and not got["c"][1]
 
 
+def shuffled_rows(spark, run):
+    """Rows that the stages of ``run`` wrote to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_scores_shuffle_no_pairs_of_copies(spark):
+    """200 submissions of one text and 200 items of their date: 40,000 pairs, none of which is shuffled."""
+    sent = spark.range(200).selectExpr("concat('s', id) AS id", "'fees due 14 September 2026' AS text")
+    kept = spark.range(200).selectExpr("concat('i', id) AS id", "concat('item a', id) AS title", "'' AS summary", "TIMESTAMP_NTZ '2026-09-14 00:00:00' AS due_at")
+    got = []
+    assert shuffled_rows(spark, lambda: got.extend(submissions.scores(sent, kept).collect())) < 4000
+    assert len(got) == 40_000 and len({(r.submission_id, r.item_id) for r in got}) == 40_000
+    assert {(r.score, r.shared, r.date_hit) for r in got} == {(0.15, 0, True)}
+
+
 def test_failed_streak(spark):
     fetched = [("a", 200, 0), ("a", 500, 1), ("a", 404, 1), ("a", 500, -1), ("b", 500, 0), ("b", 500, 2), ("c", 200, 0), (None, 500, 0)]
     df = spark.createDataFrame([(s, status, DAY + timedelta(hours=h)) for s, status, h in fetched], "source_id string, http_status int, fetched_at timestamp_ntz")
