@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import ids, text
 
 # Fixed values.
 KEEP, STRONG, BEST = 0.15, 0.35, 5
@@ -15,15 +15,15 @@ KEEP, STRONG, BEST = 0.15, 0.35, 5
 DATED, TIMES = ("summary", "statement", "due_at", "starts_at"), ("due_at", "starts_at")
 
 
-def _classes(rows: DataFrame, tokens: Column, dates: Column, name: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (id) of the same tokens and dates are a class. Returns the keys of each class once (``name``, its number of
-    tokens ``n_name``, kind, key), where kind is t for a token and d for a date, and the members (``name``, id). Rows
-    without a token are in neither, as they score with nothing."""
-    sets = rows.select("id", F.sort_array(tokens).alias("t"), F.sort_array(dates).alias("d")).filter(F.array_size("t") > 0)
-    sets = sets.withColumn(name, F.unhex(F.substring(F.sha2(F.to_json(F.struct("t", "d")), 256), 1, 32)))
+def _classes(rows: DataFrame, told: Column, dated: Column, tokens: Callable[[Column], Column], dates: Callable[[Column], Column], name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id) of the same texts, ``told`` for tokens and ``dated`` for dates, are a class. Returns the keys of each class
+    once (``name``, its number of tokens ``n_name``, kind, key), where kind is t for a token and d for a date, and the
+    members (``name``, id). Rows without a token have no keys, as they score with nothing."""
+    key = F.unhex(F.substring(ids.sha(F.sha2(told, 256), F.sha2(dated, 256)), 1, 32)).alias(name)
+    sets = rows.select(key, tokens(told).alias("t"), dates(dated).alias("d")).filter(F.array_size("t") > 0).distinct()
     of = lambda kind: F.transform(F.coalesce(kind, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
-    keys = sets.select(name, "t", "d").distinct().select(name, F.array_size("t").alias(f"n_{name}"), F.explode(F.concat(of("t"), of("d"))).alias("k"))
-    return keys.select(name, f"n_{name}", "k.kind", "k.key"), sets.select(name, "id")
+    keys = sets.select(name, F.array_size("t").alias(f"n_{name}"), F.explode(F.concat(of("t"), of("d"))).alias("k"))
+    return keys.select(name, f"n_{name}", "k.kind", "k.key"), rows.select(key, "id")
 
 
 def scores(submissions: DataFrame, archive: DataFrame, keep: float = KEEP, stop_words: tuple[str, ...] = (), dates: Callable[[Column], Column] = text.date_tokens, dated: tuple[str, ...] = DATED) -> DataFrame:
@@ -31,14 +31,15 @@ def scores(submissions: DataFrame, archive: DataFrame, keep: float = KEEP, stop_
 
     Only pairs that share a token can score, apart from the date bonus, which alone reaches ``keep``: so pairs meet on
     tokens and on dates. The overlap is the number of tokens on which a pair meets, so token sets travel once. Rows of
-    equal sets meet as one class, and pairs of rows are made last, so that none of them is shuffled and an id that comes
+    equal texts meet as one class, and pairs of rows are made last, so that none of them is shuffled and an id that comes
     twice counts no token twice. Of the archive, ``title``, ``summary`` and, if there, ``statement`` give tokens, and
     those of the columns ``dated`` that are there give dates, which ``dates`` finds.
     """
     told = [c for c in ("summary", "statement") if c in archive.columns]
     named = F.concat_ws(" ", *[F.date_format(c, "yyyy-MM-dd") if c in TIMES else F.col(c) for c in dated if c in archive.columns])
-    sent, senders = _classes(submissions, text.content_tokens(F.col("text"), stop_words), dates(F.col("text")), "a")
-    kept, items = _classes(archive, text.content_tokens(F.concat_ws(" ", "title", *told), stop_words), dates(named), "b")
+    tokens = lambda c: text.content_tokens(c, stop_words)
+    sent, senders = _classes(submissions, F.col("text"), F.col("text"), tokens, dates, "a")
+    kept, items = _classes(archive, F.concat_ws(" ", "title", *told), named, tokens, dates, "b")
     met = sent.join(kept, ["kind", "key"]).groupBy("a", "b", "n_a", "n_b").agg(F.count_if(F.col("kind") == "t").alias("shared"), F.bool_or(F.col("kind") == "d").alias("date_hit"))
     n = F.col("shared")
     # Decimal weights, rounded once, as the SQL has them: 0.55 is no double, and a score at a limit hangs on its rounding.
