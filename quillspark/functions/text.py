@@ -67,9 +67,9 @@ def token_set(text: Column) -> Column:
 
 
 def content_tokens(text: Column, extra_stop_words: tuple[str, ...] = ()) -> Column:
-    """Distinct tokens of two characters or more that are no stop words; plain lower case."""
+    """Distinct tokens of two characters or more that are no stop words; plain lower case, a dotted capital I too."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS + tuple(extra_stop_words)])
-    plain = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    plain = F.array_distinct(F.regexp_extract_all(F.lower(F.translate(text, "\u0130", "i")), F.lit("[a-z0-9]+"), F.lit(0)))
     return F.array_except(F.filter(plain, lambda x: F.length(x) >= 2), stop)
 
 

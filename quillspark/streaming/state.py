@@ -61,7 +61,8 @@ def ledger_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 def queue_sink(path: str, archive: DataFrame, strong: float = submissions.STRONG) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that holds queued submissions (id, text) against a static archive (id, title, summary,
-    in_conflict) and writes their verdicts, one folder for each batch; a batch run again overwrites its own."""
+    in_conflict) and writes their verdicts, one folder for each batch; a batch run again overwrites its own. An id that
+    comes in several batches has a verdict in each: ``queue_verdicts`` reads one for each id."""
 
     def run(batch: DataFrame, number: int) -> None:
         scored = submissions.scores(batch, archive, dated=submissions.DATED)
@@ -71,6 +72,11 @@ def queue_sink(path: str, archive: DataFrame, strong: float = submissions.STRONG
     return run
 
 
+def queue_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """(submission_id, verdict) of what ``queue_sink`` wrote, the same under any cut into batches."""
+    return submissions.strongest(spark.read.parquet(path).select("submission_id", "verdict"))
+
+
 def claim_states(stream: DataFrame, delay: str = "7 days", keep_days: int = 365) -> DataFrame:
     """(claim_id, ts, state, accepted) for each event (claim_id, ts, next_state): the state after it. Events of a batch
     are taken in order of time; an illegal move leaves the state and is not accepted. A claim starts UNVERIFIED, and is forgotten

@@ -1,5 +1,6 @@
 """Operators on literal rows, and set operators against brute force."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -217,6 +218,35 @@ def test_review_queue_rounds_halves_as_its_sql(spark, tmp_path):
     assert rows(Q["review_queue"](spark, str(tmp_path)), "submission_id", "verdict", "top_score") == want == [("1:0", "CONFLICTING", 0.504687)]
 
 
+def test_submissions_that_come_twice(spark, tmp_path):
+    """The same id in one batch, in the 1st and the 66th file of a stream of 64 files a batch, with another text, without an id;
+    an item without text, a dotted capital I."""
+    words = [f"w{i}" for i in range(40)]
+    sent = {0: [(1, 0, " ".join(words[:8])), (1, 0, " ".join(words[:8])), (2, 0, "none of them"), (3, 0, " ".join(words[:3])), (None, 0, " ".join(words[:8])), (None, 0, "item"), (5, 0, None), (6, 0, "w1 \u0130tem")]}
+    sent |= {k: [(100 + k, 0, f"other{k} item")] for k in range(1, 65)}
+    sent[65] = [(1, 0, "gone"), (2, 0, " ".join(words[:8])), (3, 0, " ".join(words[20:28])), (4, 0, " ".join(words[:2]))]
+    items = [(1, " ".join(words[:12])), (2, " ".join(words[20:30])), (31, None), (5, " ".join(words[:30]))]
+    duck = duckdb.connect()
+    (tmp_path / "conversations.parquet").mkdir()
+    for k, found in sent.items():
+        duck.execute("create or replace table c (conv_id bigint, turn bigint, role varchar, text varchar)")
+        duck.executemany("insert into c values (?, ?, 'user', ?)", found)
+        path = tmp_path / "conversations.parquet" / f"part-{k:04}.parquet"
+        duck.execute(f"copy c to '{path}' (format parquet)")
+        os.utime(path, (10**9 + k, 10**9 + k))
+    duck.execute("create table b (item_id bigint, text varchar)")
+    duck.executemany("insert into b values (?, ?)", items)
+    duck.execute(f"copy b to '{tmp_path}/benchmark.parquet' (format parquet)")
+    duck.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'; create view benchmark as select * from b")
+    for name in ("stream_queue", "submission_classify", "review_queue", "submission_scores"):
+        want = duck.execute(SQL[name])
+        columns = [c[0] for c in want.description]
+        got = Q[name](spark, str(tmp_path))
+        if name == "submission_scores":
+            got = got.withColumn("score", F.round("score", 6))
+        assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want.fetchall())), name
+
+
 def test_url_replacements_of_pages_with_one_shown_key(spark, tmp_path):
     """Pages 4 and 100,004 are shown by one key; each moved by itself, and neither to the other's url."""
     pages = [(4, "http://a.org/x#y"), (100_004, "http://b.org/x?q=1"), (5, "http://a.org/z"), (100_006, "http://a.org/w")]
